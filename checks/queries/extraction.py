@@ -20,8 +20,8 @@ SCRIPTS = rf"""{PAGES}, scripts as (
     select page_id, array_to_string(regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>'), ', ') as script
     from listing_pages)"""
 FRAGMENTS = f"""{SCRIPTS}, fragments as (
-    select page_id, unnest(list_filter(string_split(script, '"type"'), x -> starts_with(x, ':"inventory"'))) as fragment,
-           generate_subscripts(list_filter(string_split(script, '"type"'), x -> starts_with(x, ':"inventory"')), 1) - 1 as pos
+    select page_id, unnest(list_filter(string_split(script, '"type"'), lambda x: starts_with(x, ':"inventory"'))) as fragment,
+           generate_subscripts(list_filter(string_split(script, '"type"'), lambda x: starts_with(x, ':"inventory"')), 1) - 1 as pos
     from scripts)"""
 COLORS = rf"""{SCRIPTS}, colors as (
     select page_id, unnest(regexp_extract_all(script, '/","color":"(.*?)"\}},\{{"@context":"http://schema\.org"', 1)) as color,
@@ -158,7 +158,7 @@ def harvest_given_pages(spark, sf_dir):
 @query(
     "u4_positional_match",
     f"""{SCRIPTS}, found as (
-        select page_id, list_filter(string_split(script, '"type"'), x -> starts_with(x, ':"inventory"')) as parts,
+        select page_id, list_filter(string_split(script, '"type"'), lambda x: starts_with(x, ':"inventory"')) as parts,
                regexp_extract_all(script, '/","color":"(.*?)"\\}},\\{{"@context":"http://schema\\.org"', 1) as colors
         from scripts)
     select page_id, cast(i - 1 as int) as pos, parts[i] as part, colors[i] as color

@@ -119,12 +119,12 @@ def median_by_make(spark, sf_dir):
 
 @query(
     "a6_extreme_quantiles",
-    f"""{LISTINGS} select cast(p as double) as prob, (select count(*) from listings) as n, q as quantile from (
+    f"""{LISTINGS} select cast(p as double) as prob, (select count(*) from listings) as n, round(q, 4) as quantile from (
         select unnest([0.0, 0.001, 0.999, 1.0]) as p,
                unnest(quantile_cont(price, [0.0, 0.001, 0.999, 1.0])) as q from listings)""",
 )
 def extreme_quantiles(spark, sf_dir):
-    return exact_quantiles(listings(spark, sf_dir), "price", [0.0, 0.001, 0.999, 1.0])
+    return rounded(exact_quantiles(listings(spark, sf_dir), "price", [0.0, 0.001, 0.999, 1.0]), "quantile")
 
 
 T_TEST = """select x.make as a, y.make as b,

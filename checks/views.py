@@ -165,8 +165,8 @@ CUT_EVERY, BARE_EVERY = 7, 11
 
 
 def damaged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_page_id(listings(spark, sf_dir))
-    kind = F.col("mileage").cast("int")
+    rows = with_page_id(listings(spark, sf_dir)).withColumn("kind", F.col("mileage").cast("int"))
+    kind = F.col("kind")
     gone = {
         "model": (NO_MODEL, NOTHING), "price": (NO_PRICE, NOTHING, NO_PRICE_MAKE),
         "mileage": (NO_MILEAGE, NOTHING), "make": (NOTHING, NO_PRICE_MAKE),

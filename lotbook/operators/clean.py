@@ -106,7 +106,7 @@ def tighten_types(df: DataFrame) -> DataFrame:
         return df
     verdict = df.agg(
         *[
-            F.bool_and(holds).alias(f"{name}|{target}")  # nulls do not take part
+            F.bool_and(F.when(F.col(f"`{name}`").isNotNull(), holds)).alias(f"{name}|{target}")
             for name, candidates in tests.items()
             for target, holds in candidates
         ]

@@ -133,7 +133,7 @@ def judged_lines(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def judge(item: Column) -> Column:
         cells, color = item["cells"], F.get(F.col("_c"), item["pos"])
-        text = X.line(cells, FIELDS, color)
+        text = F.when(color.isNotNull(), X.line(cells, FIELDS, color))
         gap, empty = _line_state(cells)
         reason = (
             F.when(color.isNull(), NO_COLOR)

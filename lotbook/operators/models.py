@@ -28,7 +28,7 @@ NORMAL_SOLVER_FEATURES = 4096
 def fit_model(train: DataFrame, model: Estimator, label: str = "price", ignore: Sequence[str] = (),
               encoding: str = "one_hot", scaled: bool = False) -> PipelineModel:
     """Fit feature stages, then ``model`` on their output."""
-    shared_dir(train.sparkSession)  # boosting and forests write checkpoints
+    shared_dir(train.sparkSession)  # boosting writes checkpoints
     stages = feature_stages(train, label, ignore, encoding, scaled)
     return Pipeline(stages=[*stages, model]).fit(train)
 
@@ -77,24 +77,23 @@ def _fit_penalised(train: DataFrame, penalty: float, absolute: float, label: str
 
 
 def fit_forest(train: DataFrame, label: str = "price", ignore: Sequence[str] = (), trees: int = 500,
-               depth: int = 10, encoding: str = "index", max_bins: int = 128, seed: int = SEED) -> PipelineModel:
+               depth: int = 10, encoding: str = "index", max_bins: int = 64, seed: int = SEED) -> PipelineModel:
     """Random forest over all features. Spark allows a depth of 30 at most."""
     forest = RandomForestRegressor(
         labelCol=label, numTrees=trees, maxDepth=min(depth, 30), featureSubsetStrategy="all", seed=seed,
         maxBins=_bins(train, label, ignore, encoding, max_bins), maxMemoryInMB=1024,
-        cacheNodeIds=True, checkpointInterval=10,
     )
     return fit_model(train, forest, label, ignore, encoding)
 
 
 def fit_boosting(train: DataFrame, label: str = "price", ignore: Sequence[str] = (), rounds: int = 1500,
-                 depth: int = 5, rate: float = 0.01, encoding: str = "index", max_bins: int = 128,
+                 depth: int = 5, rate: float = 0.01, encoding: str = "index", max_bins: int = 64,
                  seed: int = SEED) -> PipelineModel:
-    """Gradient boosted trees on squared error."""
+    """Gradient boosted trees on squared error; the running errors are checkpointed every ten rounds."""
     boosting = GBTRegressor(
         labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, lossType="squared", seed=seed,
         maxBins=_bins(train, label, ignore, encoding, max_bins), maxMemoryInMB=1024,
-        cacheNodeIds=True, checkpointInterval=10,
+        checkpointInterval=10,
     )
     return fit_model(train, boosting, label, ignore, encoding)
 
@@ -112,7 +111,7 @@ def _bins(train: DataFrame, label: str, ignore: Sequence[str], encoding: str, at
 
 
 def fit_band_tree(train: DataFrame, bands: str = "band", ignore: Sequence[str] = ("price",), depth: int = 10,
-                  encoding: str = "index", max_bins: int = 128, seed: int = SEED) -> PipelineModel:
+                  encoding: str = "index", max_bins: int = 64, seed: int = SEED) -> PipelineModel:
     """Decision tree for price bands, split by entropy."""
     tree = DecisionTreeClassifier(
         labelCol=bands, impurity="entropy", maxDepth=min(depth, 30), seed=seed,
@@ -136,7 +135,7 @@ def fit_band_net(train: DataFrame, n_bands: int, bands: str = "band", ignore: Se
 def grid_search(train: DataFrame, key: str, label: str = "price", ignore: Sequence[str] = (),
                 grid: Mapping[str, Sequence] | None = None, model: Estimator | None = None, folds: int = 5,
                 encoding: str = "index", metric: str = "r2", parallelism: int = 2,
-                max_bins: int = 128) -> tuple[DataFrame, dict]:
+                max_bins: int = 64, depth: int = 10) -> tuple[DataFrame, dict]:
     """Cross-validated score of every parameter set (mean and std over folds), and the best set.
 
     Folds follow from the row key, so they do not change with the layout of the data. By default a
@@ -145,7 +144,7 @@ def grid_search(train: DataFrame, key: str, label: str = "price", ignore: Sequen
     shared_dir(train.sparkSession)
     if model is None:
         model = RandomForestRegressor(
-            labelCol=label, featureSubsetStrategy="all", seed=SEED, maxDepth=10,
+            labelCol=label, featureSubsetStrategy="all", seed=SEED, maxDepth=min(depth, 30),
             maxBins=_bins(train, label, [key, *ignore], encoding, max_bins),
         )
     grid = grid or {"numTrees": [200, 500]}
