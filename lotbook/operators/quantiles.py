@@ -20,99 +20,106 @@ from lotbook.session import cut_lineage
 BROADCAST_ROWS = 50_000
 
 
-def join_group_rows(rows: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Put a table of one row per group next to the rows of the group.
-
-    The table is written down and counted first: it is broadcast when small, which leaves the data
-    unshuffled; otherwise an ordinary join is planned, where adaptive execution splits hot groups.
-    """
-    per_group = cut_lineage(per_group)
-    small = per_group.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(per_group) if small else per_group, list(by))
-
-
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    accuracy: int = 10_000,
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000
 ) -> DataFrame:
     """by..., prob, n, quantile: linear interpolation between the two nearest ranks.
 
     Nulls in ``value`` or ``by`` do not count. Three column-pruned scans; two of them run right away.
     """
+    return quantiles_and_aggregates(df, value, probs, by, accuracy)[0]
+
+
+def quantiles_and_aggregates(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000,
+    also: Sequence[Column] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """As ``exact_quantiles``, and a small written table of further aggregates (over the column ``_v``)
+    that share its first scan."""
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).na.drop("any")
     marks = sorted({min(max(p + side * 2.0 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)})
 
-    sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_cuts")
+    sketch = cut_lineage(
+        rows.groupBy(*by).agg(
+            F.count("*").alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_cuts"), *also
+        )
     )
-    if by:
-        sketched = join_group_rows(rows, sketch, by)
-        n, cuts = F.any_value("_n"), F.any_value("_cuts")
-    else:
-        first = sketch.first()
-        sketched = rows
-        n = F.lit(first["_n"]).cast("bigint")
-        cuts = F.lit([float(c) for c in first["_cuts"] or [0.0] * len(marks)])
-        sketched = sketched.withColumn("_cuts", cuts)
-    below = [F.count_if(F.col("_v") <= F.col("_cuts")[i]) for i in range(len(marks))]
-    counted = sketched.groupBy(*by).agg(n.alias("_n"), F.any_value("_cuts").alias("_cuts"), F.array(*below).alias("_below"))
-    brackets = counted.select(
-        *by, F.array(*[_bracket(p, len(marks)) for p in probs]).alias("_brackets")
+    marked = _beside(rows, sketch.select(*by, "_n", "_cuts"), by)
+    cuts = [F.col("_cuts")[i] for i in range(len(marks))]
+    counted = marked.groupBy(*by).agg(
+        F.any_value("_n").alias("_n"),
+        F.any_value("_cuts").alias("_cuts"),
+        F.array(*[F.count_if(F.col("_v") <= c) for c in cuts]).alias("_upto"),
+        F.array(*[F.count_if(F.col("_v") < c) for c in cuts]).alias("_under"),
+    )
+    brackets = cut_lineage(
+        counted.where("_n > 0").select(*by, F.array(*[_bracket(p, len(marks)) for p in probs]).alias("_brackets"))
     )
-    if by:
-        bracketed = join_group_rows(rows, brackets, by)
-    else:
-        only = brackets.first()["_brackets"]
-        literal = F.array(
-            *[
-                F.struct(*[F.lit(v).cast(t).alias(k) for (k, t), v in zip(_BRACKET_TYPES, b)])
-                for b in only
-            ]
-        )
-        bracketed = rows.withColumn("_brackets", literal)
 
     def holds(b: Column) -> Column:
-        return F.coalesce(F.col("_v") > b["lo"], F.lit(True)) & F.coalesce(F.col("_v") <= b["hi"], F.lit(True))
+        v = F.col("_v")
+        above = F.coalesce(v > b["lo"], F.lit(True)) | (b["closed"] & (v == b["lo"]))
+        return above & F.coalesce(v <= b["hi"], F.lit(True))
 
-    near = bracketed.select(*by, "_v", F.explode(F.filter("_brackets", holds)).alias("_b"))
+    near = _beside(rows, brackets, by).select(*by, "_v", F.explode(F.filter("_brackets", holds)).alias("_b"))
     copies = near.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(
+    so_far = F.sum("_c").over(
         Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = copies.withColumn("_upto", F.col("_b.below") + upto)
+    ranked = copies.withColumn("_upto", F.col("_b.below") + so_far)
     picked = ranked.groupBy(*by, "_b").agg(
         F.min(F.when(F.col("_upto") > F.col("_b.rank_lo"), F.col("_v"))).alias("_lower"),
         F.min(F.when(F.col("_upto") > F.col("_b.rank_hi"), F.col("_v"))).alias("_upper"),
     )
-    return picked.select(
-        *by,
-        F.col("_b.prob").alias("prob"),
-        F.col("_b.n").alias("n"),
-        (F.col("_lower") + (F.col("_upper") - F.col("_lower")) * F.col("_b.part")).alias("quantile"),
-    )
+    quantile = F.col("_lower") + (F.col("_upper") - F.col("_lower")) * F.col("_b.part")
+    table = picked.select(*by, F.col("_b.prob").alias("prob"), F.col("_b.n").alias("n"), quantile.alias("quantile"))
+    return table, sketch.drop("_n", "_cuts")
+
+
+def _beside(rows: DataFrame, written: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Put the columns of a written table of one row per group next to the rows of the group.
+
+    Without groups it is one row, read as a scalar subquery. With groups the table is counted: it is
+    broadcast when small, which leaves the data unshuffled; otherwise an ordinary join is planned,
+    where adaptive execution splits hot groups.
+    """
+    if not by:
+        whole = written.select(F.struct("*").alias("_one")).scalar()
+        return rows.withColumn("_one", whole).select(*rows.columns, *[f"_one.{c}" for c in written.columns])
+    small = written.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(written) if small else written, list(by))
 
 
 _BRACKET_TYPES = (
     ("prob", "double"), ("n", "bigint"), ("rank_lo", "bigint"), ("rank_hi", "bigint"), ("part", "double"),
-    ("lo", "double"), ("hi", "double"), ("below", "bigint"),
+    ("below", "bigint"), ("lo", "double"), ("closed", "boolean"), ("hi", "double"),
 )
 
 
 def _bracket(prob: float, n_marks: int) -> Column:
-    """Where the two ranks of one quantile lie: above ``lo`` (null: from the start) and up to ``hi``
-    (null: to the end), with ``below`` rows not above ``lo``."""
+    """The range that holds the two ranks of one quantile.
+
+    It starts above ``lo`` (at ``lo`` if closed, at the smallest value if null) and ends with ``hi``
+    (with the largest value if null); ``below`` rows come before it. A closed start keeps everything
+    smaller than a very frequent value out of the range.
+    """
     position = F.lit(float(prob)) * (F.col("_n") - 1)
     rank_lo, rank_hi = F.floor(position), F.ceil(position)
-    cuts = [F.col("_cuts")[i] for i in range(n_marks)]
-    upto = [F.col("_below")[i] for i in range(n_marks)]
-    lo = F.greatest(*[F.when(u <= rank_lo, c) for c, u in zip(cuts, upto)], F.lit(None).cast("double"))
-    below = F.greatest(*[F.when(u <= rank_lo, u) for u in upto], F.lit(0).cast("bigint"))
-    hi = F.least(*[F.when(u > rank_hi, c) for c, u in zip(cuts, upto)], F.lit(None).cast("double"))
-    values = (F.lit(float(prob)), F.col("_n"), rank_lo, rank_hi, position - rank_lo, lo, hi, below)
+    starts, ends = [], []
+    for i in range(n_marks):
+        cut, upto, under = F.col("_cuts")[i], F.col("_upto")[i], F.col("_under")[i]
+        for before, closed in ((upto, False), (under, True)):
+            start = F.struct(before.alias("below"), cut.alias("lo"), F.lit(closed).alias("closed"))
+            starts.append(F.when(before <= rank_lo, start))
+        ends.append(F.when(upto > rank_hi, cut))
+    whole = F.struct(
+        F.lit(0).cast("bigint").alias("below"), F.lit(None).cast("double").alias("lo"), F.lit(False).alias("closed")
+    )
+    start = F.greatest(whole, *starts)
+    end = F.least(*ends, F.lit(None).cast("double"))
+    values = (F.lit(float(prob)), F.col("_n"), rank_lo, rank_hi, position - rank_lo,
+              start["below"], start["lo"], start["closed"], end)
     return F.struct(*[v.cast(t).alias(k) for (k, t), v in zip(_BRACKET_TYPES, values)])
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from lotbook.functions.distributions import normal_pdf, pooled_t, two_sided_p
 from lotbook.functions.hashing import digest, standard_normal
-from lotbook.operators.quantiles import exact_quantiles
+from lotbook.operators.quantiles import quantiles_and_aggregates
 
 QUARTILES = (0.25, 0.5, 0.75)
+QUARTILE_NAMES = ("p25", "p50", "p75")
 
 
 def value_counts(df: DataFrame, column: str, k: int | None = 10) -> DataFrame:
@@ -45,23 +46,24 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), appr
         ),
     ).where(F.col("_x").isNotNull())
     keys = [*by, "column"]
-    quartile_names = ["p25", "p50", "p75"]
-    aggregates = [
-        F.count("*").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
-        F.min("_x").alias("min"), F.max("_x").alias("max"),
-    ]
+
+    def aggregates(x: str) -> list[Column]:
+        return [
+            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min"), F.max(x).alias("max"),
+        ]
+
     if approx:
-        aggregates.append(F.percentile_approx("_x", list(QUARTILES)).alias("_q"))
-        table = long.groupBy(*keys).agg(*aggregates)
-        table = table.select(
-            *keys, "count", "mean", "std", "min", *[F.col("_q")[i].alias(q) for i, q in enumerate(quartile_names)], "max"
+        table = long.groupBy(*keys).agg(
+            *aggregates("_x"), F.percentile_approx("_x", list(QUARTILES)).alias("_q")
         )
-        return table
-    moments = long.groupBy(*keys).agg(*aggregates)
-    quartiles = exact_quantiles(long, "_x", QUARTILES, keys).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(q) for p, q in zip(QUARTILES, quartile_names)]
+        quartile_columns = [F.col("_q")[i].alias(q) for i, q in enumerate(QUARTILE_NAMES)]
+        return table.select(*keys, "count", "mean", "std", "min", *quartile_columns, "max")
+    quartiles, rest = quantiles_and_aggregates(long, "_x", QUARTILES, keys, also=aggregates("_v"))
+    quartiles = quartiles.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(q) for p, q in zip(QUARTILES, QUARTILE_NAMES)]
     )
-    return moments.join(quartiles, keys).select(*keys, "count", "mean", "std", "min", *quartile_names, "max")
+    return rest.join(quartiles, keys).select(*keys, "count", "mean", "std", "min", *QUARTILE_NAMES, "max")
 
 
 def moments(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -137,24 +139,18 @@ def _with_range(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, value: str, n: int, group: str | None = None,
-              groups: Sequence[str] | None = None) -> DataFrame:
-    """group, bin, lo, hi, n_rows: equal-width bins on the range of all chosen groups, empty bins included."""
-    if group is None:
-        group = "group"
-        df = df.withColumn(group, F.lit("all"))
+def _filled_bins(df: DataFrame, value: str, n: int, group: str, groups: Sequence[str] | None) -> DataFrame:
+    """group, bin, lo, hi, n_rows, total: every bin of every group, and the rows of the group."""
     if groups is not None:
         df = df.where(F.col(group).isin(*groups))
     rows = _with_range(df.select(group, value).na.drop("any"), value)
-    binned = rows.groupBy(group, bin_number(F.col(value), F.col("_lo"), F.col("_hi"), n).alias("bin"), "_lo", "_hi")
-    counts = binned.agg(F.count("*").alias("n_rows"))
-    # at most n entries per group
+    where = bin_number(F.col(value), F.col("_lo"), F.col("_hi"), n)
+    counts = rows.groupBy(group, where.alias("bin"), "_lo", "_hi").agg(F.count("*").alias("n_rows"))
+    # from here on at most n entries per group
     per_group = counts.groupBy(group, "_lo", "_hi").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n_rows"))).alias("_counts")
-    )
-    filled = per_group.select(
-        group, "_lo", "_hi", "_counts", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin")
+        F.map_from_entries(F.collect_list(F.struct("bin", "n_rows"))).alias("_counts"), F.sum("n_rows").alias("total")
     )
+    filled = per_group.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
     width = (F.col("_hi") - F.col("_lo")) / n
     return filled.select(
         group,
@@ -162,17 +158,22 @@ def histogram(df: DataFrame, value: str, n: int, group: str | None = None,
         (F.col("_lo") + F.col("bin") * width).alias("lo"),
         (F.col("_lo") + (F.col("bin") + 1) * width).alias("hi"),
         F.coalesce(F.element_at("_counts", F.col("bin")), F.lit(0)).cast("bigint").alias("n_rows"),
+        "total",
     )
 
 
+def histogram(df: DataFrame, value: str, n: int, group: str, groups: Sequence[str] | None = None) -> DataFrame:
+    """group, bin, lo, hi, n_rows: equal-width bins on the range of all chosen groups, empty bins included."""
+    return _filled_bins(df, value, n, group, groups).drop("total")
+
+
 def density_histogram(df: DataFrame, value: str, n: int = 60, group: str | None = None,
                       groups: Sequence[str] | None = None) -> DataFrame:
-    """As ``histogram``, with the share of the group's rows per unit of width."""
-    counts = histogram(df, value, n, group, groups)
-    group = group or "group"
-    totals = counts.groupBy(group).agg(F.sum("n_rows").alias("_total"))
-    density = F.col("n_rows") / (F.col("_total") * (F.col("hi") - F.col("lo")))
-    return counts.join(totals, group).select(group, "bin", "lo", "hi", "n_rows", density.alias("density"))
+    """As ``histogram``, with the share of the group's rows per unit of width; one group 'all' by default."""
+    if group is None:
+        group, df = "group", df.withColumn("group", F.lit("all"))
+    density = F.col("n_rows") / (F.col("total") * (F.col("hi") - F.col("lo")))
+    return _filled_bins(df, value, n, group, groups).withColumn("density", density).drop("total")
 
 
 def normal_curve(df: DataFrame, value: str, n: int = 60, by: str | None = None) -> DataFrame:
