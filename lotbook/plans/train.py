@@ -55,7 +55,9 @@ def compare_models(
     rows = with_row_key(drop_repeats(drop_incomplete(table)))
     rows = staged(rows, "keyed")
     if sample is not None:
-        rows = staged(sample_n(rows, sample, KEY, seed), "sample")
+        # a small sample of a large table is left in many tiny pieces; training wants one per core
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        rows = staged(sample_n(rows, sample, KEY, seed).repartition(cores), "sample")
     # the sample took the lowest digests of this seed, so the split needs another one
     train, test = split(rows, test_size, KEY, seed + 1)
     models = {name: fit(train) for name, fit in fits.items()}
