@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,34 +55,33 @@ def page_colors(text: Column) -> Column:
 
 
 def field(fragment: Column, pattern: str) -> Column:
-    """All matches of a field, comma-joined (more than one spoils the line, see ``cell``); null if none."""
-    found = F.regexp_extract_all(fragment, F.lit(LINE_FEED_ONLY + pattern), F.lit(1))
-    return F.when(F.size(found) > 0, F.array_join(found, ", "))
+    """All matches of a field, comma-joined (more than one spoils the line); empty if there is none."""
+    return F.array_join(F.regexp_extract_all(fragment, F.lit(LINE_FEED_ONLY + pattern), F.lit(1)), ", ")
 
 
-def fields(fragment: Column, patterns: Mapping[str, str] = FIELD_PATTERNS) -> Column:
-    """A struct with one nullable text per pattern."""
-    return F.struct(*[field(fragment, p).alias(name) for name, p in patterns.items()])
+def line(cells: Sequence[Column], color: Column) -> Column:
+    """The listing as one comma-separated line, colour last, without quotes, apostrophes and brackets."""
+    joined = F.concat_ws(",", *cells, color)
+    return F.translate(F.replace(joined, F.lit("[]"), F.lit(",")), "[]'\"", "")
 
 
-def cell(value: Column) -> Column:
-    """A field as it stands in the line: without quotes, apostrophes and brackets."""
-    return F.translate(F.replace(value, F.lit("[]"), F.lit(",")), "[]'\"", "")
+def presence(cells: Sequence[Column]) -> Column:
+    """One digit per cell: 1 if present, 0 if missing."""
+    return F.concat(*[F.when(c == "", "0").otherwise("1") for c in cells])
 
 
-def line(cells: Column, names: list[str], color: Column) -> Column:
-    """The listing as one comma-separated line, colour last; missing cells are empty."""
-    return F.concat_ws(",", *[F.coalesce(cell(cells[n]), F.lit("")) for n in names], cell(color))
+def all_missing(present: Column) -> Column:
+    return ~F.contains(present, F.lit("1"))
 
 
-def gap_inside(cells: Column, names: list[str]) -> Column:
+def gap_inside(present: Column) -> Column:
     """True if a missing cell stands between two present ones.
 
     Missing cells at either end leave their comma behind, those inside do not, so that only lines
     whose present cells form one run keep the right number of commas.
     """
-    present = F.array(*[cells[n].isNotNull() for n in names])
-    first = F.array_position(present, True)
-    last = F.lit(len(names) + 1) - F.array_position(F.reverse(present), True)
-    n_present = F.size(F.filter(present, lambda p: p))
-    return n_present < last - first + 1
+    return F.contains(F.btrim(present, F.lit("0")), F.lit("0"))
+
+
+def n_commas(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, ",", ""))

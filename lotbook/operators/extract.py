@@ -48,7 +48,8 @@ def inventory_fragments(pages: DataFrame, text: str = "script") -> DataFrame:
 def extract_fields(df: DataFrame, patterns: Mapping[str, str], fragment: str = "fragment") -> DataFrame:
     """One text column per pattern next to the other columns; null where there is no match."""
     keep = [c for c in df.columns if c != fragment]
-    return df.select(*keep, *[X.field(F.col(fragment), p).alias(name) for name, p in patterns.items()])
+    found = df.select(*keep, *[X.field(F.col(fragment), p).alias(name) for name, p in patterns.items()])
+    return found.select(*keep, *[F.nullif(F.col(name), F.lit("")).alias(name) for name in patterns])
 
 
 def colors(pages: DataFrame, text: str = "script") -> DataFrame:
@@ -78,25 +79,20 @@ def match_colors(pages: DataFrame, text: str = "script") -> DataFrame:
 
 
 def listing_lines(matched: DataFrame) -> DataFrame:
-    """page_id, pos, line and the present-or-missing state of its cells, from fragment and color."""
-    found = matched.select(PAGE_ID, "pos", "color", X.fields(F.col("fragment")).alias("_cells"))
-    return found.select(
-        PAGE_ID, "pos", X.line(F.col("_cells"), FIELDS, F.col("color")).alias("line"),
-        *_line_state(F.col("_cells")),
+    """page_id, pos, line, present: the line of each listing and which of its fields were found, from
+    fragment and color."""
+    found = matched.select(
+        PAGE_ID, "pos", "color", *[X.field(F.col("fragment"), p).alias(name) for name, p in X.FIELD_PATTERNS.items()]
     )
-
-
-def _line_state(cells: Column) -> list[Column]:
-    missing = F.lit(True)
-    for name in FIELDS:
-        missing = missing & cells[name].isNull()
-    return [X.gap_inside(cells, FIELDS).alias("gap"), missing.alias("empty")]
+    cells = [F.col(name) for name in FIELDS]
+    return found.select(PAGE_ID, "pos", X.line(cells, F.col("color")).alias("line"), X.presence(cells).alias("present"))
 
 
 def arity_filter(lines: DataFrame, column: str = "line", n_commas: int = N_COMMAS) -> DataFrame:
     """Keep lines with the right number of commas, no gap between present cells, and not all empty."""
-    right = F.regexp_count(F.col(column), F.lit(",")) == n_commas
-    return lines.where(right & ~F.col("gap") & ~F.col("empty"))
+    present = F.col("present")
+    right = X.n_commas(F.col(column)) == n_commas
+    return lines.where(right & ~X.gap_inside(present) & ~X.all_missing(present))
 
 
 def distinct_lines(lines: DataFrame, keys: Sequence[str] = (PAGE_ID, "line")) -> DataFrame:
@@ -126,24 +122,34 @@ def judged_lines(pages: DataFrame, html: str = "html") -> DataFrame:
         PAGE_ID, *others, (F.col("script") == "").alias("_blank"),
         X.listing_fragments(F.col("script")).alias("_f"), X.page_colors(F.col("script")).alias("_c"),
     )
-    # fields once per fragment, then the line and its verdict from the fields
-    with_fields = found.withColumn(
-        "_cells", F.transform("_f", lambda part, i: F.struct(X.fields(part).alias("cells"), i.alias("pos")))
+    # one step after the other, so that nothing is worked out twice: fields, then line, then verdict
+    fields = found.withColumn(
+        "_f",
+        F.transform(
+            "_f",
+            lambda part, i: F.struct(
+                i.alias("pos"), *[X.field(part, p).alias(name) for name, p in X.FIELD_PATTERNS.items()]
+            ),
+        ),
     )
 
+    def as_line(item: Column) -> Column:
+        cells, color = [item[name] for name in FIELDS], F.get(F.col("_c"), item["pos"])
+        text = F.when(color.isNotNull(), X.line(cells, color))
+        return F.struct(item["pos"].alias("pos"), text.alias("line"), X.presence(cells).alias("present"))
+
     def judge(item: Column) -> Column:
-        cells, color = item["cells"], F.get(F.col("_c"), item["pos"])
-        text = F.when(color.isNotNull(), X.line(cells, FIELDS, color))
-        gap, empty = _line_state(cells)
         reason = (
-            F.when(color.isNull(), NO_COLOR)
-            .when(empty, ALL_MISSING)
-            .when(gap, GAP)
-            .when(F.regexp_count(text, F.lit(",")) != N_COMMAS, COMMAS)
+            F.when(item["line"].isNull(), NO_COLOR)
+            .when(X.all_missing(item["present"]), ALL_MISSING)
+            .when(X.gap_inside(item["present"]), GAP)
+            .when(X.n_commas(item["line"]) != N_COMMAS, COMMAS)
         )
-        return F.struct(item["pos"].alias("pos"), text.alias("line"), reason.alias("reason"))
+        return F.struct(item["pos"].alias("pos"), item["line"].alias("line"), reason.alias("reason"))
 
-    judged = with_fields.select(PAGE_ID, *others, "_blank", F.transform("_cells", judge).alias("_lines"))
+    judged = fields.select(
+        PAGE_ID, *others, "_blank", F.transform(F.transform("_f", as_line), judge).alias("_lines")
+    )
     good = F.array_distinct(
         F.transform(F.filter("_lines", lambda x: x["reason"].isNull()), lambda x: x["line"])
     )

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotbook.session import cut_lineage
 
@@ -40,29 +41,28 @@ def quantiles_and_aggregates(
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).na.drop("any")
     marks = sorted({min(max(p + side * 2.0 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)})
 
-    sketch = cut_lineage(
-        rows.groupBy(*by).agg(
-            F.count("*").alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_cuts"), *also
-        )
+    first_pass = rows.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_cuts"), *also
     )
-    marked = _beside(rows, sketch.select(*by, "_n", "_cuts"), by)
+    sketch, marked = _beside(rows, first_pass, by, ["_cuts"])
     cuts = [F.col("_cuts")[i] for i in range(len(marks))]
     counted = marked.groupBy(*by).agg(
-        F.any_value("_n").alias("_n"),
-        F.any_value("_cuts").alias("_cuts"),
         F.array(*[F.count_if(F.col("_v") <= c) for c in cuts]).alias("_upto"),
         F.array(*[F.count_if(F.col("_v") < c) for c in cuts]).alias("_under"),
     )
-    brackets = cut_lineage(
-        counted.where("_n > 0").select(*by, F.array(*[_bracket(p, len(marks)) for p in probs]).alias("_brackets"))
+    # both sides have one row per group
+    counted = counted.join(sketch, by) if by else _beside(counted, sketch, by, ["_n", "_cuts"])[1]
+    brackets = counted.where("_n > 0").select(
+        *by, F.array(*[_bracket(p, len(marks)) for p in probs]).alias("_brackets")
     )
+    bracketed = _beside(rows, brackets, by, ["_brackets"])[1]
 
     def holds(b: Column) -> Column:
         v = F.col("_v")
         above = F.coalesce(v > b["lo"], F.lit(True)) | (b["closed"] & (v == b["lo"]))
         return above & F.coalesce(v <= b["hi"], F.lit(True))
 
-    near = _beside(rows, brackets, by).select(*by, "_v", F.explode(F.filter("_brackets", holds)).alias("_b"))
+    near = bracketed.select(*by, "_v", F.explode(F.filter("_brackets", holds)).alias("_b"))
     copies = near.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c"))
     so_far = F.sum("_c").over(
         Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -77,18 +77,32 @@ def quantiles_and_aggregates(
     return table, sketch.drop("_n", "_cuts")
 
 
-def _beside(rows: DataFrame, written: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Put the columns of a written table of one row per group next to the rows of the group.
+def _beside(rows: DataFrame, per_group: DataFrame, by: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The table of one row per group, computed once, and ``rows`` with some of its columns.
 
-    Without groups it is one row, read as a scalar subquery. With groups the table is counted: it is
-    broadcast when small, which leaves the data unshuffled; otherwise an ordinary join is planned,
-    where adaptive execution splits hot groups.
+    Without groups its single row comes to the driver and goes back as constants. With groups it is
+    written and counted: broadcast when small, which leaves the data unshuffled; otherwise an ordinary
+    join is planned, where adaptive execution splits hot groups.
     """
-    if not by:
-        whole = written.select(F.struct("*").alias("_one")).scalar()
-        return rows.withColumn("_one", whole).select(*rows.columns, *[f"_one.{c}" for c in written.columns])
-    small = written.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(written) if small else written, list(by))
+    if by:
+        per_group = cut_lineage(per_group)
+        wanted = per_group.select(*by, *columns)
+        small = per_group.count() <= BROADCAST_ROWS
+        return per_group, rows.join(F.broadcast(wanted) if small else wanted, list(by))
+    found = per_group.collect()  # one row, or none
+    row = per_group.sparkSession.createDataFrame(found, per_group.schema)
+    constants = [_constant(found[0][c] if found else None, per_group.schema[c].dataType).alias(c) for c in columns]
+    return row, rows.select(*rows.columns, *constants)
+
+
+def _constant(value, dtype: T.DataType) -> Column:
+    if value is None:
+        return F.lit(None).cast(dtype)
+    if isinstance(dtype, T.ArrayType):
+        return F.array(*[_constant(v, dtype.elementType) for v in value])
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_constant(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+    return F.lit(value).cast(dtype)
 
 
 _BRACKET_TYPES = (
