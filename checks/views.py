@@ -5,6 +5,8 @@ Views written as SQL run unchanged in Spark and in DuckDB, so the oracle can inl
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,9 @@ NEEDS = {"listings_dirty": "listings", "price_signal": "listings"}
 LISTING_COLUMNS = ["price", "make", "model", "year", "body_style", "city", "state", "mileage", "color"]
 
 
+@cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its schema is looked up once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

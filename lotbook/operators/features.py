@@ -24,6 +24,9 @@ from lotbook.operators.stats import min_max
 MAX_DUMMIES = 5_000
 MISSING = "nan"
 
+# Endings of intermediate columns, and the name Spark gives to the slot of missing values.
+INDEX, CODED, UNKNOWN = "__index", "__coded", "__unknown"
+
 
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None, max_columns: int = MAX_DUMMIES) -> DataFrame:
     """Replace each text column by one 0/1 column per value, named column_value, and one for null."""
@@ -71,12 +74,12 @@ def feature_stages(
     stages: list[Estimator | Transformer] = []
     inputs = list(numeric)
     if text:
-        indexed = [f"{c}_index" for c in text]
+        indexed = [f"{c}{INDEX}" for c in text]
         stages.append(
             StringIndexer(inputCols=text, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc")
         )
         if encoding == "one_hot":
-            coded = [f"{c}_coded" for c in text]
+            coded = [f"{c}{CODED}" for c in text]
             stages.append(OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=False))
             inputs += coded
         elif encoding == "index":
@@ -94,7 +97,8 @@ def feature_names(df: DataFrame, column: str = "features") -> list[str]:
     """Names of the slots of an assembled vector, as column or column_value."""
     attributes = df.schema[column].metadata["ml_attr"]["attrs"]
     slots = sorted((a["idx"], a["name"]) for kind in attributes.values() for a in kind)
-    return [name.replace("_coded_", "_").replace("__unknown", f"_{MISSING}").removesuffix("_index") for _, name in slots]
+    names = [name.removesuffix(INDEX).replace(f"{CODED}_", "_", 1) for _, name in slots]
+    return [n.removesuffix(UNKNOWN) + MISSING if n.endswith(f"_{UNKNOWN}") else n for n in names]
 
 
 def source_column(slot: str, columns: Sequence[str]) -> str:

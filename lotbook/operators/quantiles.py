@@ -9,12 +9,13 @@ error of the sketch: a bad sketch would only widen the range that has to be orde
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotbook.operators.clean import drop_incomplete
 from lotbook.session import cut_lineage
 
 # Rows per group table up to which it is broadcast; each row holds a few dozen numbers.
@@ -35,39 +36,35 @@ def quantiles_and_aggregates(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000,
     also: Sequence[Column] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """As ``exact_quantiles``, and a small written table of further aggregates (over the column ``_v``)
-    that share its first scan."""
+    """As ``exact_quantiles``, and a table of further aggregates (over the column ``_v``), which share
+    its first scan if there are groups."""
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).na.drop("any")
+    rows = drop_incomplete(df.select(*by, F.col(value).cast("double").alias("_v")))
     marks = sorted({min(max(p + side * 2.0 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)})
 
     first_pass = rows.groupBy(*by).agg(
         F.count("*").alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_cuts"), *also
     )
-    sketch, marked = _beside(rows, first_pass, by, ["_cuts"])
-    cuts = [F.col("_cuts")[i] for i in range(len(marks))]
-    counted = marked.groupBy(*by).agg(
-        F.array(*[F.count_if(F.col("_v") <= c) for c in cuts]).alias("_upto"),
-        F.array(*[F.count_if(F.col("_v") < c) for c in cuts]).alias("_under"),
-    )
-    # both sides have one row per group
-    counted = counted.join(sketch, by) if by else _beside(counted, sketch, by, ["_n", "_cuts"])[1]
-    brackets = counted.where("_n > 0").select(
-        *by, F.array(*[_bracket(p, len(marks)) for p in probs]).alias("_brackets")
-    )
-    bracketed = _beside(rows, brackets, by, ["_brackets"])[1]
-
-    def holds(b: Column) -> Column:
-        v = F.col("_v")
-        above = F.coalesce(v > b["lo"], F.lit(True)) | (b["closed"] & (v == b["lo"]))
-        return above & F.coalesce(v <= b["hi"], F.lit(True))
-
-    near = bracketed.select(*by, "_v", F.explode(F.filter("_brackets", holds)).alias("_b"))
+    sketch, with_sketch = _once(first_pass, by)
+    marked = with_sketch(rows, ["_cuts"])
+    counts = {
+        name: ", ".join(f"count_if(_v {sign} _cuts[{i}])" for i in range(len(marks)))
+        for name, sign in (("_upto", "<="), ("_under", "<"))
+    }
+    counted = marked.groupBy(*by).agg(*[F.expr(f"array({each})").alias(name) for name, each in counts.items()])
+    counted = with_sketch(counted, ["_n", "_cuts"]).where("_n > 0")
+    _, with_brackets = _once(counted.select(*by, _brackets(probs).alias("_brackets")), by)
+
+    # a bracket without a bound is open there
+    holds = F.expr("""filter(_brackets, b ->
+        (b.start.lo is null or _v > b.start.lo or (b.start.closed and _v = b.start.lo))
+        and (b.hi is null or _v <= b.hi))""")
+    near = with_brackets(rows, ["_brackets"]).select(*by, "_v", F.explode(holds).alias("_b"))
     copies = near.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c"))
     so_far = F.sum("_c").over(
         Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = copies.withColumn("_upto", F.col("_b.below") + so_far)
+    ranked = copies.withColumn("_upto", F.col("_b.start.below") + so_far)
     picked = ranked.groupBy(*by, "_b").agg(
         F.min(F.when(F.col("_upto") > F.col("_b.rank_lo"), F.col("_v"))).alias("_lower"),
         F.min(F.when(F.col("_upto") > F.col("_b.rank_hi"), F.col("_v"))).alias("_upper"),
@@ -77,64 +74,64 @@ def quantiles_and_aggregates(
     return table, sketch.drop("_n", "_cuts")
 
 
-def _beside(rows: DataFrame, per_group: DataFrame, by: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The table of one row per group, computed once, and ``rows`` with some of its columns.
+def _once(per_group: DataFrame, by: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame, list[str]], DataFrame]]:
+    """A table of one row per group, worked out once, and how to put its columns next to other rows.
 
     Without groups its single row comes to the driver and goes back as constants. With groups it is
     written and counted: broadcast when small, which leaves the data unshuffled; otherwise an ordinary
     join is planned, where adaptive execution splits hot groups.
     """
-    if by:
-        per_group = cut_lineage(per_group)
-        wanted = per_group.select(*by, *columns)
-        small = per_group.count() <= BROADCAST_ROWS
-        return per_group, rows.join(F.broadcast(wanted) if small else wanted, list(by))
-    found = per_group.collect()  # one row, or none
-    row = per_group.sparkSession.createDataFrame(found, per_group.schema)
-    constants = [_constant(found[0][c] if found else None, per_group.schema[c].dataType).alias(c) for c in columns]
-    return row, rows.select(*rows.columns, *constants)
-
-
-def _constant(value, dtype: T.DataType) -> Column:
-    if value is None:
-        return F.lit(None).cast(dtype)
-    if isinstance(dtype, T.ArrayType):
-        return F.array(*[_constant(v, dtype.elementType) for v in value])
-    if isinstance(dtype, T.StructType):
-        return F.struct(*[_constant(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
-    return F.lit(value).cast(dtype)
-
-
-_BRACKET_TYPES = (
-    ("prob", "double"), ("n", "bigint"), ("rank_lo", "bigint"), ("rank_hi", "bigint"), ("part", "double"),
-    ("below", "bigint"), ("lo", "double"), ("closed", "boolean"), ("hi", "double"),
-)
-
-
-def _bracket(prob: float, n_marks: int) -> Column:
-    """The range that holds the two ranks of one quantile.
-
-    It starts above ``lo`` (at ``lo`` if closed, at the smallest value if null) and ends with ``hi``
-    (with the largest value if null); ``below`` rows come before it. A closed start keeps everything
-    smaller than a very frequent value out of the range.
+    if not by:
+        found = per_group.first()  # nothing if there are no rows at all
+
+        def constants(rows: DataFrame, columns: list[str]) -> DataFrame:
+            values = [_constant(found and found[c], per_group.schema[c].dataType) for c in columns]
+            return rows.selectExpr("*", *[f"{v} as {c}" for v, c in zip(values, columns)])
+
+        return per_group, constants
+
+    table = cut_lineage(per_group)
+    small = table.count() <= BROADCAST_ROWS
+
+    def joined(rows: DataFrame, columns: list[str]) -> DataFrame:
+        wanted = table.select(*by, *columns)
+        return rows.join(F.broadcast(wanted) if small else wanted, list(by))
+
+    return table, joined
+
+
+def _constant(value, dtype: T.DataType) -> str:
+    """A value of one result row as SQL text."""
+    if value is not None and isinstance(dtype, T.ArrayType):
+        return f"array({', '.join(_constant(v, dtype.elementType) for v in value)})"
+    if value is not None and isinstance(dtype, T.StructType):
+        return f"named_struct({', '.join(f"'{f.name}', {_constant(value[f.name], f.dataType)}" for f in dtype.fields)})"
+    text = "null" if value is None else f"'{value!r}'"
+    return f"cast({text} as {dtype.simpleString()})"
+
+
+def _brackets(probs: Sequence[float]) -> Column:
+    """For each quantile the range that holds its two ranks.
+
+    The range starts above ``lo`` (at ``lo`` if closed, at the smallest value if null) and ends with
+    ``hi`` (with the largest value if null); ``below`` rows come before it. A closed start keeps
+    everything smaller than a very frequent value out of the range.
     """
-    position = F.lit(float(prob)) * (F.col("_n") - 1)
-    rank_lo, rank_hi = F.floor(position), F.ceil(position)
-    starts, ends = [], []
-    for i in range(n_marks):
-        cut, upto, under = F.col("_cuts")[i], F.col("_upto")[i], F.col("_under")[i]
-        for before, closed in ((upto, False), (under, True)):
-            start = F.struct(before.alias("below"), cut.alias("lo"), F.lit(closed).alias("closed"))
-            starts.append(F.when(before <= rank_lo, start))
-        ends.append(F.when(upto > rank_hi, cut))
-    whole = F.struct(
-        F.lit(0).cast("bigint").alias("below"), F.lit(None).cast("double").alias("lo"), F.lit(False).alias("closed")
-    )
-    start = F.greatest(whole, *starts)
-    end = F.least(*ends, F.lit(None).cast("double"))
-    values = (F.lit(float(prob)), F.col("_n"), rank_lo, rank_hi, position - rank_lo,
-              start["below"], start["lo"], start["closed"], end)
-    return F.struct(*[v.cast(t).alias(k) for (k, t), v in zip(_BRACKET_TYPES, values)])
+    wanted = ", ".join(f"double('{float(p)!r}')" for p in probs)
+    marks = "arrays_zip(_cuts, _upto, _under)"
+    return F.expr(f"""
+        transform(
+            transform(array({wanted}), p -> named_struct('prob', p, 'at', p * (_n - 1))),
+            q -> named_struct(
+                'prob', q.prob, 'n', _n, 'part', q.at - floor(q.at), 'rank_lo', floor(q.at), 'rank_hi', ceil(q.at),
+                'start', array_max(concat(
+                    array(named_struct('below', 0L, 'lo', double(null), 'closed', false)),
+                    transform(filter({marks}, m -> m._upto <= floor(q.at)),
+                              m -> named_struct('below', m._upto, 'lo', m._cuts, 'closed', false)),
+                    transform(filter({marks}, m -> m._under <= floor(q.at)),
+                              m -> named_struct('below', m._under, 'lo', m._cuts, 'closed', true)))),
+                'hi', array_min(transform(filter({marks}, m -> m._upto > ceil(q.at)), m -> m._cuts))))
+    """)
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

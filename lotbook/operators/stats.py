@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lotbook.functions.distributions import normal_pdf, pooled_t, two_sided_p
 from lotbook.functions.hashing import digest, standard_normal
+from lotbook.operators.clean import drop_incomplete
 from lotbook.operators.quantiles import quantiles_and_aggregates
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -143,7 +144,7 @@ def _filled_bins(df: DataFrame, value: str, n: int, group: str, groups: Sequence
     """group, bin, lo, hi, n_rows, total: every bin of every group, and the rows of the group."""
     if groups is not None:
         df = df.where(F.col(group).isin(*groups))
-    rows = _with_range(df.select(group, value).na.drop("any"), value)
+    rows = _with_range(drop_incomplete(df.select(group, value)), value)
     where = bin_number(F.col(value), F.col("_lo"), F.col("_hi"), n)
     counts = rows.groupBy(group, where.alias("bin"), "_lo", "_hi").agg(F.count("*").alias("n_rows"))
     # from here on at most n entries per group
@@ -204,6 +205,6 @@ def scatter_bins(df: DataFrame, group: str, value: str, n: int, groups: Sequence
     """group, bin, n_rows: how many points a scatter of value by group would have in each value bin."""
     if groups is not None:
         df = df.where(F.col(group).isin(*groups))
-    rows = _with_range(df.select(group, value).na.drop("any"), value)
+    rows = _with_range(drop_incomplete(df.select(group, value)), value)
     where = bin_number(F.col(value), F.col("_lo"), F.col("_hi"), n)
     return rows.groupBy(group, where.alias("bin")).agg(F.count("*").alias("n_rows"))
