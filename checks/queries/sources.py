@@ -153,10 +153,10 @@ def saved_model(spark, sf_dir):
     select distinct {COLUMNS} from listings_dirty where price is not null and color is not null""",
 )
 def stream_ingest(spark, sf_dir):
-    """Four files, one per trigger."""
+    """Four files, two per trigger."""
     source, out, marks = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-marks"))
     listings_dirty(spark, sf_dir).repartition(4).write.csv(source)
-    ingest_stream(spark, source, out, marks, files_per_trigger=1).awaitTermination()
+    ingest_stream(spark, source, out, marks, files_per_trigger=2).awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -20,6 +20,9 @@ from lotbook.operators.clean import columns_of_type
 from lotbook.operators.quantiles import exact_quantiles
 from lotbook.operators.stats import min_max
 
+# Every text value becomes a label that the driver holds; more than this is no category but free text.
+MAX_VALUES = 200_000
+
 # A table with more dummy columns than this should use the sparse vector form (feature_stages).
 MAX_DUMMIES = 5_000
 MISSING = "nan"
@@ -55,6 +58,13 @@ def min_max_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ranged.withColumns(scaled).drop("_r")
 
 
+def value_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """About how many values each column has, from one pass with a sketch."""
+    if not columns:
+        return {}
+    return df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first().asDict()
+
+
 def feature_stages(
     df: DataFrame,
     label: str,
@@ -66,10 +76,14 @@ def feature_stages(
 
     ``one_hot``: one slot per value and one for null or unseen values. ``index``: one slot per
     column, which tree models treat as a set of categories; much smaller for trees, which keep a
-    dense row of all slots. ``scaled`` maps every slot to [0, 1].
+    dense row of all slots. ``scaled`` maps every slot to [0, 1]. A text column with too many values to
+    be a category is refused.
     """
     taken = {label, *ignore}
     text = [c for c in columns_of_type(df, T.StringType) if c not in taken]
+    too_many = [c for c, n in value_estimates(df, text).items() if n > MAX_VALUES]
+    if too_many:
+        raise ValueError(f"more than {MAX_VALUES} values in {too_many}: ignore these columns or group their values")
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in taken]
     stages: list[Estimator | Transformer] = []
     inputs = list(numeric)

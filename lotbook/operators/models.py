@@ -16,7 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.operators.features import feature_names, feature_stages, source_column
+from lotbook.operators.features import feature_names, feature_stages, source_column, value_estimates
 from lotbook.operators.sampling import sort_by_weight, with_fold
 from lotbook.session import shared_dir
 
@@ -106,7 +106,7 @@ def _bins(train: DataFrame, label: str, ignore: Sequence[str], encoding: str, at
     if not text:
         return at_least
     # the sketch may be a few percent low
-    widest = max(train.agg(*[F.approx_count_distinct(c, 0.01) for c in text]).first())
+    widest = max(value_estimates(train, text).values())
     return max(at_least, math.ceil(widest * 1.1) + 2)
 
 

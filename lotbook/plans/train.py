@@ -9,10 +9,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotbook.functions.hashing import digest
 from lotbook.operators import models as M
 from lotbook.operators.clean import drop_incomplete, drop_repeats
 from lotbook.operators.evaluate import leaderboard
-from lotbook.operators.sampling import sample_n, split
+from lotbook.operators.sampling import digest_cutoff, split
 from lotbook.session import staged
 
 KEY = "row_key"
@@ -50,14 +51,18 @@ def compare_models(
 ) -> Comparison:
     """Distinct complete rows, a sample of them (all if None), train and test rows, models, scores.
 
-    The sample is written once, since every model reads it several times.
+    Equal rows have equal keys, so the sample is chosen among the distinct keys, and whole rows are
+    compared only within the sample. It is written once, since every model reads it several times.
     """
-    rows = with_row_key(drop_repeats(drop_incomplete(table)))
-    rows = staged(rows, "keyed")
-    if sample is not None:
+    rows = with_row_key(drop_incomplete(table))
+    if sample is None:
+        rows = staged(drop_repeats(rows), "distinct")
+    else:
+        keys = staged(rows.select(KEY).distinct(), "keys")
+        chosen = rows.where(digest(KEY, seed) <= F.lit(digest_cutoff(keys, sample, KEY, seed)))
         # a small sample of a large table is left in many tiny pieces; training wants one per core
         cores = rows.sparkSession.sparkContext.defaultParallelism
-        rows = staged(sample_n(rows, sample, KEY, seed).repartition(cores), "sample")
+        rows = staged(drop_repeats(chosen).repartition(cores), "sample")
     # the sample took the lowest digests of this seed, so the split needs another one
     train, test = split(rows, test_size, KEY, seed + 1)
     models = {name: fit(train) for name, fit in fits.items()}

@@ -50,8 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written table below the shared folder, in the folder of this application."""
+    root = shared_dir(spark).rstrip("/")
+    return f"{root}/scratch-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

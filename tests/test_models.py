@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lotbook.operators import features as X
 from lotbook.operators import models as M
 from lotbook.operators.evaluate import evaluate, leaderboard
 from lotbook.operators.features import feature_names, price_bands
@@ -65,6 +66,13 @@ def test_label_and_key_are_no_features(parts, linear):
     assert "make_Brand#1" in names and "make_nan" in names and "year" in names
 
 
+def test_free_text_is_refused(signal, monkeypatch):
+    monkeypatch.setattr(X, "MAX_VALUES", 30)
+    with pytest.raises(ValueError, match="listing_id"):
+        X.feature_stages(signal, "price")
+    assert X.feature_stages(signal, "price", [KEY])
+
+
 def test_unseen_values_are_accepted(parts, linear):
     odd = parts[1].limit(5).withColumn("make", F.lit("Brand#new")).withColumn("color", F.lit(None).cast("string"))
     assert M.predict(linear, odd).where(F.col("prediction").isNull()).count() == 0
