@@ -62,7 +62,7 @@ def value_estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """About how many values each column has, from one pass with a sketch."""
     if not columns:
         return {}
-    return df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first().asDict()
+    return df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
 
 
 def feature_stages(

@@ -11,12 +11,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.operators.features import feature_names, feature_stages, source_column, value_estimates
+from lotbook.operators.features import feature_names, feature_stages, source_column
 from lotbook.operators.sampling import sort_by_weight, with_fold
 from lotbook.session import shared_dir
 
@@ -28,7 +29,6 @@ NORMAL_SOLVER_FEATURES = 4096
 def fit_model(train: DataFrame, model: Estimator, label: str = "price", ignore: Sequence[str] = (),
               encoding: str = "one_hot", scaled: bool = False) -> PipelineModel:
     """Fit feature stages, then ``model`` on their output."""
-    shared_dir(train.sparkSession)  # boosting writes checkpoints
     stages = feature_stages(train, label, ignore, encoding, scaled)
     return Pipeline(stages=[*stages, model]).fit(train)
 
@@ -81,9 +81,9 @@ def fit_forest(train: DataFrame, label: str = "price", ignore: Sequence[str] = (
     """Random forest over all features. Spark allows a depth of 30 at most."""
     forest = RandomForestRegressor(
         labelCol=label, numTrees=trees, maxDepth=min(depth, 30), featureSubsetStrategy="all", seed=seed,
-        maxBins=_bins(train, label, ignore, encoding, max_bins), maxMemoryInMB=1024,
+        maxMemoryInMB=1024,
     )
-    return fit_model(train, forest, label, ignore, encoding)
+    return _fit_trees(train, forest, label, ignore, encoding, max_bins)
 
 
 def fit_boosting(train: DataFrame, label: str = "price", ignore: Sequence[str] = (), rounds: int = 1500,
@@ -92,32 +92,31 @@ def fit_boosting(train: DataFrame, label: str = "price", ignore: Sequence[str] =
     """Gradient boosted trees on squared error; the running errors are checkpointed every ten rounds."""
     boosting = GBTRegressor(
         labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, lossType="squared", seed=seed,
-        maxBins=_bins(train, label, ignore, encoding, max_bins), maxMemoryInMB=1024,
-        checkpointInterval=10,
+        maxMemoryInMB=1024, checkpointInterval=10,
     )
-    return fit_model(train, boosting, label, ignore, encoding)
+    return _fit_trees(train, boosting, label, ignore, encoding, max_bins)
+
+
+def _fit_trees(train: DataFrame, trees: Estimator, label: str, ignore: Sequence[str], encoding: str,
+               max_bins: int) -> PipelineModel:
+    """Feature stages, then trees with a bin for every category that was found."""
+    shared_dir(train.sparkSession)  # boosting writes checkpoints
+    features = Pipeline(stages=feature_stages(train, label, ignore, encoding)).fit(train)
+    trees.setMaxBins(max(max_bins, _widest(features)))
+    return PipelineModel([*features.stages, trees.fit(features.transform(train))])
 
 
-def _bins(train: DataFrame, label: str, ignore: Sequence[str], encoding: str, at_least: int) -> int:
-    """Trees on indexed columns need a bin for every category, and one for missing values."""
-    if encoding != "index":
-        return at_least
-    text = [f.name for f in train.schema.fields if f.dataType.typeName() == "string" and f.name not in {label, *ignore}]
-    if not text:
-        return at_least
-    # the sketch may be a few percent low
-    widest = max(value_estimates(train, text).values())
-    return max(at_least, math.ceil(widest * 1.1) + 2)
+def _widest(features: PipelineModel) -> int:
+    """Categories of the text column with the most values, missing ones included."""
+    indexers = [s for s in features.stages if isinstance(s, StringIndexerModel)]
+    return max((len(labels) + 1 for s in indexers for labels in s.labelsArray), default=2)
 
 
 def fit_band_tree(train: DataFrame, bands: str = "band", ignore: Sequence[str] = ("price",), depth: int = 10,
                   encoding: str = "index", max_bins: int = 64, seed: int = SEED) -> PipelineModel:
     """Decision tree for price bands, split by entropy."""
-    tree = DecisionTreeClassifier(
-        labelCol=bands, impurity="entropy", maxDepth=min(depth, 30), seed=seed,
-        maxBins=_bins(train, bands, ignore, encoding, max_bins),
-    )
-    return fit_model(train, tree, bands, ignore, encoding)
+    tree = DecisionTreeClassifier(labelCol=bands, impurity="entropy", maxDepth=min(depth, 30), seed=seed)
+    return _fit_trees(train, tree, bands, ignore, encoding, max_bins)
 
 
 def fit_band_net(train: DataFrame, n_bands: int, bands: str = "band", ignore: Sequence[str] = ("price",),
@@ -142,10 +141,12 @@ def grid_search(train: DataFrame, key: str, label: str = "price", ignore: Sequen
     random forest over all features is searched for its number of trees.
     """
     shared_dir(train.sparkSession)
+    stages = feature_stages(train, label, [key, *ignore], encoding)
     if model is None:
+        widest = _widest(Pipeline(stages=stages).fit(train))
         model = RandomForestRegressor(
             labelCol=label, featureSubsetStrategy="all", seed=SEED, maxDepth=min(depth, 30),
-            maxBins=_bins(train, label, [key, *ignore], encoding, max_bins),
+            maxBins=max(max_bins, widest),
         )
     grid = grid or {"numTrees": [200, 500]}
     builder = ParamGridBuilder()
@@ -153,7 +154,6 @@ def grid_search(train: DataFrame, key: str, label: str = "price", ignore: Sequen
         builder = builder.addGrid(model.getParam(name), list(values))
     sets = builder.build()
     folded = with_fold(train, folds, key)
-    stages = feature_stages(train, label, [key, *ignore], encoding)
     search = CrossValidator(
         estimator=Pipeline(stages=[*stages, model]), estimatorParamMaps=sets,
         evaluator=RegressionEvaluator(labelCol=label, metricName=metric),
