@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotbook.llm import linedup, mixing, neardup, packing, quality
+from lotbook.llm import brown, html_text, linedup, mixing, neardup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,13 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_brown_scores")
+def brown_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = brown.train(docs, brown.held_out())
+    return brown.score(docs, model, brown.held_out()).select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op2_quality_rules")
 def quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -112,3 +119,10 @@ def near_duplicates(spark, sf_dir):
 @query("op9_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), word_bpe_path()))
+
+
+@query("op7_main_text")
+def main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.main_texts(pages, html_text.fit(pages))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
