@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lotbook.llm.rows import carried, text_column
 
 SAMPLE, SAMPLE_CHARS = 200, 20_000  # pages that a model learns from, and characters of each
-LAYOUTS, ROUNDS, STEP, DECAY = 300, 150, 0.15, 1e-3
+LAYOUTS, ROUNDS, STEP, DECAY = 500, 250, 0.15, 2e-4
 SKIPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select"
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)
@@ -41,6 +41,8 @@ BLOCKS = set(
     " form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td"
     " tfoot th thead tr ul".split()
 )
+#: Elements that set a part of a page off from the rest; the innermost, or the innermost with a name, is a feature.
+PARTED = {"article", "aside", "dialog", "footer", "form", "header", "main", "menu", "nav", "section"}
 #: An opening tag that ends one of these, if it is the innermost element.
 ENDS = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"},
         "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -53,6 +55,7 @@ class Block:
     text: str
     tags: tuple[str, ...]
     names: tuple[str, ...]
+    parents: tuple[tuple[str, list[str]], ...]
     linked: float
     label: int | None
 
@@ -74,7 +77,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             labels = [y for _, _, y in stack if y is not None]
             names = tuple(n for _, more, _ in stack for n in more)
-            out.append(Block(text, tuple(t for t, _, _ in stack), names, links / max(chars, 1), labels[-1] if labels else None))
+            out.append(Block(text, tuple(t for t, _, _ in stack), names, tuple((t, n) for t, n, _ in stack), links / max(chars, 1), labels[-1] if labels else None))
         parts.clear()
         chars = links = 0
 
@@ -123,6 +126,9 @@ def features(found: list[Block]) -> list[set[str]]:
              f"link:{int(3.99 * block.linked)}", f"place:{3 * i // len(found)}", f"sign:{any(c in block.text for c in '©®»›|')}"}
         f.update(f"t:{t}" for t in block.tags)
         f.update(f"c:{n}" for n in block.names)
+        part, names = next(((t, n) for t, n in reversed(block.parents) if n or t in PARTED), ("", ()))
+        f.add(f"in:{part}")
+        f.update(f"in.{n}" for n in names)
         out.append(f)
     return out
 
@@ -222,7 +228,7 @@ PARTS = (
     "<div class=promo>%p</div>", "<div class=banner>%t</div>", "<div class=notice>%p</div>", "<div class=cookie-notice>%p</div>",
     "<div id=cookie-banner>%t</div>", "<div class=consent><p>%t</p><button>%t</button></div>", "<div class=alert>%t</div>",
     "<div role=dialog class=popup>%p</div>", "<div class=modal>%p</div>", "<form><label>%t</label><input><button>%t</button></form>",
-    "<form class=search>%t</form>", "<div class=newsletter><p>%t</p><form><button>%t</button></form></div>", "<div class=subscribe>%p</div>",
+    "<form class=search>%t</form>", "<form>%p</form>", "<form class=signup>%p<button>%t</button></form>", "<div class=newsletter><p>%t</p><form><button>%t</button></form></div>", "<div class=subscribe>%p</div>",
     "<section class=comments>%c</section>", "<section id=comments><h2>%t</h2>%c</section>", "<div class=comments>%c</div>",
     "<ol class=comment-list><li class=comment>%p</li><li class=comment>%p</li></ol>", "<div class=comment>%p</div>", "<div id=disqus>%p</div>",
     "<div class=replies><div class=reply>%p</div></div>", "<div class=reader-comments>%c</div>", "<div class=share>%l</div>",
@@ -292,7 +298,11 @@ def layouts(texts: list[str]) -> list[str]:
         before = "".join(junk() for _ in range(draw.integers(0, 5)))
         after = "".join(junk() for _ in range(draw.integers(0, 5)))
         body = FRAMES[draw.integers(len(FRAMES))].replace("data-y=1", 'data-y="1"') % article()
-        pages.append(f"<html><body>{before}{body}{after}</body></html>")
+        if draw.random() < 0.15:  # no element around the text
+            body = article()
+            pages.append(f'<html><body data-y="1">{before}{body}{after}</body></html>')
+            continue
+        pages.append(f'<html><body data-y="0">{before}{body}{after}</body></html>')
     return pages
 
 

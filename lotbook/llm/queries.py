@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotbook.llm import brown, html_text, linedup, mixing, neardup, packing, quality
+from lotbook.llm import brown, html_text, linedup, mixing, neardup, packing, quality, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,8 @@ def main_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = html_text.main_texts(pages, html_text.fit(pages))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op10_nearest_vectors")
+def nearest_vectors(spark, sf_dir):
+    return vectors.nearest(table(spark, sf_dir, "embeddings"))
