@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotbook.llm import brown, html_text, linedup, mixing, neardup, packing, quality, vectors
+from lotbook.llm import brown, html_text, linedup, mixing, neardup, packing, pii, quality, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,72 @@ def main_text(spark, sf_dir):
 @query("op10_nearest_vectors")
 def nearest_vectors(spark, sf_dir):
     return vectors.nearest(table(spark, sf_dir, "embeddings"))
+
+
+# The longest rule that fits; else the character models, with the same counts, smoothing and calibration.
+URL_FILTER = """
+with cut as (select page_id, url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parts as (
+    select page_id, url, regexp_extract(rest, '^([^/?#]*)', 1) as h, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+named as (
+    select page_id, coalesce(md5(url), 'd41d8cd98f00b204e9800998ecf8427e') < '3' as held,
+           translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from parts),
+ruled as (
+    select *, case
+        when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+        when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+        when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+        when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+        when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule from named),
+texts as (
+    select *, coalesce(rule in ('com/', 'www.example.com/en/'), false) as allowed,
+           coalesce(rule in ('example.com/en/', 'net/es/', 'net/fr/'), false) as blocked,
+           regexp_replace(regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[0-9]', '0', 'g'), '[^a-z0./-]', '~', 'g') as text from ruled),
+cuts as (
+    select page_id, allowed, blocked, held, substr('^^^' || text || '$', i, 4) as gram
+    from (select *, unnest(range(1, len(text) + 2)) as i from texts)),
+grams as (
+    select gram, count(*) filter (allowed and not held) as a, count(*) filter (blocked and not held) as r from cuts group by 1),
+c0 as (select substr(gram, 4, 1) as g, sum(a) as a, sum(r) as r from grams group by 1),
+p0 as (select g, (a + 1.0) / (select sum(a) + 33 from grams) as pa, (r + 1.0) / (select sum(r) + 33 from grams) as pr from c0),
+c1 as (select substr(gram, 3, 2) as g, sum(a) as a, sum(r) as r from grams group by 1),
+x1 as (select substr(g, 1, 1) as c, sum(a) as na, sum(r) as nr, count(*) filter (a > 0) as ka, count(*) filter (r > 0) as kr from c1 group by 1),
+p1 as (
+    select c1.g, case when na > 0 then (a + ka * pa) / (na + ka) else pa end as pa, case when nr > 0 then (r + kr * pr) / (nr + kr) else pr end as pr
+    from c1 join x1 on x1.c = substr(c1.g, 1, 1) join p0 on p0.g = substr(c1.g, 2, 1)),
+c2 as (select substr(gram, 2, 3) as g, sum(a) as a, sum(r) as r from grams group by 1),
+x2 as (select substr(g, 1, 2) as c, sum(a) as na, sum(r) as nr, count(*) filter (a > 0) as ka, count(*) filter (r > 0) as kr from c2 group by 1),
+p2 as (
+    select c2.g, case when na > 0 then (a + ka * pa) / (na + ka) else pa end as pa, case when nr > 0 then (r + kr * pr) / (nr + kr) else pr end as pr
+    from c2 join x2 on x2.c = substr(c2.g, 1, 2) join p1 on p1.g = substr(c2.g, 2, 2)),
+c3 as (select substr(gram, 1, 4) as g, sum(a) as a, sum(r) as r from grams group by 1),
+x3 as (select substr(g, 1, 3) as c, sum(a) as na, sum(r) as nr, count(*) filter (a > 0) as ka, count(*) filter (r > 0) as kr from c3 group by 1),
+p3 as (
+    select c3.g, case when na > 0 then (a + ka * pa) / (na + ka) else pa end as pa, case when nr > 0 then (r + kr * pr) / (nr + kr) else pr end as pr
+    from c3 join x3 on x3.c = substr(c3.g, 1, 3) join p2 on p2.g = substr(c3.g, 2, 3)),
+scored as (select page_id, sum(ln(pa) - ln(pr)) / count(*) as score from cuts join p3 on p3.g = cuts.gram group by 1),
+facts as (
+    select avg(score) filter (allowed and held) as ma, avg(score) filter (blocked and held) as mr,
+           stddev_pop(score) filter (allowed and held) as sa, stddev_pop(score) filter (blocked and held) as sr,
+           count(*) filter (allowed and not held) as na, count(*) filter (blocked and not held) as nr from texts join scored using (page_id)),
+bound as (
+    select na > 0 and nr > 0 as known, case when ma is null or mr is null or ma <= mr then 0
+        when sa + sr = 0 then (ma + mr) / 2 else (ma * sr + mr * sa) / (sa + sr) end as t from facts)
+select page_id, host, path, rule, case when allowed then 'allow' when blocked then 'block'
+       when known and score < t then 'block' else 'allow' end as verdict
+from texts join scored using (page_id) cross join bound
+"""
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op8_url_filter", URL_FILTER)
+def url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, RULES).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_surrogates")
+def surrogates(spark, sf_dir):
+    found = pii.replace_entities(table(spark, sf_dir, "documents"), key="lotbook")
+    return found.select("row.doc_id", "text", "n_replaced", "kinds")
