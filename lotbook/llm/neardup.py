@@ -8,10 +8,14 @@ that share too few pairs with anyone are skipped; a passage that very many docum
 no prefix of a different document reaches. Collisions are counted on the whole signatures, and pairs above the
 threshold are confirmed on the full sets, as text.
 
-Components need no list of all pairs. A round takes one class of each posting list as its head (another one each
-round), compares the others with it, and merges what is linked; lists within one component are finished.
-After ``ROUNDS`` rounds every pair of classes in a list that is not in one component yet is compared, so no link is
-lost, and a large group of copies costs a few comparisons for each copy.
+Components need no list of all pairs. A round takes one class of each posting list as its head, compares the others
+with it, and merges what is linked; lists within one component are finished. The first head is the class whose pairs are the
+most frequent, the text that copies are likely to come from; later ones are the most frequent outside the largest
+component of the list. After ``ROUNDS`` rounds the classes outside it (stragglers) must still be compared with all others,
+so that no link is lost. Where they are at most ``FEW`` this is done at once, a fixed number of pairs for each entry of the list.
+In other lists all are measured against the first head p: two sets a, b that share nothing outside p share at most
+min(|a & p|, |b & p|) shingles, so only those pairs are compared whose sizes allow a link under this bound, and those
+that share a shingle outside p, found by a join on these shingles.
 
 At 64 coordinates and 32 matches a pair at exactly 0.75 is missed with a chance of about 3 in a million.
 
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotbook.llm.components import components
@@ -36,7 +40,8 @@ from lotbook.session import staged
 SIZE = 5
 LIMIT = (75, 100)  # intersection * 100 >= union * 75
 COORDS, MATCHES = 64, 32
-ROUNDS = 4
+ROUNDS = 3
+FEW = 16
 WORDS_KEPT = 400_000  # hashed words that a task remembers before it starts anew
 CHUNK = 4096  # shingles hashed at a time
 
@@ -130,14 +135,18 @@ def _coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """class, pair: the prefix of each class that shares enough pairs with others."""
+    """class, pair, weight: the prefix of each class that shares enough pairs with others.
+
+    The weight is how often its pairs occur: large for a text that many others are copies of.
+    """
     every = classes.select("class", "signature").mapInArrow(_coordinates, "class bigint, pair bigint")
     shared = every.groupBy("pair").agg(F.count("*").alias("times")).where("times > 1")
     common = every.join(shared, "pair").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("times", "pair"))).alias("pairs"))
     common = common.where(F.size("pairs") >= MATCHES)
     # pairs of their own come first in the order and are in the prefix, although nobody shares them
     prefix = F.slice("pairs", F.lit(1), F.size("pairs") - F.lit(MATCHES - 1))
-    return common.select("class", F.explode(prefix).alias("p")).select("class", "p.pair")
+    weight = F.aggregate("pairs", F.lit(0).cast("bigint"), lambda a, p: a + p["times"])
+    return common.select("class", weight.alias("weight"), F.explode(prefix).alias("p")).select("class", "p.pair", "weight")
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,25 +177,82 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return wide.mapInArrow(_confirmed, "a bigint, b bigint")
 
 
-def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame:
-    """class, root: classes that have links, with the name of their component."""
-    roots = None
-    edges = None
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """head, class, n, both (shingles shared with the head), rest (hashes of the others)."""
+    import xxhash
+
+    head, known = None, set()
+    for batch in batches:
+        n, both, rest = [], [], []
+        for p, text_p, text in zip(batch.column("head").to_pylist(), batch.column("text_head"), batch.column("text")):
+            if p != head:
+                head, known = p, shingles(text_p.as_py())
+            mine = shingles(text.as_py())
+            other = mine - known
+            n.append(len(mine))
+            both.append(len(mine) - len(other))
+            rest.append([xxhash.xxh3_64_intdigest(s) - 2**63 for s in other])
+        columns = [batch.column("head"), batch.column("class"), pa.array(n, type=pa.int64()), pa.array(both, type=pa.int64()),
+                   pa.array(rest, type=pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["head", "class", "n", "both", "rest"])
+
+
+def _remaining(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: pairs of different components that may be linked, for the lists that heads did not finish."""
+    entry = ["pair", "class", "root"]
+    sizes = marked.groupBy("pair", "root").agg(F.count("*").alias("n"))
+    lists = sizes.groupBy("pair").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    lists = lists.select("pair", F.col("m.root").alias("most"), (F.col("all") - F.col("m.n")).alias("left"))
+    rows = staged(marked.join(lists, "pair"), "stragglers")
+    few, many = rows.where(F.col("left") <= FEW), rows.where(F.col("left") > FEW)
+    side = few.where("root <> most").select("pair", F.col("class").alias("a"), F.col("root").alias("root_a"))
+    pairs = few.select(*entry).join(side, "pair").where("root <> root_a").select("a", F.col("class").alias("b"))
+
+    heads = many.groupBy("pair").agg(F.min(_rank()).alias("m")).select("pair", F.col("m.a").alias("head"))
+    spokes = many.join(heads, "pair").groupBy("head", "class", "root").agg(F.max(F.expr("root <> most")).alias("straggler"))
+    spokes = staged(spokes, "spokes")
+    words = texts.select("class", "text")
+    wide = spokes.select("head", "class").join(words, "class").join(words.select(F.col("class").alias("head"), F.col("text").alias("text_head")), "head")
+    found = wide.mapInArrow(_measured, "head bigint, class bigint, n bigint, both bigint, rest array<bigint>")
+    found = staged(found.join(spokes, ["head", "class"]), "measured")
+    mine = [F.col(c).alias(f"{c}_a") for c in ("class", "root", "n", "both")]
+    asked = found.where("straggler")
+    shared = asked.select("head", *mine, F.explode("rest").alias("s")).join(found.select("head", "class", "root", F.explode("rest").alias("s")), ["head", "s"])
+    # 100 * both >= 75 * (n_a + n_b - both), for the largest overlap that is possible within the head
+    most = (F.col("both") * sum(LIMIT) / LIMIT[0] - F.col("n"))
+    lengths = F.sequence(F.floor(F.col("n") * LIMIT[0] / LIMIT[1]), F.floor(most).cast("bigint"))
+    sized = asked.where(F.floor(most) >= F.floor(F.col("n") * LIMIT[0] / LIMIT[1])).select("head", *mine, F.explode(lengths).alias("n"))
+    within = F.least("both", "both_a") * sum(LIMIT) >= (F.col("n") + F.col("n_a")) * LIMIT[0]
+    sized = sized.join(found.select("head", "class", "root", "n", "both"), ["head", "n"]).where(within)
+    more = [p.where("root <> root_a").select(F.col("class_a").alias("a"), F.col("class").alias("b")) for p in (shared, sized)]
+    return pairs.unionAll(more[0]).unionAll(more[1]).distinct()
+
+
+def _rank() -> Column:
+    """Order of the heads of a list."""
+    return F.struct((-F.col("weight")).alias("w"), F.col("class").alias("a"), F.col("root").alias("root_a"))
+
+
+def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """class, root: classes that have links, with the name of their component; None without any list."""
+    roots = edges = None
     for turn in range(ROUNDS + 1):
         marked = posts.withColumn("root", F.col("class")) if roots is None else (
             posts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
         mixed = marked.groupBy("pair").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("pair")
-        marked = staged(marked.join(mixed, "pair").select("pair", "class", "root"), "marked")
+        marked = staged(marked.join(mixed, "pair").select("pair", "class", "root", "weight"), "marked")
         if marked.isEmpty():
             break
-        order = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("a"), F.col("root").alias("root_a"))
-        if turn < ROUNDS:
-            heads = marked.groupBy("pair").agg(F.min(order).alias("m")).select("pair", "m.a", "m.root_a")
-        else:  # all that are not in the largest component of their list
-            sizes = marked.groupBy("pair", "root").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("pair").agg(F.max(F.struct("n", "root")).alias("m")).select("pair", F.col("m.root").alias("most"))
-            heads = marked.join(largest, "pair").where("root <> most").select("pair", F.col("class").alias("a"), F.col("root").alias("root_a"))
-        pairs = marked.join(heads, "pair").where("root <> root_a").select("a", F.col("class").alias("b")).distinct()
+        if turn == ROUNDS:
+            pairs = _remaining(marked, texts)
+        else:
+            free = marked
+            if turn:
+                sizes = marked.groupBy("pair", "root").agg(F.count("*").alias("n"))
+                largest = sizes.groupBy("pair").agg(F.max(F.struct("n", "root")).alias("m")).select("pair", F.col("m.root").alias("most"))
+                free = marked.join(largest, "pair").where("root <> most")
+            heads = free.groupBy("pair").agg(F.min(_rank()).alias("m")).select("pair", "m.a", "m.root_a")
+            pairs = marked.join(heads, "pair").where("root <> root_a").select("a", F.col("class").alias("b")).distinct()
         found = staged(_links(pairs, texts), "links")
         edges = found if edges is None else edges.unionAll(found)
         roots = components(edges).select(F.col("node").alias("class"), "root")
