@@ -34,8 +34,17 @@ from lotbook.session import staged
 MIN_WORDS, NEAR_WORDS = 5, 9
 
 
-def words_of(line: str) -> Column:
-    return F.filter(F.split(F.col(line), SPACE), lambda w: w != "")
+def plain(line: str) -> Column:
+    """The words of a line with one space between them. Most lines have that form, which is cheap to see."""
+    odd = F.startswith(F.col(line), F.lit(" ")) | F.endswith(F.col(line), F.lit(" "))
+    for sign in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(F.col(line), F.lit(sign))
+    words = F.filter(F.split(F.col(line), SPACE), lambda w: w != "")
+    return F.when(odd, F.array_join(words, " ")).otherwise(F.col(line))
+
+
+def _count(text: str, sign: str) -> Column:
+    return F.length(text) - F.length(F.replace(F.col(text), F.lit(sign), F.lit("")))
 
 
 def _q(n: Column) -> Column:
@@ -48,24 +57,21 @@ def _xor(items: Column) -> Column:
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """ord (place in the order of lines), line, words: lines of at least MIN_WORDS words"""
+    """ord (place in the order of lines), line (its words), n: lines of at least MIN_WORDS words"""
     lines = docs.where("text is not null").select(
         "doc_id", row_key("doc_id", "text").alias("_key"), F.posexplode(F.split("text", "\n", -1)).alias("_place", "_line"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("_key").alias("key"), F.col("_place").alias("place"))
-    return lines.select(order.alias("ord"), F.col("_line").alias("line"), words_of("_line").alias("words")).where(F.size("words") >= MIN_WORDS)
+    lines = lines.select(order.alias("ord"), plain("_line").alias("line")).where("line <> ''")
+    return lines.select("ord", "line", (_count("line", " ") + 1).alias("n")).where(F.col("n") >= MIN_WORDS)
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """ord, n, h (hash of the words), halves (keys of the intact halves, none for short lines)"""
-    n = F.size("words")
-
-    def half(q: Column, first: bool) -> Column:
-        part = F.slice("words", F.lit(1), q) if first else F.slice("words", n - q + 1, q)
-        return F.xxhash64(F.lit("first" if first else "last"), q, part)
-
+    n = F.col("n")
     pairs = F.array_distinct(F.array(_q(n), _q(n - 1)))
-    halves = F.when(n >= NEAR_WORDS, F.flatten(F.transform(pairs, lambda q: F.array(half(q, True), half(q, False)))))
-    return numbered_lines(docs).select("ord", n.alias("n"), F.xxhash64(n, "words").alias("h"), halves.alias("halves"))
+    first = lambda q: F.call_function("substring_index", F.col("line"), F.lit(" "), q)
+    halves = F.flatten(F.transform(pairs, lambda q: F.array(F.xxhash64(F.lit(1), q, first(q)), F.xxhash64(F.lit(-1), q, first(-q)))))
+    return numbered_lines(docs).select("ord", "n", F.xxhash64("line").alias("h"), F.when(n >= NEAR_WORDS, halves).alias("halves"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -104,9 +110,9 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     shared = keys.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
     wanted = keys.join(shared, "half").select("h").distinct()
     wanted = firsts.where("halves is not null").join(wanted, "h").select("h", "n", "ord")
-    texts = numbered_lines(docs).where(F.size("words") >= NEAR_WORDS)
-    texts = texts.select(F.xxhash64(F.size("words"), "words").alias("h"), F.col("ord").alias("_ord"), "line")
-    lines = texts.join(wanted, "h").where("_ord = ord").select("h", "n", "ord", words_of("line").alias("words"))
+    texts = numbered_lines(docs).where(F.col("n") >= NEAR_WORDS)
+    texts = texts.select(F.xxhash64("line").alias("h"), F.col("ord").alias("_ord"), "line")
+    lines = texts.join(wanted, "h").where("_ord = ord").select("h", "n", "ord", F.split("line", " ").alias("words"))
     lines = staged(lines.dropDuplicates(["h"]), "near-lines")  # equal rows have equal places
     variants = staged(_variants(lines), "variants")
 
@@ -138,13 +144,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = lines.select("h", "ord").join(known, "h").where("near or ord > first")
     gone = gone.select(F.col("ord.key").alias("_key"), F.col("ord.place").alias("place")).distinct()
     per_doc = gone.groupBy("_key").agg(F.sort_array(F.collect_list("place")).alias("_gone"))
-    rows = docs.select(carried(docs), F.col("text").alias("_text"), row_key("doc_id", "text").alias("_key"))
-    joined = rows.join(per_doc, "_key", "left")
-    cut = F.split("_text", "\n", -1)
-    joined = joined.withColumn("_cut", cut)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(_count("text", "\n") + 1)
+    rows = docs.select(carried(docs), F.col("text").alias("_text"), row_key("doc_id", "text").alias("_key"), n_lines.alias("n_lines"))
+    joined = rows.join(per_doc, "_key", "left").withColumn("_cut", F.split("_text", "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), "_gone")
     left = F.array_join(F.transform(places, lambda p: F.get("_cut", p)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(left)
-    n_lines = F.coalesce(F.size("_cut"), F.lit(0))
-    return joined.select("row", text.alias("text"), F.when(F.col("_text").isNull(), 0).otherwise(n_lines).alias("n_lines"),
-                         F.coalesce("_gone", F.array().cast("array<int>")).alias("dropped"))
+    return joined.select("row", text.alias("text"), "n_lines", F.coalesce("_gone", F.array().cast("array<int>")).alias("dropped"))
