@@ -13,7 +13,7 @@ with it, and merges what is linked; lists within one component are finished. The
 most frequent, the text that copies are likely to come from; later ones are the most frequent outside the largest
 component of the list. After ``ROUNDS`` rounds the classes outside it (stragglers) must still be compared with all others,
 so that no link is lost. Where they are at most ``FEW`` this is done at once, a fixed number of pairs for each entry of the list.
-In other lists all are measured against the first head p: two sets a, b that share nothing outside p share at most
+In other lists all are measured against one frequent text p: two sets a, b that share nothing outside p share at most
 min(|a & p|, |b & p|) shingles, so only those pairs are compared whose sizes allow a link under this bound, and those
 that share a shingle outside p, found by a join on these shingles.
 
@@ -40,8 +40,10 @@ from lotbook.session import staged
 SIZE = 5
 LIMIT = (75, 100)  # intersection * 100 >= union * 75
 COORDS, MATCHES = 64, 32
+#: Of different components, and of sizes that allow a link.
+OTHER = f"root <> root_a and {LIMIT[1]} * least(n, n_a) >= {LIMIT[0]} * greatest(n, n_a)"
 ROUNDS = 3
-FEW = 16
+FEW = 8
 WORDS_KEPT = 400_000  # hashed words that a task remembers before it starts anew
 CHUNK = 4096  # shingles hashed at a time
 
@@ -135,7 +137,7 @@ def _coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """class, pair, weight: the prefix of each class that shares enough pairs with others.
+    """class, pair, weight, n: the prefix of each class that shares enough pairs with others.
 
     The weight is how often its pairs occur: large for a text that many others are copies of.
     """
@@ -146,7 +148,8 @@ def postings(classes: DataFrame) -> DataFrame:
     # pairs of their own come first in the order and are in the prefix, although nobody shares them
     prefix = F.slice("pairs", F.lit(1), F.size("pairs") - F.lit(MATCHES - 1))
     weight = F.aggregate("pairs", F.lit(0).cast("bigint"), lambda a, p: a + p["times"])
-    return common.select("class", weight.alias("weight"), F.explode(prefix).alias("p")).select("class", "p.pair", "weight")
+    common = common.join(classes.select("class", "n"), "class")
+    return common.select("class", weight.alias("weight"), "n", F.explode(prefix).alias("p")).select("class", "p.pair", "weight", "n")
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,59 +181,67 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """head, class, n, both (shingles shared with the head), rest (hashes of the others)."""
+    """head, class, both (shingles shared with the head), rest: hashes of the others, as many as a link needs.
+
+    A linked set shares at least 3/4 of n shingles with this one, so ``need`` of them or more outside the head; in
+    one order of all shingles, two such sets share one among their first len - need + 1.
+    """
     import xxhash
 
     head, known = None, set()
     for batch in batches:
-        n, both, rest = [], [], []
+        both, rest = [], []
         for p, text_p, text in zip(batch.column("head").to_pylist(), batch.column("text_head"), batch.column("text")):
             if p != head:
                 head, known = p, shingles(text_p.as_py())
             mine = shingles(text.as_py())
             other = mine - known
-            n.append(len(mine))
             both.append(len(mine) - len(other))
-            rest.append([xxhash.xxh3_64_intdigest(s) - 2**63 for s in other])
-        columns = [batch.column("head"), batch.column("class"), pa.array(n, type=pa.int64()), pa.array(both, type=pa.int64()),
-                   pa.array(rest, type=pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["head", "class", "n", "both", "rest"])
+            need = max(1, -(-LIMIT[0] * len(mine) // LIMIT[1]) - both[-1])
+            order = sorted(xxhash.xxh3_64_intdigest(s) - 2**63 for s in other)
+            rest.append(order[: max(0, len(order) - need + 1)])
+        columns = [batch.column("head"), batch.column("class"), pa.array(both, type=pa.int64()), pa.array(rest, type=pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["head", "class", "both", "rest"])
 
 
 def _remaining(marked: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b: pairs of different components that may be linked, for the lists that heads did not finish."""
-    entry = ["pair", "class", "root"]
-    sizes = marked.groupBy("pair", "root").agg(F.count("*").alias("n"))
-    lists = sizes.groupBy("pair").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
-    lists = lists.select("pair", F.col("m.root").alias("most"), (F.col("all") - F.col("m.n")).alias("left"))
+    entry = ["pair", "class", "root", "n"]
+    sizes = marked.groupBy("pair", "root").agg(F.count("*").alias("c"))
+    lists = sizes.groupBy("pair").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"))
+    lists = lists.select("pair", F.col("m.root").alias("most"), (F.col("all") - F.col("m.c")).alias("left"))
     rows = staged(marked.join(lists, "pair"), "stragglers")
     few, many = rows.where(F.col("left") <= FEW), rows.where(F.col("left") > FEW)
-    side = few.where("root <> most").select("pair", F.col("class").alias("a"), F.col("root").alias("root_a"))
-    pairs = few.select(*entry).join(side, "pair").where("root <> root_a").select("a", F.col("class").alias("b"))
-
-    heads = many.groupBy("pair").agg(F.min(_rank()).alias("m")).select("pair", F.col("m.a").alias("head"))
-    spokes = many.join(heads, "pair").groupBy("head", "class", "root").agg(F.max(F.expr("root <> most")).alias("straggler"))
+    side = few.where("root <> most").select("pair", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+    pairs = few.select(*entry).join(side, "pair").where(OTHER).select("a", F.col("class").alias("b"))
+
+    # any set will do to measure against: the most frequent within two steps, so that a group has one for all its lists
+    ranked = F.struct((-F.col("weight")).alias("w"), F.col("class").alias("a"))
+    firsts = many.groupBy("pair").agg(F.min(ranked).alias("first"))
+    hubs = many.join(firsts, "pair").groupBy("class").agg(F.min("first").alias("hub"))
+    heads = many.join(hubs, "class").groupBy("pair").agg(F.min("hub").alias("m")).select("pair", F.col("m.a").alias("head"))
+    spokes = many.join(heads, "pair").groupBy("head", "class", "root", "n").agg(F.max(F.expr("root <> most")).alias("straggler"))
     spokes = staged(spokes, "spokes")
     words = texts.select("class", "text")
     wide = spokes.select("head", "class").join(words, "class").join(words.select(F.col("class").alias("head"), F.col("text").alias("text_head")), "head")
-    found = wide.mapInArrow(_measured, "head bigint, class bigint, n bigint, both bigint, rest array<bigint>")
+    found = wide.mapInArrow(_measured, "head bigint, class bigint, both bigint, rest array<bigint>")
     found = staged(found.join(spokes, ["head", "class"]), "measured")
     mine = [F.col(c).alias(f"{c}_a") for c in ("class", "root", "n", "both")]
     asked = found.where("straggler")
-    shared = asked.select("head", *mine, F.explode("rest").alias("s")).join(found.select("head", "class", "root", F.explode("rest").alias("s")), ["head", "s"])
+    shared = asked.select("head", *mine, F.explode("rest").alias("s")).join(found.select("head", "class", "root", "n", F.explode("rest").alias("s")), ["head", "s"])
     # 100 * both >= 75 * (n_a + n_b - both), for the largest overlap that is possible within the head
     most = (F.col("both") * sum(LIMIT) / LIMIT[0] - F.col("n"))
     lengths = F.sequence(F.floor(F.col("n") * LIMIT[0] / LIMIT[1]), F.floor(most).cast("bigint"))
     sized = asked.where(F.floor(most) >= F.floor(F.col("n") * LIMIT[0] / LIMIT[1])).select("head", *mine, F.explode(lengths).alias("n"))
     within = F.least("both", "both_a") * sum(LIMIT) >= (F.col("n") + F.col("n_a")) * LIMIT[0]
     sized = sized.join(found.select("head", "class", "root", "n", "both"), ["head", "n"]).where(within)
-    more = [p.where("root <> root_a").select(F.col("class_a").alias("a"), F.col("class").alias("b")) for p in (shared, sized)]
+    more = [p.where(OTHER).select(F.col("class_a").alias("a"), F.col("class").alias("b")) for p in (shared, sized)]
     return pairs.unionAll(more[0]).unionAll(more[1]).distinct()
 
 
 def _rank() -> Column:
     """Order of the heads of a list."""
-    return F.struct((-F.col("weight")).alias("w"), F.col("class").alias("a"), F.col("root").alias("root_a"))
+    return F.struct((-F.col("weight")).alias("w"), F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
 
 
 def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
@@ -240,7 +251,7 @@ def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
         marked = posts.withColumn("root", F.col("class")) if roots is None else (
             posts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
         mixed = marked.groupBy("pair").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("pair")
-        marked = staged(marked.join(mixed, "pair").select("pair", "class", "root", "weight"), "marked")
+        marked = staged(marked.join(mixed, "pair").select("pair", "class", "root", "weight", "n"), "marked")
         if marked.isEmpty():
             break
         if turn == ROUNDS:
@@ -248,11 +259,11 @@ def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
         else:
             free = marked
             if turn:
-                sizes = marked.groupBy("pair", "root").agg(F.count("*").alias("n"))
-                largest = sizes.groupBy("pair").agg(F.max(F.struct("n", "root")).alias("m")).select("pair", F.col("m.root").alias("most"))
+                sizes = marked.groupBy("pair", "root").agg(F.count("*").alias("c"))
+                largest = sizes.groupBy("pair").agg(F.max(F.struct("c", "root")).alias("m")).select("pair", F.col("m.root").alias("most"))
                 free = marked.join(largest, "pair").where("root <> most")
-            heads = free.groupBy("pair").agg(F.min(_rank()).alias("m")).select("pair", "m.a", "m.root_a")
-            pairs = marked.join(heads, "pair").where("root <> root_a").select("a", F.col("class").alias("b")).distinct()
+            heads = free.groupBy("pair").agg(F.min(_rank()).alias("m")).select("pair", "m.a", "m.root_a", "m.n_a")
+            pairs = marked.join(heads, "pair").where(OTHER).select("a", F.col("class").alias("b")).distinct()
         found = staged(_links(pairs, texts), "links")
         edges = found if edges is None else edges.unionAll(found)
         roots = components(edges).select(F.col("node").alias("class"), "root")
@@ -263,8 +274,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """node, doc_id, n_shingles, component_id, kept: one row a document; node is its row key."""
     sketches = staged(sketch(docs), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("low", "high").agg(
-        F.min(F.struct("node", "signature")).alias("m"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    classes = staged(classes.select("low", "high", F.col("m.node").alias("class"), F.col("m.signature").alias("signature"), "least", "copies"), "classes")
+        F.min(F.struct("node", "signature")).alias("m"), F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
+    classes = staged(classes.select("n", "low", "high", F.col("m.node").alias("class"), F.col("m.signature").alias("signature"), "least", "copies"), "classes")
     posts = staged(postings(classes), "postings")
     wanted = posts.select("class").distinct()
     texts = docs.select(row_key("doc_id", "text").alias("class"), "text").join(wanted, "class")
