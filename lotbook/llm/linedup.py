@@ -15,8 +15,8 @@ aggregated to their earliest line and joined back. The earliest found is then co
 
 Variants are hashed in one pass over the words: words are hashed with their place, and with the place before it for
 what follows a deletion; running exclusive-ors give all n variants. Before that, lines that cannot have a partner are set
-aside: one edit leaves the first or the last q words intact (q is at most half of the words), so only lines that share
-such a half with another line take part.
+aside: of q words in front, q behind and the rest (q is at most a third of the words) one edit touches one part only, so only
+lines that share the other two parts with another line take part.
 
 Nulls and odd input: a null text stays null and has no lines. Null doc_ids count as the last. Equal rows are one
 document: none loses lines to the other. A document whose lines are all dropped has an empty text. Lines are cut at
@@ -29,9 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotbook.llm.rows import SPACE, carried, row_key
+from lotbook.operators.rows import with_row_id
 from lotbook.session import staged
 
-MIN_WORDS, NEAR_WORDS = 5, 9
+MIN_WORDS, NEAR_WORDS = 5, 11
 
 
 def plain(line: str) -> Column:
@@ -48,8 +49,8 @@ def _count(text: str, sign: str) -> Column:
 
 
 def _q(n: Column) -> Column:
-    """Words in the half that is compared: a multiple of four, at most half of n."""
-    return (F.floor((n - 1) / 8) * 4).cast("int")
+    """Words in a part that is compared: a multiple of three, at most a third of n - 1, so that two parts leave one word."""
+    return (F.floor((n - 1) / 9) * 3).cast("int")
 
 
 def _xor(items: Column) -> Column:
@@ -58,38 +59,40 @@ def _xor(items: Column) -> Column:
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """ord (place in the order of lines), line (its words), n: lines of at least MIN_WORDS words"""
-    lines = docs.where("text is not null").select(
-        "doc_id", row_key("doc_id", "text").alias("_key"), F.posexplode(F.split("text", "\n", -1)).alias("_place", "_line"))
+    # what is said beside an explode is worked out for each line, so the key comes first
+    keyed = docs.where("text is not null").select("doc_id", row_key("doc_id", "text").alias("_key"), F.split("text", "\n", -1).alias("_lines"))
+    lines = keyed.select("doc_id", "_key", F.posexplode("_lines").alias("_place", "_line"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("_key").alias("key"), F.col("_place").alias("place"))
     lines = lines.select(order.alias("ord"), plain("_line").alias("line")).where("line <> ''")
     return lines.select("ord", "line", (_count("line", " ") + 1).alias("n")).where(F.col("n") >= MIN_WORDS)
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """ord, n, h (hash of the words), halves (keys of the intact halves, none for short lines)"""
+    """ord, n, h (hash of the words), parts (keys of two parts of three, none for short lines)"""
     n = F.col("n")
     pairs = F.array_distinct(F.array(_q(n), _q(n - 1)))
     first = lambda q: F.call_function("substring_index", F.col("line"), F.lit(" "), q)
-    halves = F.flatten(F.transform(pairs, lambda q: F.array(F.xxhash64(F.lit(1), q, first(q)), F.xxhash64(F.lit(-1), q, first(-q)))))
-    return numbered_lines(docs).select("ord", "n", F.xxhash64("line").alias("h"), F.when(n >= NEAR_WORDS, halves).alias("halves"))
+    keys = lambda q: F.array(F.xxhash64(F.lit(0), q, first(q), first(-q)), F.xxhash64(F.lit(1), q, first(2 * q)), F.xxhash64(F.lit(2), q, first(-2 * q)))
+    parts = F.flatten(F.transform(pairs, keys))
+    return numbered_lines(docs).select("ord", "n", F.xxhash64("line").alias("h"), F.when(n >= NEAR_WORDS, parts).alias("parts"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """id, ord, n, i, vh: the hash of the words of a line without word i; i = 0 is the whole line."""
+    """rank, n, i, vh: the hash of the words of a line without word i; i = 0 is the whole line."""
     marked = lines.select(
-        "h", "ord", "n",
+        "rank", "n",
         F.transform("words", lambda w, i: F.xxhash64(w, i)).alias("at"),
         F.transform("words", lambda w, i: F.xxhash64(w, i - 1)).alias("before"),
-    ).select("h", "ord", "n", _xor(F.col("at")).alias("whole"), _xor(F.col("before")).alias("shifted"),
-             F.posexplode(F.arrays_zip("at", "before")).alias("place", "w"))
-    so_far = Window.partitionBy("h").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    until = Window.partitionBy("h").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.coalesce(F.bit_xor("w.at").over(so_far), F.lit(0).cast("bigint"))
-    tail = F.col("shifted").bitwiseXOR(F.bit_xor("w.before").over(until))
-    one = marked.select("h", "ord", "n", (F.col("place") + 1).alias("i"), head.bitwiseXOR(tail).alias("vh"))
-    whole = lines.select("h", "ord", "n", F.lit(0).alias("i"),
-                         _xor(F.transform("words", lambda w, i: F.xxhash64(w, i))).alias("vh"))
-    return one.unionAll(whole)
+    ).select("rank", "n", _xor(F.col("at")).alias("whole"), _xor(F.col("before")).alias("shifted"), F.arrays_zip("at", "before").alias("both"))
+    marked = marked.select("rank", "n", "whole", "shifted", F.posexplode("both").alias("place", "w"))
+    so_far = Window.partitionBy("rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.bit_xor("w.at").over(so_far).bitwiseXOR(F.col("w.at"))
+    tail = F.col("shifted").bitwiseXOR(F.bit_xor("w.before").over(so_far))
+    found = marked.select("rank", "n", "whole", "place", head.bitwiseXOR(tail).alias("vh"))
+    # the first word stands for the whole line as well
+    one = F.struct((F.col("place") + 1).alias("i"), F.col("vh").alias("vh"))
+    whole = F.struct(F.lit(0).alias("i"), F.col("whole").alias("vh"))
+    return found.select("rank", "n", F.explode(F.when(F.col("place") == 0, F.array(whole, one)).otherwise(F.array(one))).alias("v")).select("rank", "n", "v.*")
 
 
 def within_one(a: str, b: str) -> Column:
@@ -105,38 +108,41 @@ def within_one(a: str, b: str) -> Column:
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """h: lines for which an earlier, different one lies within the bound. ``firsts``: h, n, ord, halves."""
-    keys = firsts.where("halves is not null").select("h", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    wanted = keys.join(shared, "half").select("h").distinct()
-    wanted = firsts.where("halves is not null").join(wanted, "h").select("h", "n", "ord")
-    texts = numbered_lines(docs).where(F.col("n") >= NEAR_WORDS)
-    texts = texts.select(F.xxhash64("line").alias("h"), F.col("ord").alias("_ord"), "line")
-    lines = texts.join(wanted, "h").where("_ord = ord").select("h", "n", "ord", F.split("line", " ").alias("words"))
-    lines = staged(lines.dropDuplicates(["h"]), "near-lines")  # equal rows have equal places
+    """h: lines for which an earlier, different one lies within the bound. ``firsts``: h, n, ord, parts."""
+    keys = firsts.where("parts is not null").select("h", F.explode("parts").alias("part"))
+    shared = keys.groupBy("part").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("part")
+    wanted = keys.join(shared, "part").select("h").distinct()
+    wanted = firsts.where("parts is not null").join(wanted, "h").select("h", "n", "ord")
+    # texts are looked up by document, and only the lines that are wanted are taken from them
+    places = wanted.groupBy(F.col("ord.key").alias("_key")).agg(F.collect_list(F.struct("h", "n", "ord")).alias("of"))
+    texts = docs.select(row_key("doc_id", "text").alias("_key"), "text").join(places, "_key").dropDuplicates(["_key"])
+    cut = texts.select("of", F.split("text", "\n", -1).alias("cut"))
+    lines = cut.select(F.explode(F.transform("of", lambda o: F.struct(o["h"].alias("h"), o["n"].alias("n"), o["ord"].alias("ord"), F.get("cut", o["ord"]["place"]).alias("line")))).alias("o")).select("o.*")
+    lines = lines.select("h", "n", "ord", F.split(plain("line"), " ").alias("words"))
+    lines = with_row_id(lines, ["ord", "h"], "rank")
     variants = staged(_variants(lines), "variants")
 
     replaced = variants.where("i > 0")
-    cliques = replaced.groupBy("n", "i", "vh").agg(F.min("ord").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    found = replaced.join(cliques, ["n", "i", "vh"]).where("least < ord").select("h", "ord", F.col("least").alias("earlier"))
+    cliques = replaced.groupBy("n", "i", "vh").agg(F.min("rank").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    found = replaced.join(cliques, ["n", "i", "vh"]).where("least < rank").select("rank", F.col("least").alias("earlier"))
 
-    roles = variants.select("h", "ord", F.when(F.col("i") > 0, F.col("n") - 1).otherwise(F.col("n")).alias("n"), "vh", (F.col("i") == 0).alias("whole"))
+    roles = variants.select("rank", F.when(F.col("i") > 0, F.col("n") - 1).otherwise(F.col("n")).alias("n"), "vh", (F.col("i") == 0).alias("whole"))
     ends = roles.groupBy("n", "vh").agg(
-        F.min(F.when(F.col("whole"), F.col("ord"))).alias("least_whole"), F.min(F.when(~F.col("whole"), F.col("ord"))).alias("least_cut"))
+        F.min(F.when(F.col("whole"), F.col("rank"))).alias("least_whole"), F.min(F.when(~F.col("whole"), F.col("rank"))).alias("least_cut"))
     ends = ends.where("least_whole is not null and least_cut is not null")
     other = F.when(F.col("whole"), F.col("least_cut")).otherwise(F.col("least_whole"))
-    added = roles.join(ends, ["n", "vh"]).select("h", "ord", other.alias("earlier")).where("earlier < ord")
+    added = roles.join(ends, ["n", "vh"]).select("rank", other.alias("earlier")).where("earlier < rank")
 
-    first = found.unionAll(added).groupBy("h", "ord").agg(F.min("earlier").alias("earlier"))
-    mine = lines.select("h", F.col("words").alias("words_a"))
-    theirs = lines.select(F.col("ord").alias("earlier"), F.col("words").alias("words_b"))
-    return first.join(mine, "h").join(theirs, "earlier").where(within_one("words_a", "words_b")).select("h")
+    first = found.unionAll(added).groupBy("rank").agg(F.min("earlier").alias("earlier"))
+    mine = lines.select("rank", "h", F.col("words").alias("words_a"))
+    theirs = lines.select(F.col("rank").alias("earlier"), F.col("words").alias("words_b"))
+    return first.join(mine, "rank").join(theirs, "earlier").where(within_one("words_a", "words_b")).select("h")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """row, text, n_lines, dropped: the text that is left, and the places of the dropped lines, from 0."""
     lines = staged(hashed_lines(docs), "lines")
-    firsts = lines.groupBy("h", "n").agg(F.min("ord").alias("ord"), F.count("*").alias("times"), F.min("halves").alias("halves"))
+    firsts = lines.groupBy("h", "n").agg(F.min("ord").alias("ord"), F.count("*").alias("times"), F.min("parts").alias("parts"))
     firsts = staged(firsts, "firsts")
     near = staged(near_lines(docs, firsts).withColumn("near", F.lit(True)), "near")
     known = firsts.join(near, "h", "left").where("times > 1 or near").select(

@@ -57,11 +57,11 @@ kept as (select doc_id, place, words, len(words) as n, list_aggregate(words, 'st
 firsts as (select line, any_value(words) as words, any_value(n) as n, min((doc_id, place)) as ord from kept group by line),
 cut as (
     select line, ord, n, i, list_aggregate(list_concat(words[:i - 1], words[i + 1:]), 'string_agg', ' ') as variant
-    from (select *, unnest(range(1, n + 1)) as i from firsts where n >= 9)),
+    from (select *, unnest(range(1, n + 1)) as i from firsts where n >= 11)),
 near as (
     select a.line from cut a join cut b on a.n = b.n and a.i = b.i and a.variant = b.variant and b.ord < a.ord
-    union select a.line from cut a join firsts b on a.variant = b.line and b.n >= 9 and b.ord < a.ord
-    union select a.line from firsts a join cut b on b.variant = a.line and b.ord < a.ord where a.n >= 9),
+    union select a.line from cut a join firsts b on a.variant = b.line and b.n >= 11 and b.ord < a.ord
+    union select a.line from firsts a join cut b on b.variant = a.line and b.ord < a.ord where a.n >= 11),
 gone as (
     select k.doc_id, k.place from kept k join firsts f using (line) where (k.doc_id, k.place) <> f.ord
     union select k.doc_id, k.place from kept k join near using (line)),
