@@ -42,9 +42,9 @@ LIMIT = (75, 100)  # intersection * 100 >= union * 75
 COORDS, MATCHES = 64, 32
 #: Of different components, and of sizes that allow a link.
 OTHER = f"root <> root_a and {LIMIT[1]} * least(n, n_a) >= {LIMIT[0]} * greatest(n, n_a)"
-ROUNDS = 3
+ROUNDS = 2
 FEW = 8
-WORDS_KEPT = 400_000  # hashed words that a task remembers before it starts anew
+WORDS_KEPT = 200_000  # hashed words that a task remembers before it starts anew
 CHUNK = 4096  # shingles hashed at a time
 
 
@@ -246,7 +246,7 @@ def _rank() -> Column:
 
 def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
     """class, root: classes that have links, with the name of their component; None without any list."""
-    roots = edges = None
+    roots = edges = tested = None
     for turn in range(ROUNDS + 1):
         marked = posts.withColumn("root", F.col("class")) if roots is None else (
             posts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
@@ -264,7 +264,10 @@ def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
                 free = marked.join(largest, "pair").where("root <> most")
             heads = free.groupBy("pair").agg(F.min(_rank()).alias("m")).select("pair", "m.a", "m.root_a", "m.n_a")
             pairs = marked.join(heads, "pair").where(OTHER).select("a", F.col("class").alias("b")).distinct()
-        found = staged(_links(pairs, texts), "links")
+        pairs = pairs.select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).dropDuplicates(["low", "high"])
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["low", "high"], "left_anti"), "pairs")
+        tested = pairs.select("low", "high") if tested is None else tested.unionAll(pairs.select("low", "high"))
+        found = staged(_links(pairs.select("a", "b"), texts), "links")
         edges = found if edges is None else edges.unionAll(found)
         roots = components(edges).select(F.col("node").alias("class"), "root")
     return roots

@@ -31,7 +31,7 @@ from lotbook.session import staged
 
 CAPACITY = 2048
 END = b"\0\0\0\0"  # id 0, after every document
-CACHE_WORDS = 1_000_000  # words and parts whose ids a worker remembers before it starts anew
+CACHE_WORDS = 300_000  # words and parts whose ids a worker remembers before it starts anew
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe, which may belong to letters
 LAST_LATIN = "\u024f"
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
