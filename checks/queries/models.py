@@ -15,7 +15,7 @@ from lotbook.operators.sampling import split
 from lotbook.session import staged
 
 KEY = "listing_id"
-USED = [KEY, "price", "make", "body_style", "state", "color", "year", "mileage"]
+USED = [KEY, "price", "make", "model", "body_style", "city", "state", "color", "year", "mileage"]
 TEST = "md5(concat(listing_id, ':10')) < '33333333333333333333333333333333'"
 
 

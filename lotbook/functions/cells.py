@@ -13,6 +13,7 @@ from lotbook.schemas import NA_WORDS
 # ``try_cast`` alone would accept type suffixes such as 5d, so the shape is checked first.
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+ZERO_DECIMALS = r"^\s*([+-]?\d+)\.0*\s*$"
 
 
 def known(cell: Column, na_words: Sequence[str] = NA_WORDS) -> Column:
@@ -26,10 +27,15 @@ def number(cell: Column) -> Column:
 
 
 def typed(cell: Column, dtype: T.DataType, na_words: Sequence[str] = NA_WORDS) -> Column:
-    """A text cell as ``dtype``. Whole numbers may be written with a decimal part (2015.0)."""
+    """A text cell as ``dtype``. Whole numbers may be written with a decimal part of zero (2015.0); other
+    decimal numbers are no whole numbers and give null. Whole numbers are never read as doubles."""
     cell = known(cell, na_words)
     if isinstance(dtype, T.StringType):
         return cell
+    if isinstance(dtype, T.IntegralType):
+        whole = F.when(cell.rlike(WHOLE_NUMBER), F.trim(cell)).otherwise(F.regexp_extract(cell, ZERO_DECIMALS, 1))
+        plain = F.nullif(whole, F.lit("")).try_cast(dtype)
+        return F.coalesce(plain, F.when(cell.rlike("[eE]") & (number(cell) % 1 == 0), number(cell)).try_cast(dtype))
     return number(cell).try_cast(dtype)
 
 

@@ -174,11 +174,15 @@ def judged_lines(pages: DataFrame, html: str = "html") -> DataFrame:
     return judged.select(PAGE_ID, *others, F.inline(rows))
 
 
+def good_lines(judged: DataFrame) -> DataFrame:
+    """Typed listing rows of the judged lines that are good."""
+    return lines_to_columns(judged.where(F.col("reason").isNull()).drop("reason", "pos"))
+
+
 def extract_with_rejects(pages: DataFrame, html: str = "html") -> tuple[DataFrame, DataFrame]:
     """Typed listing rows, and what was left out: page_id, pos, line, reason."""
     judged = judged_lines(pages, html)
-    good = lines_to_columns(judged.where(F.col("reason").isNull()).drop("reason", "pos"))
-    return good, judged.where(F.col("reason").isNotNull())
+    return good_lines(judged), judged.where(F.col("reason").isNotNull())
 
 
 def extract_listings(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -132,7 +132,9 @@ def price_bands(df: DataFrame, n: int | None = None, edges: Sequence[float] | No
             raise ValueError("give the number of bands (2 or more) or their inner edges")
         probs = [i / n for i in range(1, n)]
         found = exact_quantiles(df, label, probs).collect()  # n - 1 rows
-        edges = sorted({r["quantile"] for r in found})
+        edges = sorted(r["quantile"] for r in found)
+        if len(set(edges)) < len(edges):
+            raise ValueError(f"{n} bands need {n - 1} different edges; so many equal values give {edges}")
     inner = [float(e) for e in edges]
     bands = Bucketizer(
         splits=[float("-inf"), *inner, float("inf")], inputCol=label, outputCol=name, handleInvalid="error"

@@ -19,11 +19,18 @@ from pyspark.sql import functions as F
 
 from lotbook.operators.features import feature_names, feature_stages, source_column
 from lotbook.operators.sampling import sort_by_weight, with_fold
-from lotbook.session import shared_dir
+from lotbook.session import shared_dir, staged
 
 SEED = 10
 # The closed-form solver keeps a square matrix of this many features on the driver at most.
 NORMAL_SOLVER_FEATURES = 4096
+MAX_DEPTH = 30  # of Spark's trees
+
+
+def _depth(depth: int) -> int:
+    if depth > MAX_DEPTH:
+        raise ValueError(f"Spark grows trees to a depth of {MAX_DEPTH} at most, not {depth}")
+    return depth
 
 
 def fit_model(train: DataFrame, model: Estimator, label: str = "price", ignore: Sequence[str] = (),
@@ -78,9 +85,9 @@ def _fit_penalised(train: DataFrame, penalty: float, absolute: float, label: str
 
 def fit_forest(train: DataFrame, label: str = "price", ignore: Sequence[str] = (), trees: int = 500,
                depth: int = 10, encoding: str = "index", max_bins: int = 64, seed: int = SEED) -> PipelineModel:
-    """Random forest over all features. Spark allows a depth of 30 at most."""
+    """Random forest over all features; a depth beyond Spark's limit is refused."""
     forest = RandomForestRegressor(
-        labelCol=label, numTrees=trees, maxDepth=min(depth, 30), featureSubsetStrategy="all", seed=seed,
+        labelCol=label, numTrees=trees, maxDepth=_depth(depth), featureSubsetStrategy="all", seed=seed,
         maxMemoryInMB=1024,
     )
     return _fit_trees(train, forest, label, ignore, encoding, max_bins)
@@ -91,7 +98,7 @@ def fit_boosting(train: DataFrame, label: str = "price", ignore: Sequence[str] =
                  seed: int = SEED) -> PipelineModel:
     """Gradient boosted trees on squared error; the running errors are checkpointed every ten rounds."""
     boosting = GBTRegressor(
-        labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, lossType="squared", seed=seed,
+        labelCol=label, maxIter=rounds, maxDepth=_depth(depth), stepSize=rate, lossType="squared", seed=seed,
         maxMemoryInMB=1024, checkpointInterval=10,
     )
     return _fit_trees(train, boosting, label, ignore, encoding, max_bins)
@@ -115,7 +122,7 @@ def _widest(features: PipelineModel) -> int:
 def fit_band_tree(train: DataFrame, bands: str = "band", ignore: Sequence[str] = ("price",), depth: int = 10,
                   encoding: str = "index", max_bins: int = 64, seed: int = SEED) -> PipelineModel:
     """Decision tree for price bands, split by entropy."""
-    tree = DecisionTreeClassifier(labelCol=bands, impurity="entropy", maxDepth=min(depth, 30), seed=seed)
+    tree = DecisionTreeClassifier(labelCol=bands, impurity="entropy", maxDepth=_depth(depth), seed=seed)
     return _fit_trees(train, tree, bands, ignore, encoding, max_bins)
 
 
@@ -134,28 +141,28 @@ def fit_band_net(train: DataFrame, n_bands: int, bands: str = "band", ignore: Se
 def grid_search(train: DataFrame, key: str, label: str = "price", ignore: Sequence[str] = (),
                 grid: Mapping[str, Sequence] | None = None, model: Estimator | None = None, folds: int = 5,
                 encoding: str = "index", metric: str = "r2", parallelism: int = 2,
-                max_bins: int = 64, depth: int = 10) -> tuple[DataFrame, dict]:
-    """Cross-validated score of every parameter set (mean and std over folds), and the best set.
+                max_bins: int = 64, depth: int = 10) -> tuple[DataFrame, dict, PipelineModel]:
+    """Cross-validated score of every parameter set (mean and std over folds), the best set, and the model fitted with it
+    on all rows, feature stages included.
 
     Folds follow from the row key, so they do not change with the layout of the data. By default a
     random forest over all features is searched for its number of trees.
     """
     shared_dir(train.sparkSession)
-    stages = feature_stages(train, label, [key, *ignore], encoding)
+    # encoders need no label, so they are fitted once, not for every fold and set
+    features = Pipeline(stages=feature_stages(train, label, [key, *ignore], encoding)).fit(train)
     if model is None:
-        widest = _widest(Pipeline(stages=stages).fit(train))
-        model = RandomForestRegressor(
-            labelCol=label, featureSubsetStrategy="all", seed=SEED, maxDepth=min(depth, 30),
-            maxBins=max(max_bins, widest),
-        )
+        model = RandomForestRegressor(labelCol=label, featureSubsetStrategy="all", seed=SEED, maxDepth=_depth(depth))
+    if model.hasParam("maxBins"):
+        model = model.copy({model.getParam("maxBins"): max(max_bins, _widest(features))})
     grid = grid or {"numTrees": [200, 500]}
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(name), list(values))
     sets = builder.build()
-    folded = with_fold(train, folds, key)
+    folded = staged(with_fold(features.transform(train), folds, key).select(label, "features", "fold"), "folds")
     search = CrossValidator(
-        estimator=Pipeline(stages=[*stages, model]), estimatorParamMaps=sets,
+        estimator=model, estimatorParamMaps=sets,
         evaluator=RegressionEvaluator(labelCol=label, metricName=metric),
         numFolds=folds, foldCol="fold", parallelism=parallelism,
     )
@@ -169,7 +176,8 @@ def grid_search(train: DataFrame, key: str, label: str = "price", ignore: Sequen
     )
     pick = max if metric == "r2" else min
     best = pick(range(len(scores)), key=lambda i: scores[i][-2])
-    return table, {n: sets[best][model.getParam(n)] for n in grid}
+    winner = PipelineModel([*features.stages, fitted.bestModel])
+    return table, {n: sets[best][model.getParam(n)] for n in grid}, winner
 
 
 def importances(model: PipelineModel, train: DataFrame, per_column: bool = False) -> DataFrame:

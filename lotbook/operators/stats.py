@@ -40,13 +40,17 @@ def row_counts(df: DataFrame, column: str, values: Sequence) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """by..., column, count, mean, std (n-1), min, p25, p50, p75, max; exact quartiles unless ``approx``."""
     by = list(by)
-    long = df.select(
+    every = df.select(
         *by,
         F.inline(
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in columns])
         ),
-    ).where(F.col("_x").isNotNull())
-    keys = [*by, "column"]
+    )
+    keys, long = [*by, "column"], every.where(F.col("_x").isNotNull())
+    # columns without any value have a row too, of count 0
+    blank = every.groupBy(*keys).agg(F.count("_x").alias("count")).where("count = 0")
+    others = ("mean", "std", "min", *QUARTILE_NAMES, "max")
+    blank = blank.select(*keys, "count", *[F.lit(None).cast("double").alias(c) for c in others])
 
     def aggregates(x: str) -> list[Column]:
         return [
@@ -59,12 +63,12 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), appr
             *aggregates("_x"), F.percentile_approx("_x", list(QUARTILES)).alias("_q")
         )
         quartile_columns = [F.col("_q")[i].alias(q) for i, q in enumerate(QUARTILE_NAMES)]
-        return table.select(*keys, "count", "mean", "std", "min", *quartile_columns, "max")
+        return table.select(*keys, "count", "mean", "std", "min", *quartile_columns, "max").unionAll(blank)
     quartiles, rest = quantiles_and_aggregates(long, "_x", QUARTILES, keys, also=aggregates("_v"))
     quartiles = quartiles.groupBy(*keys).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(q) for p, q in zip(QUARTILES, QUARTILE_NAMES)]
     )
-    return rest.join(quartiles, keys).select(*keys, "count", "mean", "std", "min", *QUARTILE_NAMES, "max")
+    return rest.join(quartiles, keys).select(*keys, "count", "mean", "std", "min", *QUARTILE_NAMES, "max").unionAll(blank)
 
 
 def moments(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

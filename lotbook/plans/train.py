@@ -19,7 +19,7 @@ from lotbook.session import staged
 KEY = "row_key"
 Fit = Callable[[DataFrame], PipelineModel]
 
-# The settings of the final run.
+# The settings of the final run; its 100,000 rows are an argument, ``sample=SAMPLE``.
 SAMPLE = 100_000
 TEST_SIZE = 0.10
 FITS: dict[str, Fit] = {
@@ -45,11 +45,11 @@ def compare_models(
     table: DataFrame,
     label: str = "price",
     fits: Mapping[str, Fit] = FITS,
-    sample: int | None = SAMPLE,
+    sample: int | None = None,
     test_size: float = TEST_SIZE,
     seed: int = 10,
 ) -> Comparison:
-    """Distinct complete rows, a sample of them (all if None), train and test rows, models, scores.
+    """Distinct complete rows (a sample of them only if ``sample`` says how many), train and test rows, models, scores.
 
     Equal rows have equal keys, so the sample is chosen among the distinct keys, and whole rows are
     compared only within the sample. It is written once, since every model reads it several times.

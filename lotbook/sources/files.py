@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from lotbook.functions.cells import typed_columns
 from lotbook.operators.rows import with_row_id
 from lotbook.schemas import LISTINGS_RAW, NA_WORDS, RENAMES, ZIP_CODES, as_text
 
+SURPLUS = "_surplus"
+
 
 def read_listings(
     spark: SparkSession,
@@ -23,13 +27,26 @@ def read_listings(
     """Headerless CSV files, all in one scan. Cells are read as text, then typed, so that
     missing-value words and numbers written as 2015.0 survive in numeric columns.
 
-    ``file_column`` adds the name of the file each row came from.
+    ``file_column`` adds the name of the file each row came from. A line with more cells than columns is
+    no row, as its cells cannot be told apart; ``surplus_lines`` has those lines.
     """
-    text = spark.read.schema(as_text(schema)).csv(paths if isinstance(paths, str) else list(paths))
+    text = _with_surplus(spark, paths, schema)
     columns = typed_columns(text, schema, na_words)
     if file_column:
         columns.append(F.col("_metadata.file_name").alias(file_column))
-    return text.select(*columns)
+    return text.where(F.col(SURPLUS).isNull()).select(*columns)
+
+
+def surplus_lines(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = LISTINGS_RAW) -> DataFrame:
+    """file, cells: the lines that ``read_listings`` leaves out, up to the first cell too many."""
+    text = _with_surplus(spark, paths, schema)
+    cells = F.array(*[F.col(f"`{c}`") for c in [*schema.fieldNames(), SURPLUS]])
+    return text.where(F.col(SURPLUS).isNotNull()).select(F.col("_metadata.file_name").alias("file"), cells.alias("cells"))
+
+
+def _with_surplus(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
+    wide = T.StructType([*as_text(schema).fields, T.StructField(SURPLUS, T.StringType())])
+    return spark.read.schema(wide).csv(paths if isinstance(paths, str) else list(paths))
 
 
 def read_table(
@@ -40,17 +57,32 @@ def read_table(
     na_words: Sequence[str] = NA_WORDS,
 ) -> DataFrame:
     """CSV files with a header line. Header spellings are mapped to canonical names and columns are
-    found by name; a column of ``schema`` that the files lack is null, extra columns are not read.
+    found by name; a column of ``schema`` that a file lacks is null, extra columns are not read.
+
+    Files may differ in their columns: the first lines are read first, and files of one layout are one scan. A
+    layout with no column of ``schema`` at all is refused.
     """
-    text = spark.read.option("header", True).csv(paths if isinstance(paths, str) else list(paths))
-    found = {renames.get(c, c): c for c in text.columns}
-    named = text.select(
-        *[
-            (F.col(f"`{found[f.name]}`") if f.name in found else F.lit(None).cast("string")).alias(f.name)
-            for f in schema.fields
-        ]
-    )
-    return named.select(*typed_columns(named, schema, na_words))
+    frames = []
+    for header, files in _layouts(spark, [paths] if isinstance(paths, str) else list(paths)):
+        names = [renames.get(name, name) for name in next(csv.reader([header]))]
+        if not {f.name for f in schema.fields} & set(names):
+            raise ValueError(f"no column of {schema.fieldNames()} in the header {header!r} of {files[0]}")
+        cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        text = spark.read.option("header", True).schema(cells).csv(files)
+        named = text.select(*[
+            (F.col(f"c{names.index(f.name)}") if f.name in names else F.lit(None).cast("string")).alias(f.name) for f in schema.fields
+        ])
+        frames.append(named.select(*typed_columns(named, schema, na_words)))
+    return reduce(DataFrame.unionAll, frames) if frames else spark.createDataFrame([], schema)
+
+
+def _layouts(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
+    """Header lines and the files that begin with them: one small row a file reaches the driver."""
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    # the first block of a file is read by one task, in order
+    firsts = lines.where("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("header"))
+    rows = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect()
+    return sorted((r["header"], r["files"]) for r in rows)
 
 
 def read_zip_codes(spark: SparkSession, path: str) -> DataFrame:

@@ -15,12 +15,16 @@ from lotbook.schemas import LISTINGS_RAW, NA_WORDS, as_text
 
 
 def listing_stream(spark: SparkSession, folder: str, schema: T.StructType = LISTINGS_RAW,
-                   na_words: Sequence[str] = NA_WORDS, files_per_trigger: int = 100) -> DataFrame:
-    """Headerless CSV files as they arrive, typed as in ``read_listings``."""
+                   na_words: Sequence[str] = NA_WORDS, files_per_trigger: int = 100,
+                   arrival: str | None = None) -> DataFrame:
+    """Headerless CSV files as they arrive, typed as in ``read_listings``. ``arrival`` adds the time of the file."""
     text = (
         spark.readStream.schema(as_text(schema)).option("maxFilesPerTrigger", files_per_trigger).csv(folder)
     )
-    return text.select(*typed_columns(text, schema, na_words))
+    columns = typed_columns(text, schema, na_words)
+    if arrival:
+        columns.append(F.col("_metadata.file_modification_time").alias(arrival))
+    return text.select(*columns)
 
 
 def clean_stream(rows: DataFrame, arrival: str | None = None, delay: str = "2 days") -> DataFrame:
@@ -45,8 +49,15 @@ def write_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
-                  schema: T.StructType = LISTINGS_RAW, files_per_trigger: int = 100) -> StreamingQuery:
+                  schema: T.StructType = LISTINGS_RAW, files_per_trigger: int = 100,
+                  delay: str | None = None) -> StreamingQuery:
     """Listing files → clean, distinct rows in a parquet table. Run again with the same checkpoint, it
-    takes up only new files."""
-    rows = clean_stream(listing_stream(spark, folder, schema, files_per_trigger=files_per_trigger))
+    takes up only new files.
+
+    With a ``delay`` a row is remembered for so long after its file arrived, which bounds the state; without one
+    repeats are found however late they come, and every distinct row stays in the state.
+    """
+    arrival = "_arrived" if delay else None
+    rows = listing_stream(spark, folder, schema, files_per_trigger=files_per_trigger, arrival=arrival)
+    rows = clean_stream(rows, arrival, delay).drop("_arrived") if delay else clean_stream(rows)
     return write_stream(rows, out, checkpoint)

@@ -107,7 +107,7 @@ def test_forest_importances_by_column(parts):
 
 
 def test_grid_search(parts):
-    table, best = M.grid_search(parts[0], KEY, grid={"numTrees": [1, 3]}, folds=2, depth=3)
+    table, best, winner = M.grid_search(parts[0], KEY, grid={"numTrees": [1, 3]}, folds=2, depth=3)
     rows = table.collect()
     assert [r["numTrees"] for r in rows] == ["1", "3"]
     assert best["numTrees"] == int(max(rows, key=lambda r: r["mean"])["numTrees"])

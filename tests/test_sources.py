@@ -2,7 +2,9 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lotbook.functions.cells import typed
 from lotbook.operators.combine import union_outer, union_same
 from lotbook.plans.harvest import harvest, harvest_to
 from lotbook.schemas import LISTINGS_RAW, LISTINGS_V1
@@ -104,3 +106,28 @@ def test_shared_folder_is_the_configured_one(spark):
 @pytest.mark.parametrize("name", ["price", "year"])
 def test_schema_types(name):
     assert LISTINGS_RAW[name].dataType.simpleString() == {"price": "double", "year": "int"}[name]
+
+
+def test_headers_of_different_layouts(spark, tmp_path):
+    for name, text in (("a", "Price,Make,City\n1.5,Audi,Oslo\n"), ("b", "City,Make,Price\nRome,Fiat,2.0\n"), ("c", "color,price\nred,3\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    renames = {"Price": "price", "Make": "make", "City": "city"}
+    rows = files.read_table(spark, str(tmp_path), LISTINGS_RAW, renames).select("price", "make", "city", "color").collect()
+    assert sorted(map(tuple, rows)) == [(1.5, "Audi", "Oslo", None), (2.0, "Fiat", "Rome", None), (3.0, None, None, "red")]
+    (tmp_path / "d.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(ValueError, match="no column"):
+        files.read_table(spark, str(tmp_path), LISTINGS_RAW, renames)
+
+
+def test_surplus_cells(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("1,a,b,2015,c,d,e,5,red\n2,a,b,2015,c,d,e,5,red,more,cells\n")
+    assert [r["price"] for r in files.read_listings(spark, str(tmp_path)).collect()] == [1.0]
+    (left,) = files.surplus_lines(spark, str(tmp_path)).collect()
+    assert left["cells"][0] == "2" and left["cells"][-1] == "more"
+
+
+def test_big_whole_numbers(spark):
+    cells = ["9007199254740993", "-5", " 7 ", "2015.0", "2015.7", "2e3", "1e-1", "", "x", "99999999999999999999"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = [r["v"] for r in df.select("i", typed(F.col("c"), T.LongType()).alias("v")).orderBy("i").collect()]
+    assert got == [9007199254740993, -5, 7, 2015, None, 2000, None, None, None, None]
