@@ -42,7 +42,8 @@ LIMIT = (75, 100)  # intersection * 100 >= union * 75
 COORDS, MATCHES = 64, 32
 #: Of different components, and of sizes that allow a link.
 OTHER = f"root <> root_a and {LIMIT[1]} * least(n, n_a) >= {LIMIT[0]} * greatest(n, n_a)"
-ROUNDS = 2
+ONCE = "not straggler or class_a < class"  # two stragglers meet from either side
+ROUNDS = 3
 FEW = 8
 WORDS_KEPT = 200_000  # hashed words that a task remembers before it starts anew
 CHUNK = 4096  # shingles hashed at a time
@@ -228,14 +229,17 @@ def _remaining(marked: DataFrame, texts: DataFrame) -> DataFrame:
     found = staged(found.join(spokes, ["head", "class"]), "measured")
     mine = [F.col(c).alias(f"{c}_a") for c in ("class", "root", "n", "both")]
     asked = found.where("straggler")
-    shared = asked.select("head", *mine, F.explode("rest").alias("s")).join(found.select("head", "class", "root", "n", F.explode("rest").alias("s")), ["head", "s"])
+    shared = asked.select("head", *mine, F.explode("rest").alias("s")).join(found.select("head", "class", "root", "n", "both", "straggler", F.explode("rest").alias("s")), ["head", "s"])
+    # the overlap is at most the smaller one within the head and the smaller one outside
+    shared = shared.where((F.least("both", "both_a") + F.least(F.col("n") - F.col("both"), F.col("n_a") - F.col("both_a"))) * sum(LIMIT)
+                          >= (F.col("n") + F.col("n_a")) * LIMIT[0])
     # 100 * both >= 75 * (n_a + n_b - both), for the largest overlap that is possible within the head
     most = (F.col("both") * sum(LIMIT) / LIMIT[0] - F.col("n"))
     lengths = F.sequence(F.floor(F.col("n") * LIMIT[0] / LIMIT[1]), F.floor(most).cast("bigint"))
     sized = asked.where(F.floor(most) >= F.floor(F.col("n") * LIMIT[0] / LIMIT[1])).select("head", *mine, F.explode(lengths).alias("n"))
     within = F.least("both", "both_a") * sum(LIMIT) >= (F.col("n") + F.col("n_a")) * LIMIT[0]
-    sized = sized.join(found.select("head", "class", "root", "n", "both"), ["head", "n"]).where(within)
-    more = [p.where(OTHER).select(F.col("class_a").alias("a"), F.col("class").alias("b")) for p in (shared, sized)]
+    sized = sized.join(found.select("head", "class", "root", "n", "both", "straggler"), ["head", "n"]).where(within)
+    more = [p.where(OTHER).where(ONCE).select(F.col("class_a").alias("a"), F.col("class").alias("b")) for p in (shared, sized)]
     return pairs.unionAll(more[0]).unionAll(more[1]).distinct()
 
 
