@@ -199,6 +199,20 @@ def normal_curve(spark, sf_dir):
     return rounded(rounded(A.normal_curve(rows, "price", 60, "make"), "x"), "y", digits=12)
 
 
+@query(
+    "a11_curve_on_histogram_edges",
+    f"""{LISTINGS}, m as (select make, avg(price) as mu, stddev_samp(price) as sd from listings
+        where make in ('Brand#1', 'Brand#2') group by 1),
+    r as (select min(price) as a, max(price) as z from listings where make in ('Brand#1', 'Brand#2')),
+    e as (select *, cast(unnest(generate_series(0, 60)) as int) as edge from m, r),
+    x as (select *, a + edge * ((z - a) / 60) as x from e)
+    select make, edge, round(x, 4) as x, round(exp(-0.5 * pow((x - mu) / sd, 2)) / (sqrt(2 * pi()) * sd), 12) as y from x""",
+)
+def curve_on_histogram_edges(spark, sf_dir):
+    rows = C.one_of(listings(spark, sf_dir), "make", ["Brand#1", "Brand#2"])
+    return rounded(rounded(A.normal_curve(rows, "price", 60, "make", common=True), "x"), "y", digits=12)
+
+
 DRAWS = """m as (select avg(price) as mu, stddev_samp(price) as sd from s),
     u as (select listing_id, (cast(('0x' || substr(md5(concat(listing_id, ':10')), 1, 8)) as bigint) + 0.5::double) / 4294967296 as u1,
                  (cast(('0x' || substr(md5(concat(listing_id, ':10')), 9, 8)) as bigint) + 0.5::double) / 4294967296 as u2 from s),

@@ -26,19 +26,20 @@ def constant_predictions(df: DataFrame, label: str, baseline: str = "median", na
 
 
 def evaluate(predictions: DataFrame, label: str = "price", prediction: str = "prediction",
-             baseline: str = "median") -> DataFrame:
+             baseline: str | float | None = "median") -> DataFrame:
     """One row: n, mse, rmse, r2, baseline, base_rmse, rmse_ratio.
 
-    One aggregate over the predictions: the spread of the label around any constant follows from
-    its variance and mean.
+    One aggregate over the predictions, besides the passes that find the median: the spread of the label around any
+    constant follows from its variance and mean. A number as baseline is used as it is.
     """
+    constant = baseline_value(predictions, label, baseline) if isinstance(baseline, str) else F.lit(baseline).cast("double")
     y, error = F.col(label).cast("double"), F.col(label) - F.col(prediction)
     sums = predictions.agg(
         F.count(label).alias("n"),
         F.avg(F.pow(error, F.lit(2))).alias("mse"),
         F.avg(y).alias("_mean"),
         F.var_pop(y).alias("_var"),
-    ).withColumn("baseline", baseline_value(predictions, label, baseline))
+    ).withColumn("baseline", constant)
     base_rmse = F.sqrt(F.col("_var") + F.pow(F.col("_mean") - F.col("baseline"), F.lit(2)))
     return sums.select(
         "n",
@@ -55,8 +56,14 @@ def r2_score(predictions: DataFrame, label: str = "price", prediction: str = "pr
     return evaluate(predictions, label, prediction, "mean").select("r2")
 
 
-def leaderboard(predictions: Mapping[str, DataFrame], label: str = "price", baseline: str = "median") -> DataFrame:
-    """One ``evaluate`` row per model, best first."""
+def leaderboard(predictions: Mapping[str, DataFrame], label: str = "price", baseline: str = "median",
+                rows: DataFrame | None = None) -> DataFrame:
+    """One ``evaluate`` row per model, best first.
+
+    ``rows``: what all models predict, if it is the same for all; the baseline is then worked out once.
+    """
+    if rows is not None:
+        baseline = rows.sparkSession.range(1).select(baseline_value(rows, label, baseline)).first()[0]
     rows = [
         evaluate(df, label, baseline=baseline).select(F.lit(name).alias("model"), "*")
         for name, df in predictions.items()

@@ -5,17 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lotbook.functions.hashing import DIGITS, digest, share_limit
+from lotbook.operators.rows import with_row_id
 
 # Digests the driver may look at when the last digits of a cut-off are settled.
 DIGEST_LIST = 10_000
 DIGITS_PER_STEP = 3
 
-# Up to this many rows the built-in top-n is used as it is.
-SMALL_N = 1_000
+# Keys that are looked at to tell about where a cut-off key lies.
 SAMPLE_ROWS = 200_000
 
 
@@ -88,15 +88,17 @@ def with_fold(df: DataFrame, k: int, key: str, seed: int = 10, name: str = "fold
 def first_n(df: DataFrame, n: int, order_by: str | Sequence[str]) -> DataFrame:
     """The first ``n`` rows in the order of a unique key.
 
-    A plain top-n sends n rows of every partition to one task. For a large n, a random sample first
-    says up to which key rows can matter, and only those take part; the bound is checked by a count.
+    A plain top-n sends n rows of every partition to one task. Here the n-th key is found and the result is a filter.
+    A random sample says up to which key rows can matter (checked by a count); a distributed sort numbers these keys.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    if n > SMALL_N:
-        bound = _key_bound(df.select(*keys), n, keys)
-        if bound is not None:
-            df = df.where(F.struct(*keys) <= bound)
-    return df.orderBy(*keys).limit(n)
+    if n < 1:
+        return df.where(F.lit(False))
+    wanted = df.select(*keys)
+    bound = _key_bound(wanted, n, keys)
+    near = wanted if bound is None else wanted.where(F.struct(*keys) <= bound)
+    last = with_row_id(near, keys, "_place_of_key").where(F.col("_place_of_key") == n - 1).first()
+    return df if last is None else df.where(F.struct(*keys) <= _key(df, last, keys))
 
 
 def _key_bound(df: DataFrame, n: int, keys: list[str]):
@@ -109,6 +111,11 @@ def _key_bound(df: DataFrame, n: int, keys: list[str]):
     row = sample.orderBy(*[F.desc(k) for k in keys]).first()
     if row is None:
         return None
-    types = dict(df.dtypes)
-    bound = F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in keys])
+    bound = _key(df, row, keys)
     return bound if df.where(F.struct(*keys) <= bound).count() >= n else None
+
+
+def _key(df: DataFrame, row: Row, keys: Sequence[str]) -> Column:
+    """A key found on the driver, to compare rows with."""
+    types = dict(df.dtypes)
+    return F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in keys])

@@ -181,13 +181,20 @@ def density_histogram(df: DataFrame, value: str, n: int = 60, group: str | None
     return _filled_bins(df, value, n, group, groups).withColumn("density", density).drop("total")
 
 
-def normal_curve(df: DataFrame, value: str, n: int = 60, by: str | None = None) -> DataFrame:
-    """by, edge, x, y: the normal density with the group's mean and std at the n+1 bin edges of its range."""
+def normal_curve(df: DataFrame, value: str, n: int = 60, by: str | None = None, common: bool = False) -> DataFrame:
+    """by, edge, x, y: the normal density with the group's mean and std at the n+1 bin edges of its range.
+
+    ``common``: of the range of all groups, as the bins of ``density_histogram`` have it.
+    """
     by_columns = [by] if by else []
     per_group = df.groupBy(*by_columns).agg(
         F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"),
         F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"),
     )
+    if common:
+        present = df.where(F.col(by).isNotNull()) if by else df
+        ends = present.agg(F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).alias("_e")).scalar()
+        per_group = per_group.withColumn("_e", ends).withColumns({"_lo": F.col("_e.lo"), "_hi": F.col("_e.hi")})
     edges = per_group.select("*", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("edge"))
     x = F.col("_lo") + F.col("edge") * ((F.col("_hi") - F.col("_lo")) / n)
     return edges.withColumn("x", x).select(

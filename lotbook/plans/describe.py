@@ -35,5 +35,5 @@ def overview(
     grouped = with_segment(table, segments).where("segment is not null")
     result["segments"] = A.moments(grouped, label, ["segment"])
     result["segment_density"] = A.density_histogram(grouped, label, 60, "segment")
-    result["segment_curve"] = A.normal_curve(grouped, label, 60, "segment")
+    result["segment_curve"] = A.normal_curve(grouped, label, 60, "segment", common=True)
     return result

@@ -66,7 +66,7 @@ def compare_models(
     # the sample took the lowest digests of this seed, so the split needs another one
     train, test = split(rows, test_size, KEY, seed + 1)
     models = {name: fit(train) for name, fit in fits.items()}
-    scores = leaderboard({name: M.predict(model, test, [label]) for name, model in models.items()}, label)
+    scores = leaderboard({name: M.predict(model, test, [label]) for name, model in models.items()}, label, rows=test)
     heavy = {
         name: M.importances(model, train)
         for name, model in models.items()

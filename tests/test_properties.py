@@ -51,9 +51,10 @@ def test_stage_counts(spark, dirty):
     [float(i % 3) for i in range(1000)],
     [random.Random(1).lognormvariate(0, 3) for _ in range(3000)],
 ])
-@pytest.mark.parametrize("accuracy", [10_000, 20])
-def test_quantiles_are_exact(spark, values, accuracy):
-    """Also with a coarse sketch, and with one value holding most of the rows."""
+@pytest.mark.parametrize("accuracy, ordered", [(10_000, 100_000), (20, 100_000), (20, 10)])
+def test_quantiles_are_exact(spark, monkeypatch, values, accuracy, ordered):
+    """Also with a coarse sketch, with one value holding most of the rows, and with brackets that are cut again."""
+    monkeypatch.setattr(Q, "ORDERED", ordered)
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(5)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0]
     found = {r["prob"]: r["quantile"] for r in Q.exact_quantiles(df, "x", probs, accuracy=accuracy).collect()}
@@ -61,10 +62,10 @@ def test_quantiles_are_exact(spark, values, accuracy):
         assert found[p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
-def test_quantiles_by_group(spark, monkeypatch, broadcast_rows):
-    """With a broadcast group table, and with one too large for that; one group holds most rows."""
-    monkeypatch.setattr(Q, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("ordered", [100_000, 3])
+def test_quantiles_by_group(spark, monkeypatch, ordered):
+    """One group holds most rows; with brackets ordered at once, and cut until three values are left."""
+    monkeypatch.setattr(Q, "ORDERED", ordered)
     rng = random.Random(2)
     rows = [("hot" if rng.random() < 0.6 else f"g{rng.randrange(20)}", rng.randrange(50) * 0.5) for _ in range(4000)]
     df = spark.createDataFrame(rows, "g string, x double")
@@ -85,6 +86,23 @@ def test_only_the_frequent_value_is_ordered(spark):
     assert table.first()["quantile"] == 5000.0
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_ordered_values_do_not_grow(spark, monkeypatch, n):
+    """However many rows lie within a bracket, a task orders a fixed number of values."""
+    monkeypatch.setattr(Q, "ORDERED", 50)
+    seen, narrowed = [], Q._narrowed
+
+    def watched(copies, by):
+        seen.append(narrowed(copies, by))
+        return seen[-1]
+
+    monkeypatch.setattr(Q, "_narrowed", watched)
+    df = spark.range(n).select((F.col("id") * 0.5).alias("x"))
+    found = {r["prob"]: r["quantile"] for r in Q.exact_quantiles(df, "x", [0.3, 0.5], accuracy=20).collect()}
+    assert found == {p: pytest.approx((n - 1) * p * 0.5) for p in (0.3, 0.5)}
+    assert seen[0].groupBy("_b").count().agg(F.max("count")).first()[0] <= 50
+
+
 def test_quantiles_of_nothing(spark):
     assert Q.exact_quantiles(spark.range(0).withColumn("x", F.col("id")), "x", [0.5]).collect() == []
 
@@ -199,6 +217,14 @@ def test_folds_cover_all_rows(listings):
     assert set(counts) == set(range(5)) and sum(counts.values()) == listings.count()
 
 
+@pytest.mark.parametrize("n, size", [(0, 0), (1, 1), (30, 30), (40, 40), (41, 40)])
+def test_first_n_is_a_filter(spark, n, size):
+    df = spark.range(40).select((F.col("id") * 7 % 40).alias("k"), F.lit("x").alias("v"))
+    result = G.first_n(df, n, "k")
+    assert sorted(r["k"] for r in result.collect()) == list(range(size))
+    assert "Limit" not in result._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("rows", [200_000, 3000])
 def test_first_n(spark, monkeypatch, rows):
     monkeypatch.setattr(G, "SAMPLE_ROWS", rows)
