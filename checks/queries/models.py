@@ -86,7 +86,16 @@ def predictions(spark, sf_dir):
 # --- models of all features ---------------------------------------------------------------------------
 
 
-@query("f3_feature_slots")
+TEXT_SLOTS = " union all ".join(
+    f"select concat('{c}_', {c}) as feature, count(*) as n_rows from price_signal group by 1"
+    for c in ("make", "model", "body_style", "city", "state", "color")
+)
+NUMBER_SLOTS = " union all ".join(
+    f"select '{c}' as feature, count(*) as n_rows from price_signal where {c} <> 0" for c in ("year", "mileage")
+)
+
+
+@query("f3_feature_slots", f"{SIGNAL} {TEXT_SLOTS} union all {NUMBER_SLOTS}")
 def feature_slots(spark, sf_dir):
     """How many rows use each slot of the feature vector."""
     rows = price_signal(spark, sf_dir).select(*USED)
@@ -106,6 +115,27 @@ def _scored(fit):
     return run
 
 
+AGAINST_BASELINE = f"""{SIGNAL}, test as (select price from price_signal where {TEST}),
+    b as (select quantile_cont(price, 0.5) as baseline from test)
+    select count(*) as n, round(max(baseline), 4) as baseline, round(sqrt(avg(pow(price - baseline, 2))), 4) as base_rmse,
+           true as better from test, b"""
+
+
+def _against_baseline(fit):
+    """The baseline by SQL; of the fit only that it is better than half of the baseline's error."""
+
+    def run(spark, sf_dir):
+        scores = _scored(fit)(spark, sf_dir).select("n", "baseline", "base_rmse", (F.col("rmse_ratio") < 0.5).alias("better"))
+        return rounded(scores, "baseline", "base_rmse")
+
+    return run
+
+
+query("m1_linear_against_baseline", AGAINST_BASELINE)(_against_baseline(lambda train: M.fit_linear(train, ignore=[KEY])))
+query("m4_forest_against_baseline", AGAINST_BASELINE)(
+    _against_baseline(lambda train: M.fit_forest(train, ignore=[KEY], trees=10)))
+query("m5_boosting_against_baseline", AGAINST_BASELINE)(
+    _against_baseline(lambda train: M.fit_boosting(train, ignore=[KEY], rounds=12, rate=0.3)))
 query("m1_linear")(_scored(lambda train: M.fit_linear(train, ignore=[KEY])))
 query("m2_ridge")(_scored(lambda train: M.fit_ridge(train, ignore=[KEY])))
 query("m3_lasso")(_scored(lambda train: M.fit_lasso(train, ignore=[KEY])))
