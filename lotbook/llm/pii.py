@@ -5,7 +5,9 @@ addresses, card numbers, telephone numbers) are replaced by made-up ones of the
 secret key and the entity itself, so the same entity gets the same surrogate everywhere, in every spelling:
 numbers are compared by their digits and written into the form found, names word by word. Formats stay: lengths,
 separators, country codes, script and gender of names, the check digits of cards and IBANs. Two entities never share
-a surrogate, and no surrogate is an entity of the input: where a draw collides, one of them draws again.
+a surrogate, and no surrogate is an entity of the input: where a draw collides, one of them draws again. What still
+collides after ``DRAWS`` draws (formats with few values) is matched by rank with the free values of its format, which
+are counted through in a keyed order; an entity for which its format has no free value gets a longer one.
 
 Only rows that hold an entity are taken apart and joined with the table of surrogates; all others pass as they are.
 
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotbook.llm.rows import carried
+from lotbook.operators.rows import with_row_id
 from lotbook.session import staged
 
 MALE = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Don", "господин")
@@ -45,13 +48,18 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 LATIN = "ba be bi bo da de di do fa fe fi ga go ha he ja jo ka ke ki la le li lo ma me mi mo na ne ni no pa ra re ri ro sa se ta te va".split()
 CYRILLIC = "ба бе би бо да де ди до ва ве га го жа за зе ка ки ко ла ле ли ло ма ме ми мо на не ни но па ра ре ри ро са се та те фа ха".split()
+BEATS = {"latin": LATIN, "cyrillic": CYRILLIC}
 ENDS = {  # of a given name or surname, by script: one that tells the gender, or none
     ("latin", "male"): ("rd", "n", "s", "rt"), ("latin", "female"): ("na", "ra", "la", "lia"), ("latin", "other"): ("x", "ry", "le", "my"),
     ("latin", "surname"): ("sen", "mann", "ton", "rez", "ck", "ld"),
     ("cyrillic", "male"): ("н", "р", "слав", "й"), ("cyrillic", "female"): ("на", "я", "ра", "ла"), ("cyrillic", "other"): ("ша", "ня", "ка", "ся"),
     ("cyrillic", "surname"): ("енко", "ых", "ук", "ич"),
 }
-MAX_DRAWS = 50
+DRAWS = 8  # rounds of chance; after them free values are counted through
+BLOCK = 4096  # values that one row is spread to
+#: What a place of a format can hold, by a sign that no entity has at such a place.
+PLACES = {"#": list("0123456789"), "?": [chr(97 + i) for i in range(26)], "!": [chr(65 + i) for i in range(26)], "*": list("0123456789abcdef"),
+          "=": list("123456789"), "~": [str(i) for i in range(1, 255)]}
 
 
 def _kind(match: Column) -> Column:
@@ -102,16 +110,44 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), lambda r, c: (r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + code(c)) % 97)
 
 
+def _check(body: Column) -> Column:
+    """The digit that makes a card number valid."""
+    return F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
+
+
+def _checked(country: Column, inner: Column) -> Column:
+    return F.concat(country, F.lpad((98 - _mod97(F.concat(inner, country, F.lit("00")))).cast("string"), 2, "0"), inner)
+
+
+def _mail(canon: Column) -> tuple[Column, Column, Column]:
+    """What stands before the sign, the domain without its last label, and that label."""
+    domain = F.substring_index(canon, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    return F.substring_index(canon, "@", 1), F.substring(domain, F.lit(1), F.length(domain) - F.length(last)), last
+
+
+def _front(front: Column, key: str) -> Column:
+    return _shaped(front, F.concat(F.lit(key), F.lit("|domain|"), front))
+
+
+def _script(canon: Column) -> Column:
+    return F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+
+
+def _beats(script: Column) -> Column:
+    return F.element_at(F.create_map(*[x for name, beats in BEATS.items() for x in (F.lit(name), F.array(*[F.lit(b) for b in beats]))]), script)
+
+
+def _ends(script: Column, role: Column) -> Column:
+    table = F.create_map(*[x for (name, part), ends in ENDS.items() for x in (F.lit(f"{name}.{part}"), F.array(*[F.lit(e) for e in ends]))])
+    return F.element_at(table, F.concat_ws(".", script, role))
+
+
 def _name(canon: Column, seed: Column, role: Column) -> Column:
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    script = _script(canon)
     stream = _stream(seed, F.lit(32))
-    out = F.lit(None).cast("string")
-    for (letters, part), ends in ENDS.items():
-        beats = F.array(*[F.lit(s) for s in (LATIN if letters == "latin" else CYRILLIC)])
-        pick = lambda items, at: F.element_at(items, F.pmod(F.conv(F.substring(stream, 6 * at + 1, 6), 16, 10).cast("int"), F.size(items)) + 1)
-        made = F.concat(*[pick(beats, at) for at in range(4)], pick(F.array(*[F.lit(e) for e in ends]), 4))
-        out = F.when((script == letters) & (role == part), made).otherwise(out)
-    return out
+    pick = lambda items, at: F.element_at(items, F.pmod(F.conv(F.substring(stream, 6 * at + 1, 6), 16, 10).cast("int"), F.size(items)) + 1)
+    return F.concat(*[pick(_beats(script), at) for at in range(4)], pick(_ends(script, role), 4))
 
 
 def draw(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
@@ -121,14 +157,11 @@ def draw(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     fresh = lambda n, offset=0: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: (_number(stream, i + offset) % 10).cast("string")), "")
     length = F.length(canon)
 
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    last = F.substring_index(domain, ".", -1)
-    front = F.substring(domain, F.lit(1), F.length(domain) - F.length(last))
-    mail = F.concat(_shaped(local, seed), F.lit("@"), _shaped(front, F.concat(F.lit(key), F.lit("|domain|"), front)), last)
+    local, front, last = _mail(canon)
+    mail = F.concat(_shaped(local, seed), F.lit("@"), _front(front, key), last)
 
     body = F.concat(F.substring(canon, 1, 1), fresh(length - 2))
-    check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    card = F.concat(body, F.when(F.pmod(_luhn(canon), F.lit(10)) == 0, check).otherwise(fresh(F.lit(1), 40)))
+    card = F.concat(body, F.when(F.pmod(_luhn(canon), F.lit(10)) == 0, _check(body).cast("string")).otherwise(fresh(F.lit(1), 40)))
 
     area = F.greatest(length - 10, F.lit(0))
     phone = F.concat(F.substring(canon, F.lit(1), area), fresh(length - area))
@@ -139,13 +172,108 @@ def draw(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
 
     country, account = F.substring(canon, 1, 2), F.substring(canon, F.lit(5), length)
     inner = F.array_join(F.transform(_chars(account), lambda c, i: F.when(c.rlike("[0-9]"), F.chr(_number(stream, i) % 10 + 48)).otherwise(F.chr(_number(stream, i) % 26 + 65))), "")
-    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(inner, country, F.lit("00")))).cast("string"), 2, "0"), inner)
+    iban = _checked(country, inner)
 
     choices = {"mail": mail, "card": card, "phone": phone, "ssn": ssn, "ip": ip, "secret": hexes, "iban": iban}
     named = _name(canon, seed, F.substring_index(kind, ".", -1))
     return reduce(lambda out, c: F.when(kind == c[0], c[1]).otherwise(out), choices.items(), named)
 
 
+def _format(kind: Column, canon: Column, key: str, wider: int) -> tuple[Column, Column]:
+    """The places of an entity's surrogate, and what else it follows from; ``wider`` places more than the entity has."""
+    length = F.length(canon)
+    places = lambda n, sign="#": F.repeat(F.lit(sign), n)
+    local, front, last = _mail(canon)
+    valid = F.pmod(_luhn(canon), F.lit(10)) == 0
+    area = F.greatest(length - 10, F.lit(0))
+    account = F.regexp_replace(F.substring(canon, F.lit(5), length), "[0-9]", "#")
+    templates = {
+        "mail": F.concat(F.regexp_replace(F.regexp_replace(local, "[0-9]", "#"), "[a-z]", "?"), F.lit("?" * wider)),
+        "card": F.concat(F.substring(canon, 1, 1), places(length - 2 + wider), F.when(valid, "").otherwise("=")),
+        "phone": F.concat(F.substring(canon, F.lit(1), area), places(length - area + wider)),
+        "ssn": F.concat(F.lit("9"), places(length - 1 + wider)), "ip": F.lit("~.~.~.~" + ".~" * wider),
+        "secret": places(length + wider, "*"), "iban": F.concat(F.regexp_replace(account, "[A-Z]", "!"), F.lit("#" * wider)),
+    }
+    frames = {"mail": F.concat(F.lit("@"), _front(front, key), last), "card": F.when(valid, "valid").otherwise("odd"),
+              "iban": F.substring(canon, 1, 2), **{k: F.lit("") for k in ("phone", "ssn", "ip", "secret")}}
+    pick = lambda table, other: reduce(lambda out, c: F.when(kind == c[0], c[1]).otherwise(out), table.items(), other)
+    return pick(templates, F.lit("$" * (4 + wider) + "^")), pick(frames, _script(canon))
+
+
+def _value(kind: Column, template: Column, frame: Column, key: str, number: Column) -> Column:
+    """value, rest: the value of that number in a format; rest is 0 if there are so many. No two numbers give one value."""
+    stream = _stream(F.concat_ws("|", F.lit(key), F.lit("format"), kind, template, frame), F.length(template) * 4)
+    role = F.substring_index(kind, ".", -1)
+    texts = lambda items: F.array(*[F.lit(i) for i in items])
+
+    def held(sign: Column) -> Column:
+        out = F.when(sign == "$", _beats(frame)).when(sign == "^", _ends(frame, role))
+        for c, items in PLACES.items():
+            out = out.when(sign == c, texts(items))
+        return out
+
+    signs = F.reverse(F.transform(_chars(template), lambda c, i: F.struct(held(c).alias("items"), c.alias("sign"), i.alias("at"))))
+    none = F.struct(F.lit("").alias("value"), number.cast("bigint").alias("rest"))
+
+    def more(state: Column, place: Column) -> Column:
+        many = F.size(place["items"]).cast("bigint")
+        drawn = F.element_at(place["items"], (F.pmod(state["rest"] + _number(stream, place["at"], 4), many) + 1).cast("int"))
+        rest = F.when(place["items"].isNull(), state["rest"]).otherwise(F.floor((state["rest"] - F.pmod(state["rest"], many)) / many))
+        return F.struct(F.concat(F.coalesce(drawn, place["sign"]), state["value"]).alias("value"), rest.cast("bigint").alias("rest"))
+
+    filled = F.aggregate(signs, none, more)
+    text = filled["value"]
+    body = F.when(frame == "odd", F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    off = F.when(frame == "odd", F.substring(text, -1, 1).cast("int")).otherwise(0)  # a wrong check digit stays a wrong one
+    card = F.concat(body, F.pmod(_check(body) + off, F.lit(10)).cast("string"))
+    whole = F.when(kind == "mail", F.concat(text, frame)).when(kind == "card", card).when(kind == "iban", _checked(frame, text)).otherwise(text)
+    return F.struct(whole.alias("value"), filled["rest"].alias("rest"))
+
+
+def _group(kind: Column, value: Column) -> Column:
+    """Values of one format are in one group."""
+    local = F.length(F.substring_index(value, "@", 1)).cast("string")
+    return F.when(kind == "mail", F.concat(local, F.lit("@"), F.substring_index(value, "@", -1))).when(
+        kind.startswith("name") | (kind == "ip"), "").otherwise(F.length(value).cast("string"))
+
+
+def _ranked(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rank: the place of a row among those with equal ``by``, from 0 on, without a window over a group."""
+    rows = staged(with_row_id(rows, [*by, order], "place"), "ranked")
+    firsts = rows.groupBy(*by).agg(F.min("place").alias("start"))
+    return rows.join(firsts, by).withColumn("rank", F.col("place") - F.col("start")).drop("place", "start")
+
+
+def _counted_through(made: DataFrame, clash: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """Surrogates for the entities of ``clash``: free values of their formats, or of the next longer ones that have some."""
+    columns = ["kind", "canon", "attempt", "surrogate"]
+    placed = made.join(clash, ["kind", "canon"], "left_anti").select(columns)
+    left = clash.select("kind", "canon")
+    by, wider = ["kind", "template", "frame"], 0
+    kind = F.col("kind")
+    while not left.isEmpty():
+        taken = staged(placed.select("kind", F.col("surrogate").alias("value")).unionAll(entities.select("kind", F.col("canon").alias("value"))), "taken")
+        template, frame = _format(kind, F.col("canon"), key, wider)
+        waiting = staged(left.select("kind", "canon", template.alias("template"), frame.alias("frame")), "waiting")
+        first = _value(kind, F.col("template"), F.col("frame"), key, F.lit(0))["value"]
+        formats = waiting.groupBy(by).agg(F.count("*").alias("n")).withColumn("group", _group(kind, first))
+        held = taken.groupBy("kind", _group(kind, F.col("value")).alias("group")).agg(F.count("*").alias("held"))
+        # so many values hold a free one for each that waits, if the format has so many
+        formats = formats.join(held, ["kind", "group"], "left").withColumn("n", F.col("n") + F.coalesce("held", F.lit(0)))
+        spread = formats.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / BLOCK))).alias("b")).repartition(by[0], "template", "b")
+        numbers = spread.select(*by, F.explode(F.sequence(F.col("b") * BLOCK, F.least(F.col("n"), (F.col("b") + 1) * BLOCK) - 1)).alias("number"))
+        values = numbers.select(*by, _value(kind, F.col("template"), F.col("frame"), key, F.col("number")).alias("v")).where("v.rest = 0")
+        free = values.select(*by, F.col("v.value").alias("value")).join(taken, ["kind", "value"], "left_anti")
+        keyed = lambda c: F.sha2(F.concat_ws("|", F.lit(key), kind, F.col(c)), 256)
+        waits = _ranked(waiting.withColumn("h", keyed("canon")), by, "h").drop("h")
+        offers = _ranked(free.withColumn("h", keyed("value")), by, "h").drop("h")
+        found = staged(waits.join(offers, [*by, "rank"], "left").select("kind", "canon", "value"), "found")
+        placed = placed.unionAll(found.where("value is not null").select("kind", "canon", F.lit(DRAWS + wider).alias("attempt"), F.col("value").alias("surrogate")))
+        left = found.where("value is null").select("kind", "canon")
+        wider += 1
+    return placed
+
+
 def dressed(kind: Column, shown: Column, surrogate: Column) -> Column:
     """The surrogate in the form that was found."""
     signs = lambda text: F.regexp_replace(text, "[^0-9A-Za-z]", "")
@@ -153,6 +281,9 @@ def dressed(kind: Column, shown: Column, surrogate: Column) -> Column:
     digits_before = lambda i: F.length(_digits(F.substring(shown, F.lit(1), i + 1)))
     spaced = F.array_join(F.transform(_chars(shown), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(surrogate, before(i), F.lit(1))).otherwise(c)), "")
     numbered = F.array_join(F.transform(_chars(shown), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, digits_before(i), F.lit(1))).otherwise(c)), "")
+    # a surrogate of a format without a free value is longer than what was found
+    spaced = F.concat(spaced, F.substring(surrogate, F.length(signs(shown)) + 1, F.length(surrogate)))
+    numbered = F.concat(numbered, F.substring(surrogate, F.length(_digits(shown)) + 1, F.length(surrogate)))
     name = F.when(shown == F.upper(shown), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     plain = F.when((shown == F.upper(shown)) & (shown != F.lower(shown)), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind.isin("card", "phone", "ssn"), numbered).when(kind == "iban", spaced).when(kind.startswith("name"), name).otherwise(plain)
@@ -184,17 +315,18 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, surrogate: distinct within a kind, and none of them an entity of the kind."""
     entities = staged(entities.distinct(), "entities")
     made = staged(entities.select("kind", "canon", F.lit(0).alias("attempt"), draw(F.col("kind"), F.col("canon"), key, F.lit(0)).alias("surrogate")), "surrogates")
-    for _ in range(MAX_DRAWS):
+    for attempt in range(DRAWS):
         first = made.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
         shared = made.join(first.where("n > 1"), ["kind", "surrogate"]).where("first.canon <> canon").select("kind", "canon")
         real = made.join(entities.withColumnRenamed("canon", "surrogate"), ["kind", "surrogate"], "left_semi").select("kind", "canon")
         clash = staged(shared.unionAll(real).distinct().withColumn("clash", F.lit(True)), "clashes")
         if clash.isEmpty():
             return made
+        if attempt == DRAWS - 1:
+            return _counted_through(made, clash, entities, key)
         again = made.join(clash, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(F.col("clash").cast("int"), F.lit(0)))
         drawn = draw(F.col("kind"), F.col("canon"), key, F.col("attempt"))
         made = staged(again.select("kind", "canon", "attempt", F.when(F.col("clash"), drawn).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
-    raise ValueError(f"no distinct surrogates after {MAX_DRAWS} draws: more entities than the format has values")
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:

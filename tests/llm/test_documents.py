@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -263,6 +264,33 @@ def test_surrogates_stay_distinct(documents):
     assert len(set(got)) == 600 and not set(got) & {t for _, t, _ in rows}
 
 
+def test_surrogates_of_full_formats(documents):
+    """All values of two formats, and mails without a letter or digit before the last label."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    found = [f"{a}{b}@two.com" for a in letters for b in letters] + [f"{a}@one.com" for a in letters] + ["-@-.com", "--@-.com"]
+    rows = pii.replace_entities(documents([(i, f"to {t} now", "s") for i, t in enumerate(found)]), "key").orderBy("row.doc_id").collect()
+    got = [r["text"][3:-4] for r in rows]
+    assert len(set(got)) == len(found) and not set(got) & set(found)
+    assert all(re.fullmatch(r"[a-z]{2}@[a-z]{3}\.com", g) for g in got[:676])
+    assert all(re.fullmatch(r"[a-z]@[a-z]{3}\.com", g) for g in got[676:702])
+    assert re.fullmatch(r"-[a-z]@-\.com", got[702]) and re.fullmatch(r"--[a-z]@-\.com", got[703])
+
+
+def test_values_of_a_format_are_counted_once(spark):
+    canons = [("mail", "a-1@x.com"), ("card", "4111111111111111"), ("card", "4111111111111112"), ("phone", "12125551234"), ("ssn", "123456789"),
+              ("ip", "1.2.3.4"), ("secret", "0" * 32), ("iban", "DE89370400440532013000"), ("name.female", "anna"), ("name.surname", "петров")]
+    rows = spark.createDataFrame(canons, "kind string, canon string")
+    kind, canon = F.col("kind"), F.col("canon")
+    for wider in (0, 2):
+        template, frame = pii._format(kind, canon, "key", wider)
+        shaped = rows.select("kind", "canon", template.alias("template"), frame.alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(699))).alias("i"))
+        made = shaped.select("kind", "canon", pii._value(kind, F.col("template"), F.col("frame"), "key", F.col("i")).alias("v")).where("v.rest = 0")
+        counts = {(r["kind"], r["canon"]): (r["n"], r["d"]) for r in made.groupBy("kind", "canon").agg(
+            F.count("*").alias("n"), F.countDistinct("v.value").alias("d")).collect()}
+        few = 260 if wider == 0 else 700  # a letter and a digit
+        assert counts == {c: (few if c[0] == "mail" else 700,) * 2 for c in canons}
+
+
 @pytest.mark.parametrize("name", ["odd", "empty"])
 def test_odd_input(spark, request, name):
     docs = request.getfixturevalue(name)
