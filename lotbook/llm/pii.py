@@ -9,6 +9,8 @@ a surrogate, and no surrogate is an entity of the input: where a draw collides,
 collides after ``DRAWS`` draws (formats with few values) is matched by rank with the free values of its format, which
 are counted through in a keyed order; an entity for which its format has no free value gets a longer one.
 
+Words of a name that was found are replaced wherever they stand in the same text, also without a form of address.
+
 Only rows that hold an entity are taken apart and joined with the table of surrogates; all others pass as they are.
 
 Nulls and odd input: a null text stays null. Rows equal in doc_id and text are rewritten alike, each of them. Texts are
@@ -30,11 +32,15 @@ MALE = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Don", "господ
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Doña", "госпожа")
 OTHER = ("Dr", "Prof", "Professor", "Doctor")
 _TITLES = "|".join(sorted(MALE + FEMALE + OTHER, key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
+#: Scripts whose texts have no capitals and that set words apart by spaces: one word is the name, as nothing tells where more of it end.
+_BARE = r"[[\p{IsHebrew}\p{IsArabic}\p{IsDevanagari}\p{IsGeorgian}]&&[\p{L}\p{M}]]{2,}+"
+_WORD = rf"(?<![\p{{L}}\p{{M}}])(?:{_NAME}|{_BARE})"
+_AFTER = r"(?:['’][sS])?['’-]*$"  # of a name word: a genitive, the end of a quotation
 #: In this order, if several fit at one place. Each begins at the start of a run of its characters, so reading stays linear.
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? (?:{_NAME}(?: {_NAME}){{0,2}}|{_BARE})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -48,12 +54,32 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 LATIN = "ba be bi bo da de di do fa fe fi ga go ha he ja jo ka ke ki la le li lo ma me mi mo na ne ni no pa ra re ri ro sa se ta te va".split()
 CYRILLIC = "ба бе би бо да де ди до ва ве га го жа за зе ка ки ко ла ле ли ло ма ме ми мо на не ни но па ра ре ри ро са се та те фа ха".split()
-BEATS = {"latin": LATIN, "cyrillic": CYRILLIC}
+BEATS = {  # syllables of names; no one begins another of its script
+    "latin": LATIN, "cyrillic": CYRILLIC,
+    "greek": "βα βε γα γε δα δε ζα ζο θα θε κα κε κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σο τα τε".split(),
+    "armenian": "բա բե գա գե դա դե զա կա կե կո լա լե լի լո մա մե մի մո նա նե նի նո պա պե ռա ռե սա սե սո տա տե վա վե".split(),
+    "georgian": "ბა ბე გა გე და დე ზა კა კე კო ლა ლე ლი ლო მა მე მი მო ნა ნე ნი ნო პა პე რა რე სა სე სო ტა ტე ვა ვე".split(),
+    "hebrew": "בא בו גא גו דא דו זא זו לא לו מא מו נא נו סא סו פא פו רא רו שא שו תא תו".split(),
+    "arabic": "با بو تا تو جا جو دا دو را رو زا زو سا سو فا فو كا كو لا لو ما مو نا نو يا يو".split(),
+    "devanagari": "बा बे गा गे दा दे का के ला ले मा मे ना ने पा पे रा रे सा से ता ते वा वे".split(),
+}
 ENDS = {  # of a given name or surname, by script: one that tells the gender, or none
     ("latin", "male"): ("rd", "n", "s", "rt"), ("latin", "female"): ("na", "ra", "la", "lia"), ("latin", "other"): ("x", "ry", "le", "my"),
     ("latin", "surname"): ("sen", "mann", "ton", "rez", "ck", "ld"),
     ("cyrillic", "male"): ("н", "р", "слав", "й"), ("cyrillic", "female"): ("на", "я", "ра", "ла"), ("cyrillic", "other"): ("ша", "ня", "ка", "ся"),
     ("cyrillic", "surname"): ("енко", "ых", "ук", "ич"),
+    ("greek", "male"): ("ος", "ης", "ων", "ας"), ("greek", "female"): ("να", "ια", "ρη", "λω"), ("greek", "other"): ("ξι", "φι", "χι", "ψι"),
+    ("greek", "surname"): ("πουλος", "ιδης", "ακης", "ογλου"),
+    ("armenian", "male"): ("ն", "ր", "կ", "մ"), ("armenian", "female"): ("նա", "րա", "լա", "իկ"), ("armenian", "other"): ("շի", "չի", "ջի", "ցի"),
+    ("armenian", "surname"): ("նյան", "րյան", "լյան", "ունց"),
+    ("georgian", "male"): ("ზი", "რი", "ნდი", "გი"), ("georgian", "female"): ("ნა", "კო", "ლა", "ია"), ("georgian", "other"): ("ში", "ჩი", "ჯი", "ცი"),
+    ("georgian", "surname"): ("შვილი", "ძე", "ია", "ური"),
+    ("hebrew", "male"): ("ן", "ם", "ל", "ר"), ("hebrew", "female"): ("ה", "ית", "נה", "לה"), ("hebrew", "other"): ("י", "ק", "ט", "ב"),
+    ("hebrew", "surname"): ("מן", "ברג", "סקי", "ני"),
+    ("arabic", "male"): ("د", "ر", "ن", "م"), ("arabic", "female"): ("ة", "اء", "ية", "ى"), ("arabic", "other"): ("ح", "ج", "ق", "ط"),
+    ("arabic", "surname"): ("اوي", "اني", "وري", "يدي"),
+    ("devanagari", "male"): ("न", "र", "म", "श"), ("devanagari", "female"): ("ती", "ना", "ली", "या"), ("devanagari", "other"): ("क", "ज", "ह", "द"),
+    ("devanagari", "surname"): ("कर", "वाल", "शर्म", "गुप्त"),
 }
 DRAWS = 8  # rounds of chance; after them free values are counted through
 BLOCK = 4096  # values that one row is spread to
@@ -131,7 +157,12 @@ def _front(front: Column, key: str) -> Column:
 
 
 def _script(canon: Column) -> Column:
-    return F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    """Of the first letter of one that is known here, else Latin."""
+    out = F.lit("latin")
+    for name in BEATS:
+        if name != "latin":
+            out = F.when(canon.rlike(rf"^\P{{L}}*\p{{Is{name.capitalize()}}}"), F.lit(name)).otherwise(out)
+    return out
 
 
 def _beats(script: Column) -> Column:
@@ -274,6 +305,28 @@ def _counted_through(made: DataFrame, clash: DataFrame, entities: DataFrame, key
     return placed
 
 
+def _capitals(shown: Column, surrogate: Column) -> Column:
+    return F.when(shown == F.upper(shown), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+
+
+def _stem(word: Column) -> Column:
+    return F.regexp_replace(word, _AFTER, "")
+
+
+def _mentions(segment: Column, known: Column) -> Column:
+    """text, n: a text without matches with the words in ``known`` (plain form -> surrogate) replaced, and how many."""
+
+    def one(word: Column) -> Column:
+        stem = F.when(F.element_at(known, F.lower(word)).isNotNull(), word).otherwise(_stem(word))
+        surrogate = F.element_at(known, F.lower(stem))
+        return F.struct(F.concat(_capitals(stem, surrogate), F.substring(word, F.length(stem) + 1, F.length(word))).alias("new"), word.alias("old"))
+
+    words = F.transform(F.regexp_extract_all(segment, F.lit(_WORD), F.lit(0)), one)
+    gaps = F.split(segment, _WORD, -1)
+    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(words, i)["new"], F.get(words, i)["old"], F.lit("")))), "")
+    return F.struct(text.alias("text"), F.size(F.filter(words, lambda w: w["new"].isNotNull())).alias("n"))
+
+
 def dressed(kind: Column, shown: Column, surrogate: Column) -> Column:
     """The surrogate in the form that was found."""
     signs = lambda text: F.regexp_replace(text, "[^0-9A-Za-z]", "")
@@ -284,15 +337,14 @@ def dressed(kind: Column, shown: Column, surrogate: Column) -> Column:
     # a surrogate of a format without a free value is longer than what was found
     spaced = F.concat(spaced, F.substring(surrogate, F.length(signs(shown)) + 1, F.length(surrogate)))
     numbered = F.concat(numbered, F.substring(surrogate, F.length(_digits(shown)) + 1, F.length(surrogate)))
-    name = F.when(shown == F.upper(shown), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     plain = F.when((shown == F.upper(shown)) & (shown != F.lower(shown)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("card", "phone", "ssn"), numbered).when(kind == "iban", spaced).when(kind.startswith("name"), name).otherwise(plain)
+    return F.when(kind.isin("card", "phone", "ssn"), numbered).when(kind == "iban", spaced).when(kind.startswith("name"), _capitals(shown, surrogate)).otherwise(plain)
 
 
 def units(matches: DataFrame) -> DataFrame:
-    """What is replaced as one: a whole match, or each word of a name; lead is what stands before it.
+    """What is replaced as one: a whole match, or each word of a name; lead is what stands before it, trail behind it.
 
-    Adds u, kind, canon, shown, lead to ``matches`` (match).
+    Adds u, kind, canon, shown, lead, trail to ``matches`` (match).
     """
     match, kind = F.col("match"), _kind(F.col("match"))
     title = F.regexp_extract(match, rf"^({_TITLES})\.? ", 1)
@@ -302,11 +354,12 @@ def units(matches: DataFrame) -> DataFrame:
 
     def word(w: Column, i: Column) -> Column:
         part = F.when(i == F.size(names) - 1, F.lit("name.surname")).otherwise(F.concat(F.lit("name."), gender))
-        return F.struct(part.alias("kind"), F.lower(w).alias("canon"), w.alias("shown"), F.when(i == 0, opening).otherwise(F.lit(" ")).alias("lead"))
+        return F.struct(part.alias("kind"), F.lower(_stem(w)).alias("canon"), _stem(w).alias("shown"),
+                        F.when(i == 0, opening).otherwise(F.lit(" ")).alias("lead"), F.substring(w, F.length(_stem(w)) + 1, F.length(w)).alias("trail"))
 
     canon = F.when(kind.isin("card", "phone", "ssn"), _digits(match)).when(kind == "iban", F.regexp_replace(match, " ", "")).when(
         kind == "ip", match).otherwise(F.lower(match))
-    whole = F.array(F.struct(kind.alias("kind"), canon.alias("canon"), match.alias("shown"), F.lit("").alias("lead")))
+    whole = F.array(F.struct(kind.alias("kind"), canon.alias("canon"), match.alias("shown"), F.lit("").alias("lead"), F.lit("").alias("trail")))
     return matches.select("*", F.posexplode(F.when(kind == "name", F.transform(names, word)).otherwise(whole)).alias("u", "e")).select(
         *matches.columns, "u", "e.*")
 
@@ -341,15 +394,21 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     parts = staged(units(matches), "parts")
     table = surrogates(parts.select("kind", "canon"), key)
     pieces = parts.join(table.select("kind", "canon", "surrogate"), ["kind", "canon"])
-    pieces = pieces.select("_n", "at", "u", "kind", F.concat("lead", dressed(F.col("kind"), F.col("shown"), F.col("surrogate"))).alias("piece"))
+    # a word that is both in a text is a given name there
+    names = pieces.where(F.col("kind").startswith("name")).groupBy("_n", "canon").agg(F.min(F.struct("kind", "surrogate"))["surrogate"].alias("surrogate"))
+    names = names.groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("canon", "surrogate"))).alias("names"))
+    pieces = pieces.select("_n", "at", "u", "kind", F.concat("lead", dressed(F.col("kind"), F.col("shown"), F.col("surrogate")), "trail").alias("piece"))
     whole = pieces.groupBy("_n", "at").agg(F.array_sort(F.collect_list(F.struct("u", "piece"))).alias("p"), F.min("kind").alias("kind"))
     whole = whole.select("_n", "at", F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("piece"), F.substring_index("kind", ".", 1).alias("kind"))
     lists = whole.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "kind"))).alias("new"))  # at most the matches of a text
-    joined = held.join(lists, "_n").withColumn("_rest", F.split("_text", ANY, -1))
-    text = F.array_join(F.transform("_rest", lambda s, i: F.concat(s, F.coalesce(F.get("new", i)["piece"], F.lit("")))), "")
-    of = lambda k: F.size(F.filter("new", lambda m: m["kind"] == k))
+    joined = held.join(lists.join(names, "_n", "left"), "_n").withColumn("_rest", F.split("_text", ANY, -1))
+    untouched = F.transform("_rest", lambda s: F.struct(s.alias("text"), F.lit(0).alias("n")))
+    mentioned = F.when(F.col("names").isNull(), untouched).otherwise(F.transform("_rest", lambda s: _mentions(s, F.col("names"))))
+    joined = joined.withColumn("_rest", mentioned).withColumn("_more", F.aggregate("_rest", F.lit(0), lambda n, s: n + s["n"]))
+    text = F.array_join(F.transform("_rest", lambda s, i: F.concat(s["text"], F.coalesce(F.get("new", i)["piece"], F.lit("")))), "")
+    of = lambda k: F.size(F.filter("new", lambda m: m["kind"] == k)) + (F.col("_more") if k == "name" else 0)
     counted = F.filter(F.array(*[F.concat(F.lit(f"{k}="), of(k).cast("string")) for k in sorted(PATTERNS)]), lambda c: ~c.endswith("=0"))
     counted = F.array_join(counted, ",")
-    rewritten = joined.select("row", text.alias("text"), F.size("new").alias("n_replaced"), counted.alias("kinds"))
+    rewritten = joined.select("row", text.alias("text"), (F.size("new") + F.col("_more")).alias("n_replaced"), counted.alias("kinds"))
     others = rows.where(F.size("_found") == 0).select("row", F.col("_text").alias("text"), F.lit(0).alias("n_replaced"), F.lit("").alias("kinds"))
     return rewritten.unionAll(others)

@@ -291,6 +291,20 @@ def test_values_of_a_format_are_counted_once(spark):
         assert counts == {c: (few if c[0] == "mail" else 700,) * 2 for c in canons}
 
 
+def test_names_without_a_title_and_in_other_scripts(documents):
+    texts = ["Anna came. Mrs Anna Schmidt's house; Schmidt, ANNA and Anna Schmidt's. Annabel and Mr X. stay.", "Anna Schmidt without a title stays.",
+             "Mr Γιώργος Παπάς and Παπάς.", "Mr Արամ, Dr გიორგი; Mrs שרה אמרה שרה; Mr علي قال; Ms सीता"]
+    rows = pii.replace_entities(documents([(i, t, "s") for i, t in enumerate(texts)]), "key").orderBy("row.doc_id").collect()
+    got = [r["text"] for r in rows]
+    given, surname = re.search(r"Mrs (\w+) (\w+)'s", got[0]).groups()
+    assert got[0] == f"{given} came. Mrs {given} {surname}'s house; {surname}, {given.upper()} and {given} {surname}'s. Annabel and Mr X. stay."
+    assert not {given, surname} & {"Anna", "Schmidt"} and got[1] == texts[1]
+    assert (rows[0]["n_replaced"], rows[0]["kinds"]) == (6, "name=6")
+    assert re.fullmatch(r"Mr [Α-ω]+ ([Α-ω]+) and \1\.", got[2])
+    assert re.fullmatch(r"Mr [Ա-և]+, Dr [ა-ჿ]+; Mrs ([א-ת]+) אמרה \1; Mr [ء-ي]+ قال; Ms [ऀ-ॿ]+", got[3])
+    assert not any(n in got[2] + got[3] for n in ("Παπάς", "Արամ", "გიორგი", "שרה", "علي", "सीता"))
+
+
 @pytest.mark.parametrize("name", ["odd", "empty"])
 def test_odd_input(spark, request, name):
     docs = request.getfixturevalue(name)
