@@ -1,11 +1,12 @@
 """Main text of web pages by a linear-chain conditional random field over the leaf blocks of a page.
 
-A page is read once into blocks: runs of text between block-level tags, without scripts, styles, comments and
-controls. A block is described by its ancestors (tags, and words of their class, id and role) and by its text (length,
+A page is read once into blocks: runs of text between block-level tags, without scripts, styles, comments, drawings and
+controls; of formulas the text is kept, but not the notes on them. What is left out ends at its end tag, or at that of an
+element around it; an empty ``<svg/>`` leaves nothing out. A block is described by its ancestors (tags, and words of their class, id and role) and by its text (length,
 links, last character, place). Two labels, main or not, are scored by these features and by the label before, and
 decoded by Viterbi.
 
-The model is fitted on labelled pages of two kinds, both bounded by ``SAMPLE``: pages of the table whose markup says
+The model is fitted on labelled pages of two kinds, both bounded in number: whole pages of the table whose markup says
 where the article is, and pages laid out anew from their sentences with known roles (menus, notices, adverts,
 forms, comments and so on under many common names), so that also pages without telling tags are understood.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +30,19 @@ from pyspark.sql import functions as F
 
 from lotbook.llm.rows import carried, text_column
 
-SAMPLE, SAMPLE_CHARS = 200, 20_000  # pages that a model learns from, and characters of each
+SAMPLE = 200  # pages that a model learns from
 LAYOUTS, ROUNDS, STEP, DECAY = 500, 250, 0.15, 2e-4
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select"
+#: Left out; in the first ones tags are text.
+RAW = set("script style textarea title iframe noscript".split())
+SKIPPED = RAW | set("template svg object canvas select annotation annotation-xml".split())
+FOREIGN = {"svg", "annotation", "annotation-xml"}  # <svg/> is an empty element, <canvas/> only begins one
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)
+    r"""<!--.*?(?:-->|\Z)
     |<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""".replace("\n    ", ""),
-    re.DOTALL | re.IGNORECASE,
+    re.DOTALL,
 )
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer"
     " form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td"
@@ -81,20 +88,65 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         chars = links = 0
 
-    for token in TOKEN.finditer(page):
+    def raw_end(name: str, start: int) -> int | None:
+        """Where an element ends in which tags are text; a script that is never closed goes on to the end of the page."""
+        if name not in RAW or name in unclosed:
+            return None
+        found = CLOSING[name].search(page, start)
+        if found:
+            return found.end()
+        if name in ("script", "style"):
+            return len(page)
+        unclosed.add(name)
+        return None
+
+    at_char, unclosed = 0, set()
+    skipped: list[str] = []  # elements open within one that is left out, and that one
+    within, around = Counter(), Counter()  # names in ``skipped``, and of the elements open around it
+    while token := TOKEN.match(page, at_char):
+        at_char = token.end()
         whole = token.group(0)
         if whole[0] != "<" or len(whole) == 1:
-            piece = html.unescape(whole)
-            parts.append(piece)
-            chars += len(piece)
-            links += len(piece) * (inside > 0)
+            if not skipped:
+                piece = html.unescape(whole)
+                parts.append(piece)
+                chars += len(piece)
+                links += len(piece) * (inside > 0)
             continue
-        name = token.group(3)
+        name = token.group(2)
         if name is None:
-            if token.group(1) and token.group(1).lower() != "title":
-                parts.append(" ")
             continue
-        name, closing = name.lower(), bool(token.group(2))
+        name, closing, empty = name.lower(), bool(token.group(1)), token.group(3).rstrip().endswith("/")
+        if skipped:
+            if not closing:
+                if name not in VOID and not empty:
+                    at_char = raw_end(name, at_char) or at_char
+                    if at_char == token.end():
+                        skipped.append(name)
+                        within[name] += 1
+                continue
+            if within[name]:
+                while (last := skipped.pop()) != name:
+                    within[last] -= 1
+                within[name] -= 1
+                continue
+            if not around[name]:
+                continue
+            skipped.clear(), within.clear()  # the element around it ends
+        elif name in SKIPPED:
+            if not closing:
+                if name != "title":
+                    parts.append(" ")
+                if not (empty and name in FOREIGN):
+                    at_char = raw_end(name, at_char) or at_char
+                    if at_char == token.end():
+                        skipped.append(name)
+                        within[name] += 1
+            continue
+        if closing:
+            around[name] = max(0, around[name] - 1)
+        elif name not in VOID and not empty:
+            around[name] += 1
         if name == "a":
             inside = max(0, inside - 1) if closing else 1
         elif name == "br":
@@ -110,7 +162,7 @@ def blocks(page: str) -> list[Block]:
             inside = 0
             while stack and stack[-1][0] in ENDS.get(name, {"p"}):
                 stack.pop()
-            attributes = token.group(4) or ""
+            attributes = token.group(3)
             label = LABEL.search(attributes)
             if not attributes.rstrip().endswith("/"):
                 stack.append((name, _names(attributes), int(label.group(1)) if label else None))
@@ -174,12 +226,13 @@ def fit_field(pages: list[list[Block]]) -> Field:
     names = sorted({n for page in described for f in page for n in f})
     index = {n: i for i, n in enumerate(names)}
     count, longest = len(pages), max(map(len, pages))
-    x = np.zeros((count, longest, len(names)), dtype=np.float32)
     y, real = np.zeros((count, longest), dtype=np.int64), np.zeros((count, longest), dtype=bool)
     for i, page in enumerate(pages):
-        for j, block in enumerate(page):
-            x[i, j, [index[n] for n in described[i][j]]] = 1
-            y[i, j], real[i, j] = block.label, True
+        y[i, : len(page)], real[i, : len(page)] = [block.label for block in page], True
+    # numbers of the features of all blocks one after the other, and where those of a block begin
+    held = [np.fromiter(sorted(index[n] for n in f), dtype=np.int64, count=len(f)) for page in described for f in page]
+    cells, sizes = np.concatenate(held), np.array([len(h) for h in held])
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     w, start, follow = np.zeros(len(names)), np.zeros(2), np.zeros((2, 2))
     past = [np.full(p.shape, 1e-8) for p in (w, start, follow)]
     goal_follow = np.zeros((2, 2))
@@ -189,7 +242,7 @@ def fit_field(pages: list[list[Block]]) -> Field:
     last = real.sum(1) - 1
     for _ in range(ROUNDS):
         score = np.zeros((count, longest, 2))
-        score[:, :, 1] = x @ w.astype(np.float32)
+        score[real, 1] = np.add.reduceat(w[cells], begins)
         ahead, behind = np.zeros_like(score), np.zeros_like(score)
         ahead[:, 0] = start + score[:, 0]
         for t in range(1, longest):
@@ -201,8 +254,8 @@ def fit_field(pages: list[list[Block]]) -> Field:
         p = np.exp(np.minimum(ahead + behind - total[:, None, None], 0))
         pair = ahead[:, :-1, :, None] + follow + (score + behind)[:, 1:, None, :] - total[:, None, None, None]
         pair = np.exp(np.minimum(pair, 0))[both].sum(0)
-        gap = np.where(real, y - p[:, :, 1], 0)
-        steps = (np.tensordot(gap.astype(np.float32), x, 2) / count - DECAY * w, (goal_start - p[:, 0].sum(0)) / count, (goal_follow - pair) / count)
+        gap = np.bincount(cells, np.repeat((y - p[:, :, 1])[real], sizes), len(names))
+        steps = (gap / count - DECAY * w, (goal_start - p[:, 0].sum(0)) / count, (goal_follow - pair) / count)
         for value, seen, g in zip((w, start, follow), past, steps):
             seen += g * g
             value += STEP * g / np.sqrt(seen)
@@ -318,16 +371,16 @@ def by_markup(found: list[Block]) -> list[Block]:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Field:
-    """Learn from about ``sample`` pages, chosen by a hash; their first ``SAMPLE_CHARS`` characters come to the driver."""
+    """Learn from about ``sample`` pages, chosen by a hash, which come to the driver whole."""
     total = pages.count()
     share = min(1.0, sample / max(total, 1))
     place = F.pmod(F.xxhash64("page_id", "url"), F.lit(2**30))
-    rows = pages.where(place < int(share * 2**30)).select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html")).toArrow().to_pylist()
+    rows = pages.where(place < int(share * 2**30)).select("page_id", "html").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["html"] or ""))
     read = [blocks(r["html"] or "") for r in rows]
     texts = [b.text for page in read for b in page if b.text.count(" ") >= 4]
-    labelled = [by_markup(page)[:80] for page in read]
-    made = [[b for b in blocks(page) if b.label is not None][:80] for page in layouts(texts)]
+    labelled = [by_markup(page) for page in read]
+    made = [[b for b in blocks(page) if b.label is not None] for page in layouts(texts)]
     return fit_field(labelled + made)
 
 

@@ -37,6 +37,25 @@ def test_field_on_unseen_layouts():
     assert field.main_text(page) == "Heading Text & more text of the article, with boldwords. The last one of all."
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<p>One <svg class="i"/> two.</p><p>Three.</p>', "One two.|Three."),
+    ("<article><svg-icon name=x></svg-icon><select-box>All</select-box> <p>of it.</p></article>", "All|of it."),
+    ("<p>So <math><mi>x</mi> = 1<annotation>x=1</annotation></math> holds.</p><math/><p>Yes.</p>", "So x = 1 holds.|Yes."),
+    ("<div><p>a<svg><g>no</p><p>b</p></div><p>c <svg>no</svg></p>", "a|b|c"),
+    ("<p>a<span><object>no</span>b</p><svg><svg>no</svg>no</svg><p>c</p>", "a b|c"),
+    ("<head><title>no</head><body><p>a<canvas/>no</canvas></p><script>x</div>", "a"),
+    ("<div><script>'</div>no'</SCRIPT >a</div><style/>no</style><p>b<noscript><p>no</noscript>", "a|b"),
+])
+def test_what_is_left_out(page, text):
+    assert "|".join(b.text for b in html_text.blocks(page)) == text
+
+
+def test_learns_from_whole_pages(spark):
+    long = "<body><article>" + "".join(f"<p>Sentence {i} of the article, with a few words.</p>" for i in range(600)) + "</article><div class=onlyhere><p>Out of it.</p></div></body>"
+    field = html_text.fit(spark.createDataFrame([(1, "u", long)], "page_id bigint, url string, html string"))
+    assert len(long) > 20_000 and "c:onlyhere" in field.weight
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>cut off <a href="), (None, "u", "<!-- never closed <p>x"), (5, "u", "a < b & c"), (5, "u", "a < b & c")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as text", "2 as row")
