@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from lotbook.functions.cells import typed_columns
 from lotbook.operators.rows import with_row_id
 from lotbook.schemas import LISTINGS_RAW, NA_WORDS, RENAMES, ZIP_CODES, as_text
 
-SURPLUS = "_surplus"
+LINE = "_line"  # the whole line, where its cells are not as many as the columns
+MARK = "\u0001\u0002"
 
 
 def read_listings(
@@ -30,23 +32,46 @@ def read_listings(
     ``file_column`` adds the name of the file each row came from. A line with more cells than columns is
     no row, as its cells cannot be told apart; ``surplus_lines`` has those lines.
     """
-    text = _with_surplus(spark, paths, schema)
+    text = with_line(spark.read, schema).csv(paths if isinstance(paths, str) else list(paths))
     columns = typed_columns(text, schema, na_words)
     if file_column:
         columns.append(F.col("_metadata.file_name").alias(file_column))
-    return text.where(F.col(SURPLUS).isNull()).select(*columns)
+    return text.where(~is_surplus(text)).select(*columns)
 
 
 def surplus_lines(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = LISTINGS_RAW) -> DataFrame:
-    """file, cells: the lines that ``read_listings`` leaves out, up to the first cell too many."""
-    text = _with_surplus(spark, paths, schema)
-    cells = F.array(*[F.col(f"`{c}`") for c in [*schema.fieldNames(), SURPLUS]])
-    return text.where(F.col(SURPLUS).isNotNull()).select(F.col("_metadata.file_name").alias("file"), cells.alias("cells"))
+    """file, cells (up to the first one too many), line (the whole of it): the lines that ``read_listings`` leaves out."""
+    return rejects_of(with_line(spark.read, schema).csv(paths if isinstance(paths, str) else list(paths)))
 
 
-def _with_surplus(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    wide = T.StructType([*as_text(schema).fields, T.StructField(SURPLUS, T.StringType())])
-    return spark.read.schema(wide).csv(paths if isinstance(paths, str) else list(paths))
+def with_line(reader: DataFrameReader | DataStreamReader, schema: T.StructType) -> DataFrameReader | DataStreamReader:
+    """Read cells as text, and beside them the line if there are more or fewer."""
+    wide = T.StructType([*as_text(schema).fields, T.StructField(LINE, T.StringType())])
+    return reader.schema(wide).option("columnNameOfCorruptRecord", LINE)
+
+
+def _cells(line: Column, count: int) -> list[Column]:
+    cells = F.from_csv(line, ", ".join(f"c{i} string" for i in range(count)))
+    return [cells[f"c{i}"] for i in range(count)]
+
+
+def is_surplus(text: DataFrame) -> Column:
+    """Whether a line has more cells than there are columns, empty ones included. ``text``: as read by ``with_line``."""
+    names = [c for c in text.columns if c != LINE]
+    # marks put behind the line fill up a short one, and stay out of the columns of one that is too long
+    *cells, last = _cells(F.concat(F.col(LINE), F.lit(f",{MARK}" * len(names))), len(names) + 1)
+    fits = F.coalesce(last == MARK, F.lit(False))
+    for cell in cells:
+        fits |= F.coalesce(cell.contains(MARK), F.lit(False))
+    # all columns are named, as Spark compares a line only with the columns it reads
+    read = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in names])) >= 0
+    return F.when(F.col(LINE).isNotNull() & read, ~fits).otherwise(False)
+
+
+def rejects_of(text: DataFrame) -> DataFrame:
+    """file, cells, line: the lines with more cells than columns. ``text``: as read by ``with_line``."""
+    cells = F.array(*_cells(F.col(LINE), len(text.columns)))
+    return text.where(is_surplus(text)).select(F.col("_metadata.file_name").alias("file"), cells.alias("cells"), F.col(LINE).alias("line"))
 
 
 def read_table(
@@ -57,25 +82,37 @@ def read_table(
     na_words: Sequence[str] = NA_WORDS,
 ) -> DataFrame:
     """CSV files with a header line. Header spellings are mapped to canonical names and columns are
-    found by name; a column of ``schema`` that a file lacks is null, extra columns are not read.
+    found by name; a column of ``schema`` that a file lacks is null, extra columns are not read. A line with more cells
+    than its header is no row; ``surplus_table_lines`` has those lines.
 
     Files may differ in their columns: the first lines are read first, and files of one layout are one scan. A
     layout with no column of ``schema`` at all is refused.
     """
     frames = []
-    for header, files in _layouts(spark, [paths] if isinstance(paths, str) else list(paths)):
-        names = [renames.get(name, name) for name in next(csv.reader([header]))]
+    for names, text in _texts(spark, paths, renames):
         if not {f.name for f in schema.fields} & set(names):
-            raise ValueError(f"no column of {schema.fieldNames()} in the header {header!r} of {files[0]}")
-        cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        text = spark.read.option("header", True).schema(cells).csv(files)
-        named = text.select(*[
+            raise ValueError(f"no column of {schema.fieldNames()} in the header {names} of {text.inputFiles()[0]}")
+        named = text.where(~is_surplus(text)).select(*[
             (F.col(f"c{names.index(f.name)}") if f.name in names else F.lit(None).cast("string")).alias(f.name) for f in schema.fields
         ])
         frames.append(named.select(*typed_columns(named, schema, na_words)))
     return reduce(DataFrame.unionAll, frames) if frames else spark.createDataFrame([], schema)
 
 
+def surplus_table_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """file, cells, line: the lines that ``read_table`` leaves out, as they have more cells than their header."""
+    frames = [rejects_of(text) for _, text in _texts(spark, paths, {})]
+    return reduce(DataFrame.unionAll, frames) if frames else spark.createDataFrame([], "file string, cells array<string>, line string")
+
+
+def _texts(spark: SparkSession, paths: str | Sequence[str], renames: Mapping[str, str]) -> Iterator[tuple[list[str], DataFrame]]:
+    """Column names of each layout, and its cells (c0, c1, ...) with their lines."""
+    for header, files in _layouts(spark, [paths] if isinstance(paths, str) else list(paths)):
+        names = [renames.get(name, name) for name in next(csv.reader([header]))]
+        cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        yield names, with_line(spark.read, cells).option("header", True).csv(files)
+
+
 def _layouts(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
     """Header lines and the files that begin with them: one small row a file reaches the driver."""
     lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")

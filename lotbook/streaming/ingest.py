@@ -11,20 +11,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lotbook.functions.cells import typed_columns
 from lotbook.operators.clean import drop_incomplete
-from lotbook.schemas import LISTINGS_RAW, NA_WORDS, as_text
+from lotbook.schemas import LISTINGS_RAW, NA_WORDS
+from lotbook.sources.files import is_surplus, rejects_of, with_line
 
 
 def listing_stream(spark: SparkSession, folder: str, schema: T.StructType = LISTINGS_RAW,
                    na_words: Sequence[str] = NA_WORDS, files_per_trigger: int = 100,
                    arrival: str | None = None) -> DataFrame:
-    """Headerless CSV files as they arrive, typed as in ``read_listings``. ``arrival`` adds the time of the file."""
-    text = (
-        spark.readStream.schema(as_text(schema)).option("maxFilesPerTrigger", files_per_trigger).csv(folder)
-    )
+    """Headerless CSV files as they arrive, typed as in ``read_listings``. ``arrival`` adds the time of the file.
+
+    As there, a line with more cells than columns is no row; ``surplus_stream`` has those lines.
+    """
+    text = with_line(spark.readStream, schema).option("maxFilesPerTrigger", files_per_trigger).csv(folder)
     columns = typed_columns(text, schema, na_words)
     if arrival:
         columns.append(F.col("_metadata.file_modification_time").alias(arrival))
-    return text.select(*columns)
+    return text.where(~is_surplus(text)).select(*columns)
+
+
+def surplus_stream(spark: SparkSession, folder: str, schema: T.StructType = LISTINGS_RAW, files_per_trigger: int = 100) -> DataFrame:
+    """file, cells, line: what ``listing_stream`` leaves out, as in ``surplus_lines``."""
+    return rejects_of(with_line(spark.readStream, schema).option("maxFilesPerTrigger", files_per_trigger).csv(folder))
 
 
 def clean_stream(rows: DataFrame, arrival: str | None = None, delay: str = "2 days") -> DataFrame:
@@ -56,7 +63,11 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
 
     With a ``delay`` a row is remembered for so long after its file arrived, which bounds the state; without one
     repeats are found however late they come, and every distinct row stays in the state.
+
+    Lines with more cells than columns are written first, by a query of their own, to ``out`` + "-rejects".
     """
+    rejects = surplus_stream(spark, folder, schema, files_per_trigger)
+    write_stream(rejects, f"{out.rstrip('/')}-rejects", f"{checkpoint.rstrip('/')}-rejects").awaitTermination()
     arrival = "_arrived" if delay else None
     rows = listing_stream(spark, folder, schema, files_per_trigger=files_per_trigger, arrival=arrival)
     rows = clean_stream(rows, arrival, delay).drop("_arrived") if delay else clean_stream(rows)
