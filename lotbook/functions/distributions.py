@@ -16,25 +16,33 @@ def two_sided_p(t: float, df: float) -> float:
     """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom."""
     if not (math.isfinite(t) and df > 0):
         return 0.0 if math.isinf(t) and df > 0 else math.nan
-    if df > 100_000:  # the t distribution is normal here, after a log transform of t
-        return math.erfc(math.sqrt((df - 0.5) * math.log1p(t * t / df) / 2))
-    x = df / (df + t * t)
-    return _regularised_beta(x, df / 2, 0.5)
+    return _regularised_beta(df / (df + t * t), t * t / (df + t * t), df / 2, 0.5)
 
 
-def _regularised_beta(x: float, a: float, b: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
+def _log_half_step(a: float) -> float:
+    """log(gamma(a + 1/2) / gamma(a)), without the difference of two large logarithms."""
+    shift = 16
+    z = a + shift
+    rest = lambda w: 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5)
+    ahead = z * math.log1p(0.5 / z) + 0.5 * math.log(z) - 0.5 + rest(z + 0.5) - rest(z)
+    return ahead - math.fsum(math.log1p(0.5 / (a + j)) for j in range(shift))
+
+
+def _regularised_beta(x: float, y: float, a: float, b: float, steps: int | None = None) -> float:
+    """I_x(a, b), where y = 1 - x and a or b is 1/2. Not to converge within ``steps`` is an error."""
+    if x <= 0 or y <= 0:
+        return float(y <= 0)
     if x > (a + 1) / (a + b + 2):
-        return 1 - _regularised_beta(1 - x, b, a)
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    # continued fraction, evaluated forwards with the ratio of successive convergents
+        return 1 - _regularised_beta(y, x, b, a, steps)
+    log_x = math.log1p(-y) if y < 0.5 else math.log(x)
+    log_y = math.log1p(-x) if x < 0.5 else math.log(y)
+    log_front = _log_half_step(a if b == 0.5 else b) - 0.5 * math.log(math.pi) + a * log_x + b * log_y
+    # continued fraction, evaluated forwards with the ratio of successive convergents; its length grows with the root
+    steps = steps or 10_000 + int(100 * math.sqrt(max(a, b)))
     tiny = 1e-300
     numer, denom = 1.0, 1.0 / ((1 - (a + b) * x / (a + 1)) or tiny)
     total = denom
-    for m in range(1, 10_000):
+    for m in range(1, steps):
         for step in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -43,8 +51,8 @@ def _regularised_beta(x: float, a: float, b: float) -> float:
             numer = (1 + step / numer) or tiny
             total *= numer * denom
         if abs(numer * denom - 1) < 1e-15:
-            break
-    return math.exp(log_front) * total / a
+            return math.exp(log_front) * total / a
+    raise ArithmeticError(f"no convergence within {steps} steps for x = {x}, a = {a}, b = {b}")
 
 
 def pooled_t(n_a: Column, mean_a: Column, var_a: Column, n_b: Column, mean_b: Column, var_b: Column) -> Column:

@@ -22,8 +22,8 @@ from lotbook.operators.sampling import sort_by_weight, with_fold
 from lotbook.session import shared_dir, staged
 
 SEED = 10
-# The closed-form solver keeps a square matrix of this many features on the driver at most.
-NORMAL_SOLVER_FEATURES = 4096
+# Of linear models, at any width. The closed form ("normal") is for up to 4,096 features; Spark refuses it beyond.
+SOLVER, ROUNDS, TOLERANCE = "l-bfgs", 1000, 1e-12
 MAX_DEPTH = 30  # of Spark's trees
 
 
@@ -54,33 +54,44 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def fit_linear(train: DataFrame, label: str = "price", ignore: Sequence[str] = ()) -> PipelineModel:
+def fit_linear(train: DataFrame, label: str = "price", ignore: Sequence[str] = (), solver: str = SOLVER,
+               rounds: int = ROUNDS) -> PipelineModel:
     """Least squares. Scaling the features would not change its predictions, so none is done."""
-    return fit_model(train, LinearRegression(labelCol=label, regParam=0.0), label, ignore)
+    return _fit_least_squares(train, 0.0, 0.0, label, ignore, solver, rounds)
 
 
-def fit_ridge(train: DataFrame, alpha: float = 1.0, label: str = "price", ignore: Sequence[str] = ()) -> PipelineModel:
+def fit_ridge(train: DataFrame, alpha: float = 1.0, label: str = "price", ignore: Sequence[str] = (), solver: str = SOLVER,
+              rounds: int = ROUNDS) -> PipelineModel:
     """Least squares with a squared penalty ``alpha`` on features of unit length.
 
     Spark divides the error by n and scales the label by its deviation, hence alpha * std.
     """
-    spread = train.agg(F.stddev_pop(label)).first()[0]
-    return _fit_penalised(train, alpha * spread, 0.0, label, ignore)
+    spread, rows = train.agg(F.stddev_pop(label), F.count("*")).first()
+    return _fit_least_squares(train, alpha * spread * _shrunk(rows, solver), 0.0, label, ignore, solver, rounds)
 
 
-def fit_lasso(train: DataFrame, alpha: float = 0.1, label: str = "price", ignore: Sequence[str] = ()) -> PipelineModel:
+def fit_lasso(train: DataFrame, alpha: float = 0.1, label: str = "price", ignore: Sequence[str] = (), solver: str = SOLVER,
+              rounds: int = ROUNDS) -> PipelineModel:
     """Least squares with an absolute penalty ``alpha`` on features of unit length."""
-    return _fit_penalised(train, alpha * math.sqrt(train.count()), 1.0, label, ignore)
+    rows = train.count()
+    return _fit_least_squares(train, alpha * math.sqrt(rows) * _shrunk(rows, solver), 1.0, label, ignore, solver, rounds)
 
 
-def _fit_penalised(train: DataFrame, penalty: float, absolute: float, label: str, ignore: Sequence[str]) -> PipelineModel:
-    features = Pipeline(stages=feature_stages(train, label, ignore)).fit(train)
-    ready = features.transform(train)
-    solver = "normal" if len(feature_names(ready)) <= NORMAL_SOLVER_FEATURES else "l-bfgs"
+def _shrunk(rows: int, solver: str) -> float:
+    """Spark's closed form scales with deviations over n, the other solver with those over n - 1."""
+    return 1.0 if solver == "normal" else math.sqrt((rows - 1) / max(rows, 1)) if rows else 0.0
+
+
+def _fit_least_squares(train: DataFrame, penalty: float, absolute: float, label: str, ignore: Sequence[str], solver: str,
+                       rounds: int) -> PipelineModel:
+    """The same solver, rounds and tolerance at every width; a fit that has not converged is refused."""
     linear = LinearRegression(
-        labelCol=label, regParam=penalty, elasticNetParam=absolute, solver=solver, tol=1e-12, maxIter=1000
+        labelCol=label, regParam=penalty, elasticNetParam=absolute, solver=solver, tol=TOLERANCE, maxIter=rounds
     )
-    return PipelineModel([*features.stages, linear.fit(ready)])
+    model = fit_model(train, linear, label, ignore)
+    if model.stages[-1].summary.totalIterations >= rounds:
+        raise RuntimeError(f"the linear model has not converged after {rounds} rounds of {solver}")
+    return model
 
 
 def fit_forest(train: DataFrame, label: str = "price", ignore: Sequence[str] = (), trees: int = 500,

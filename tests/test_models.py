@@ -1,5 +1,7 @@
 """Closed forms, quality against the baseline, repeatability."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +159,35 @@ def test_overview(dirty):
     assert tables["top_make"].count() == 10 and tables["segment_curve"].count() == 122
     assert tables["t_tests"].first()["p"] <= 1
     assert all(df.columns for df in tables.values())
+
+
+def test_linear_fits_that_do_not_converge_are_refused(signal):
+    for fit in (M.fit_linear, M.fit_ridge, M.fit_lasso):
+        with pytest.raises(RuntimeError, match="not converged"):
+            fit(signal, ignore=["listing_id"], solver="l-bfgs", rounds=1)
+    closed, rounds = (M.fit_linear(signal, ignore=["listing_id"], solver=s) for s in ("normal", "l-bfgs"))
+    pairs = zip(*[M.predict(m, signal).orderBy("listing_id").select("prediction").collect() for m in (closed, rounds)])
+    assert all(a[0] == pytest.approx(b[0], rel=1e-5) for a, b in pairs)
+
+
+def test_solvers_agree_on_penalties(spark):
+    df, *_ = small(spark)
+    for fit in (M.fit_ridge, M.fit_lasso):
+        one, two = (M.predict(fit(df, 0.05, solver=s), df).agg(F.sum(F.abs("prediction"))).first()[0] for s in ("normal", "l-bfgs"))
+        assert one == pytest.approx(two, rel=1e-7)
+
+
+def test_p_values_at_any_size():
+    from lotbook.functions.distributions import _regularised_beta, two_sided_p
+
+    # closed forms for 1, 2 and 4 degrees of freedom; the normal law at the other end
+    for t in (0.01, 0.5, 1.7, 2.5, 40.0):
+        assert two_sided_p(t, 1) == pytest.approx(1 - 2 * math.atan(t) / math.pi, rel=1e-9)
+        assert two_sided_p(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-9)
+        u = t * t / (4 + t * t)
+        assert two_sided_p(t, 4) == pytest.approx(1 - math.sqrt(u) * (1.5 - u / 2), rel=1e-6)
+    for t in (0.01, 1.0, 1.7, 1.8, 5.0, 20.0):
+        assert two_sided_p(t, 1e10) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-5)
+        assert two_sided_p(t, 100_000) == pytest.approx(two_sided_p(t, 100_001), rel=1e-3)
+    with pytest.raises(ArithmeticError):
+        _regularised_beta(0.5, 0.5, 500.0, 0.5, steps=2)
