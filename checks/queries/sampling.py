@@ -73,6 +73,23 @@ def one_hot(spark, sf_dir):
     return X.one_hot(listings_dirty(spark, sf_dir).select("price", "mileage", "color", "state"))
 
 
+TEXTS = ("make", "model", "body_style", "city", "state", "color")
+
+
+def _one_hot_sums_sql(column: str) -> str:
+    return f"""select concat('{column}_', {column}) as feature, count(*) as n_rows from listings_dirty where {column} is not null group by 1
+    union all select '{column}_nan', count(*) from listings_dirty where {column} is null"""
+
+
+@query("f1_one_hot_all_columns", f"{DIRTY} {' union all '.join(map(_one_hot_sums_sql, TEXTS))}")
+def one_hot_all_columns(spark, sf_dir):
+    """How many rows have a one in each column, over all six text columns."""
+    dummies = X.one_hot(listings_dirty(spark, sf_dir).select(*TEXTS))
+    sums = dummies.agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in dummies.columns])
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("n_rows")) for c in dummies.columns])
+    return sums.select(F.inline(entries))
+
+
 @query(
     "f2_min_max_scale",
     f"""{LISTINGS}, r as (select min(mileage) as m0, max(mileage) as m1, min(year) as y0, max(year) as y1 from listings)
