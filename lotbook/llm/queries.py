@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotbook.llm import brown, html_text, linedup, mixing, neardup, packing, pii, quality, urls, vectors
+from lotbook.llm import brown, html_text, linedup, mixing, neardup, packing, pii, quality, urls, vectors, wavelet
+from lotbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +201,11 @@ def url_filter(spark, sf_dir):
 def surrogates(spark, sf_dir):
     found = pii.replace_entities(table(spark, sf_dir, "documents"), key="lotbook")
     return found.select("row.doc_id", "text", "n_replaced", "kinds")
+
+
+@query("op11_token_files")
+def token_files(spark, sf_dir):
+    """Written as wavelet matrices, and read back from these files."""
+    folder = scratch_path(spark, "token-files")
+    wavelet.write(table(spark, sf_dir, "documents"), folder, word_bpe_path())
+    return wavelet.read_documents(spark, folder)
