@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotbook.llm import brown, html_text, linedup, mixing, neardup, packing, pii, quality, urls, vectors, wavelet
+from lotbook.llm import brown, html_text, lexical, linedup, merkle, mixing, neardup, packing, pii, quality, urls, vectors, wavelet
 from lotbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,85 @@ def token_files(spark, sf_dir):
     folder = scratch_path(spark, "token-files")
     wavelet.write(table(spark, sf_dir, "documents"), folder, word_bpe_path())
     return wavelet.read_documents(spark, folder)
+
+
+# All nodes of each tree as lists, one list a level; the way of each leaf as a list of siblings with their side.
+MERKLE = """
+with recursive table_of as (
+    select list(list_reduce(list_concat([i], range(8)), lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+    from (select unnest(range(256)) as i)),
+summed as (
+    select *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(doc_id as varchar), ''), lambda d: cast(ascii(d) as bigint))),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 as tampered
+    from documents, table_of),
+fields as (
+    select *, row_number() over () as rid,
+           concat(coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                  coalesce(strlen(lang) || ':' || lang, '-')) as front,
+           coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as own,
+           coalesce(strlen(cast(n_chars + 1 as varchar)) || ':' || (n_chars + 1), '-') as other,
+           coalesce(strlen(text) || ':' || text, '-') as rest
+    from summed),
+leaves as (
+    select rid, doc_id, lang, sha256(concat(front, own, rest)) as leaf,
+           sha256(concat(front, case when tampered then other else own end, rest)) as candidate from fields),
+placed as (
+    select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+           dense_rank() over (order by lang nulls first) - 1 as g from leaves),
+trees as (
+    select g, 0 as level, list(leaf order by pos) as nodes from placed group by g
+    union all
+    select g, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) from trees where len(nodes) > 1),
+subroots as (select g, nodes[1] as subroot from trees where len(nodes) = 1),
+tops as (
+    select 0 as level, list(subroot order by g) as nodes from subroots
+    union all
+    select level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) from tops where len(nodes) > 1),
+steps as (
+    select rid, level as step, pos >> level as spot, nodes from placed join trees using (g) where len(nodes) > 1
+    union all
+    select rid, 1000 + level, g >> level, nodes from placed, tops where len(nodes) > 1),
+ways as (
+    select rid, list(case when spot % 2 = 1 then 'L' || nodes[spot] else 'R' || coalesce(nodes[spot + 2], '') end order by step) as way
+    from steps group by rid)
+select doc_id, leaf, subroot, r.nodes[1] as root, sha256(coalesce(list_aggregate(list_transform(way, lambda x: substr(x, 2)), 'string_agg', ''), '')) as proof_sha256,
+       list_reduce(list_concat([candidate], coalesce(way, [])),
+           lambda h, x: case when x[1] = 'L' then sha256(substr(x, 2) || h) else sha256(h || substr(x, 2)) end) as folded_root,
+       folded_root = root as verified
+from placed join subroots using (g) left join ways using (rid), (select nodes from tops where len(nodes) = 1) r
+"""
+
+
+@query("op13_merkle_manifest", MERKLE)
+def merkle_manifest(spark, sf_dir):
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+# The terms of all documents, counted, joined with those of the items.
+LEXICAL = """
+with words as (
+    select rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select *, row_number() over () as rid from documents)),
+counted as (select rid, doc_id, term, count(*) as tf from words group by all),
+sizes as (select rid, sum(tf) as n from counted group by 1),
+totals as (select count(*) as nd, sum(n) as len from sizes),
+wanted as (
+    select distinct iid, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select *, row_number() over () as iid from benchmark)),
+weights as (
+    select term, cast(floor(1000 * ln(cast(2 * nd + 2 as double) / (2 * df + 1))) as bigint) as w
+    from (select term, count(*) as df from counted where term in (select term from wanted) group by 1), totals),
+scores as (
+    select iid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // len)))) as score
+    from wanted join weights using (term) join counted using (term) join sizes using (rid), totals group by all),
+ranked as (
+    select *, row_number() over (partition by iid order by score desc, doc_id nulls last) as place from scores where score > 0)
+select item_id, cast(place as integer) as rank, doc_id, cast(score as bigint) as score from ranked where place <= 50
+"""
+
+
+@query("op12_lexical_search", LEXICAL)
+def lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
