@@ -60,7 +60,7 @@ def to_file(ids: np.ndarray, doc_ids: Sequence[int | None], lengths: Sequence[in
         ones = (level & level.dtype.type(1 << bit)).astype(bool)
         plane = np.packbits(ones).tobytes()
         blocks = [plane[at : at + BLOCK] for at in range(0, len(plane), BLOCK)]
-        payloads = [min(packer.compress(b), b, key=len) for b in blocks]
+        payloads = [min(b, packer.compress(b), key=len) for b in blocks]  # raw if they are as long
         zeros = level[~ones]
         before = np.add.reduceat(ones, range(0, len(ones), 8 * BLOCK), dtype=np.uint64).cumsum() if blocks else np.zeros(0, np.uint64)
         before = np.concatenate([np.zeros(1, np.uint64), before[:-1]])[: len(blocks)]
