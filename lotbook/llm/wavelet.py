@@ -31,7 +31,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotbook.llm.rows import text_column
 from lotbook.llm.token_ids import token_ids
 from lotbook.session import staged
 
@@ -57,16 +56,18 @@ def to_file(ids: np.ndarray, doc_ids: Sequence[int | None], lengths: Sequence[in
     packed = packer.compress(documents)
     out = [struct.pack(HEADER, MAGIC, planes, len(ids), len(doc_ids), part, start), struct.pack("<Q", len(packed)), packed]
     for bit in reversed(range(planes)):
-        ones = (level & level.dtype.type(1 << bit)).astype(bool)
-        plane = np.packbits(ones).tobytes()
-        blocks = [plane[at : at + BLOCK] for at in range(0, len(plane), BLOCK)]
-        payloads = [min(b, packer.compress(b), key=len) for b in blocks]  # raw if they are as long
-        zeros = level[~ones]
-        before = np.add.reduceat(ones, range(0, len(ones), 8 * BLOCK), dtype=np.uint64).cumsum() if blocks else np.zeros(0, np.uint64)
-        before = np.concatenate([np.zeros(1, np.uint64), before[:-1]])[: len(blocks)]
+        payloads, before, zeros, ones = [], [0], [], []
+        for at in range(0, len(level), 8 * BLOCK):  # a block at a time, which stays in the processor's cache
+            block = level[at : at + 8 * BLOCK]
+            bits = (block & level.dtype.type(1 << bit)).astype(bool)
+            plane = np.packbits(bits).tobytes()
+            payloads.append(min(plane, packer.compress(plane), key=len))  # raw if they are as long
+            zeros.append(block.take(np.flatnonzero(~bits)))
+            ones.append(block.take(np.flatnonzero(bits)))
+            before.append(before[-1] + len(ones[-1]))
         ends = np.cumsum([len(p) for p in payloads], dtype="<u8")
-        out += [struct.pack("<Q", len(zeros)), before.astype("<u8").tobytes(), ends.tobytes(), *payloads]
-        level = np.concatenate([zeros, level[ones]])
+        out += [struct.pack("<Q", len(level) - before[-1]), np.array(before[:-1], "<u8").tobytes(), ends.tobytes(), *payloads]
+        level = np.concatenate([*zeros, *ones, level[:0]])
     return b"".join(out)
 
 
@@ -172,12 +173,15 @@ class Shard:
         kind = np.uint16 if self.planes <= 16 else np.uint32
         level = np.zeros(self.n, kind)
         for plane in reversed(range(self.planes)):
-            packed = b"".join([self._packed(plane, block) for block in range(self._blocks)])
-            ones = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n).view(bool)
-            above = np.empty(self.n, kind)
-            zeros = self._zeros[plane]
-            above[~ones] = level[:zeros]
-            above[ones] = level[zeros:] | kind(1 << (self.planes - 1 - plane))
+            above, value = np.empty(self.n, kind), kind(1 << (self.planes - 1 - plane))
+            zero, one = 0, self._zeros[plane]
+            for block in range(self._blocks):
+                part = above[8 * BLOCK * block : 8 * BLOCK * (block + 1)]
+                ones = np.unpackbits(np.frombuffer(self._packed(plane, block), np.uint8), count=len(part)).view(bool)
+                at = np.flatnonzero(ones)
+                part[np.flatnonzero(~ones)] = level[zero : zero + len(part) - len(at)]
+                part[at] = level[one : one + len(at)] | value
+                zero, one = zero + len(part) - len(at), one + len(at)
             level = above
         return level
 
@@ -203,8 +207,8 @@ def _write_shards(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end: i
 
     held = 0
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_column(batch, "text")):
-            found = ids.of(text) + mark
+        for doc_id, found in zip(batch.column("doc_id").to_pylist(), ids.of_all(batch.column("text"))):
+            found += mark
             if held and held + len(found) > 4 * shard:
                 yield full()
                 held = 0
