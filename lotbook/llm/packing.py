@@ -13,97 +13,31 @@ packed once each. An empty table gives no rows. Extra columns of the input are n
 
 from __future__ import annotations
 
-import sys
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.llm.rows import text_column
+from lotbook.llm.token_ids import token_ids
 from lotbook.operators.rows import with_row_id
 from lotbook.session import staged
 
 CAPACITY = 2048
 END = b"\0\0\0\0"  # id 0, after every document
-CACHE_WORDS = 300_000  # words and parts whose ids a worker remembers before it starts anew
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe, which may belong to letters
-LAST_LATIN = "\u024f"
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Fixed: how byte-level vocabularies show bytes; those that cannot be printed are shown from 256 on.
-AS_SHOWN = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-class WordIds(dict):
-    """The ids of a word as little-endian bytes.
-
-    This tokenizer drops white space, and no token reaches across it, so a text has the ids of its words one
-    after the other; a tokenizer for which that is not so must not be used with it. It also parts letters from what
-    follows them, so the ids of a word of Latin letters and of the marks behind it are kept apart; such
-    letters in small form are in normal form already and can be handed straight to the merges.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.merge, self.parts = self.tokenizer.model.tokenize, {}
-
-    def whole(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "surrogatepass")
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def letters(self, word: bytes) -> bytes | None:
-        """None if there are other characters than small Latin letters."""
-        found = self.parts.get(word)
-        if found is None:
-            text = word.decode("utf-8", "surrogatepass")
-            if not text.isalpha() or max(text) > LAST_LATIN or text != text.lower():
-                return None
-            tokens = self.merge(word.decode("latin-1").translate(AS_SHOWN))
-            found = self.parts[word] = array("I", [t.id for t in tokens]).tobytes()
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) + len(self.parts) >= CACHE_WORDS:
-            self.clear()
-            self.parts.clear()
-        low = word.lower()
-        front = low.rstrip(MARKS)
-        found = None if b"<|" in word else self.letters(front)  # may be a special token, found as it is written
-        if found is None:
-            found = self.whole(word)
-        elif len(front) < len(low):
-            tail = low[len(front) :]
-            if tail not in self.parts:
-                self.parts[tail] = self.whole(tail)
-            found += self.parts[tail]
-        self[word] = found
-        return found
-
-
-def word_ids(path: str) -> WordIds:
-    """One for all tasks of a worker process: words seen in one partition come again in the next."""
-    kept = sys.modules.setdefault("lotbook_word_ids", ModuleType("lotbook_word_ids"))
-    if path not in vars(kept):
-        vars(kept)[path] = WordIds(path)
-    return vars(kept)[path]
-
-
 def cut_pieces(batches: Iterator[pa.RecordBatch], tokenizer_path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    ids = word_ids(tokenizer_path)
+    ids = token_ids(tokenizer_path)
     step = 4 * capacity
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_column(batch, "text")):
-            data = b"".join(map(ids.__getitem__, text.encode("utf-8", "surrogatepass").split())) + END
+        for doc_id, data in zip(batch.column("doc_id").to_pylist(), ids.of_all(batch.column("text"))):
+            data += END
             for piece, at in enumerate(range(0, len(data), step)):
                 part = data[at : at + step]
                 rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

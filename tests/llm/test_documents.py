@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lotbook.llm import brown, linedup, mixing, neardup, packing, pii, quality
+from lotbook.llm import brown, linedup, mixing, neardup, packing, pii, quality, token_ids
 from lotbook.llm.queries import QUERIES, word_bpe_path
 
 
@@ -229,10 +229,9 @@ def test_sweeps_are_best_fit_decreasing():
 
 
 def test_words_have_the_ids_of_texts():
-    ids = packing.WordIds(word_bpe_path())
+    ids = token_ids.TokenIds(word_bpe_path())
     for text in ("<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "it's dogs'. l'eau I'LL 'S x's.", "ΌΣΟΣ. İst naïve É. e\u0301 Å", "12,300.50 x1. a1b ... %%%the###"):
-        got = b"".join(map(ids.__getitem__, text.encode().split()))
-        assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_surrogates(documents):
