@@ -333,7 +333,7 @@ def fold(manifest: Manifest, candidate: str) -> DataFrame:
     fanout, root = manifest.fanout, manifest.root
     more = "subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     own = [f for f in manifest.rows.schema.fields if f.name not in ("_group", "_place", "_block")]
-    schema = T.StructType([*own, *T._parse_datatype_string(more).fields])
+    schema = T.StructType([*own, *T.StructType.fromDDL(more).fields])
     if manifest.above is None:
         return manifest.rows.sparkSession.createDataFrame([], schema)
     names, kept = [f.name for f in schema.fields], [f.name for f in own]
