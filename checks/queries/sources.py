@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +23,9 @@ from lotbook.operators.sampling import split
 from lotbook.schemas import LISTINGS_RAW
 from lotbook.session import scratch_path
 from lotbook.sources.files import (
+    append_batch,
     append_listings,
+    read_batches,
     read_listings,
     read_pages,
     read_table,
@@ -30,8 +33,9 @@ from lotbook.sources.files import (
     write_csv,
     write_csv_with_row_id,
 )
+from lotbook.sources.store import add_batch, new_rows, open_store, read_store
 from lotbook.sources.worklist import crawl_worklist, shard_number
-from lotbook.streaming.ingest import ingest_stream
+from lotbook.streaming.ingest import ingest_stream, ingest_to_store, stored_rejects
 
 COLUMNS = ", ".join(LISTING_COLUMNS)
 
@@ -170,3 +174,80 @@ def page_sizes(spark, sf_dir):
     return pages.groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("host")).agg(
         F.count("*").alias("n_pages"), F.sum(F.length("html")).alias("n_chars")
     )
+
+
+APPENDED = f"""with {oracle_views('listings')}
+    select {COLUMNS}, cast(floor((10000 + (cast(split_part(listing_id, '-', 1) as bigint) * 37) % 90000 - 10000) / 4500.0) + 1 as int) as shard
+    from listings"""
+
+
+@query("s4_append_twice", APPENDED)
+def append_twice(spark, sf_dir):
+    """Two numbered batches by shard, both of them added twice: the table is that of one time."""
+    path = scratch_path(spark, "append-twice")
+    zips = F.lit(10000) + (F.col("page_id") * 37) % 90000
+    rows = with_page_id(listings(spark, sf_dir)).select(*LISTING_COLUMNS, shard_number(zips).alias("shard"))
+    parts = {1: rows.where("mileage <= 25"), 2: rows.where("mileage > 25")}
+    for batch in (1, 2, 1, 2):
+        append_batch(parts[batch], path, batch)
+    return read_batches(spark, path)
+
+
+@query(
+    "c5_new_against_stored",
+    f"""with {oracle_views('listings_dirty')} select {COLUMNS} from listings_dirty where mileage > 20
+        except select {COLUMNS} from listings_dirty where mileage <= 35""",
+)
+def new_against_stored(spark, sf_dir):
+    """What a batch adds to a store that has most of its rows; the batch before is added twice."""
+    rows = listings_dirty(spark, sf_dir).select(*LISTING_COLUMNS)
+    store = open_store(spark, scratch_path(spark, "store"), LISTINGS_RAW, buckets=8)
+    for _ in range(2):
+        add_batch(rows.where("mileage <= 35"), store, 1)
+    return new_rows(rows.where("mileage > 20"), store, 2).select(*LISTING_COLUMNS)
+
+
+@query(
+    "s10_stored_after_batches",
+    f"""with {oracle_views('listings_dirty')} select distinct {COLUMNS} from listings_dirty""",
+)
+def stored_after_batches(spark, sf_dir):
+    """Three batches that overlap leave each row once."""
+    rows = listings_dirty(spark, sf_dir).select(*LISTING_COLUMNS)
+    store = open_store(spark, scratch_path(spark, "store"), LISTINGS_RAW, buckets=8)
+    for batch, part in enumerate(("mileage <= 20", "mileage between 10 and 40", "mileage > 30")):
+        add_batch(rows.where(part), store, batch)
+    return read_store(spark, store)
+
+
+@query(
+    "s10_restart",
+    f"""with {oracle_views('listings_dirty')}, long as (
+        select {COLUMNS} from listings_dirty where price is not null and color is not null and mileage = 7)
+    select distinct 'row' as kind, concat_ws(',', make, model, year, body_style, city, state, color) as line, price, mileage
+        from listings_dirty where price is not null and color is not null
+    union all select 'reject', concat_ws(',', make, model, year, body_style, city, state, color), price, mileage from long""",
+)
+def restarted_ingest(spark, sf_dir):
+    """Files with lines that are too long, two triggers; the first one is stopped between its two writes, and the run starts again."""
+    source, marks, path = (scratch_path(spark, n) for n in ("arriving", "marks", "store"))
+    rows = listings_dirty(spark, sf_dir).select(*LISTING_COLUMNS)
+    long = rows.where("mileage = 7 and price is not null and color is not null").withColumn("more", F.lit("x"))
+    rows.repartition(3).write.csv(source)
+    long.coalesce(1).write.mode("append").csv(source)
+    store = open_store(spark, path, LISTINGS_RAW, buckets=8)
+    run = lambda **more: ingest_to_store(spark, source, store, marks, files_per_trigger=2, **more)
+    try:
+        run(stop_before=0).awaitTermination()
+    except StreamingQueryException as stopped:
+        if "stopped before batch 0" not in str(stopped):
+            raise
+    run().awaitTermination()
+    line = F.concat_ws(",", *[c for c in LISTING_COLUMNS if c not in ("price", "mileage")])
+    kept = read_store(spark, store).select(F.lit("row").alias("kind"), line.alias("line"), "price", "mileage")
+    cells = F.split("line", ",")
+    rejects = stored_rejects(spark, store).select(
+        F.lit("reject").alias("kind"), F.concat_ws(",", F.slice(cells, 2, 6), F.element_at(cells, 9)).alias("line"),
+        cells[0].cast("double").alias("price"), cells[7].cast("double").alias("mileage"),
+    )
+    return kept.unionAll(rejects)

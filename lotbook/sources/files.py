@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from lotbook.schemas import LISTINGS_RAW, NA_WORDS, RENAMES, ZIP_CODES, as_text
 
 LINE = "_line"  # the whole line, where its cells are not as many as the columns
 MARK = "\u0001\u0002"
+FILES_A_JOB = 200  # whose first lines are read together
 
 
 def read_listings(
@@ -68,10 +70,15 @@ def is_surplus(text: DataFrame) -> Column:
     return F.when(F.col(LINE).isNotNull() & read, ~fits).otherwise(False)
 
 
+def reject_columns(file: Column, n_columns: int) -> list[Column]:
+    """file, cells (up to the first one too many), line"""
+    cells = F.array(*_cells(F.col(LINE), n_columns + 1))
+    return [file.alias("file"), cells.alias("cells"), F.col(LINE).alias("line")]
+
+
 def rejects_of(text: DataFrame) -> DataFrame:
     """file, cells, line: the lines with more cells than columns. ``text``: as read by ``with_line``."""
-    cells = F.array(*_cells(F.col(LINE), len(text.columns)))
-    return text.where(is_surplus(text)).select(F.col("_metadata.file_name").alias("file"), cells.alias("cells"), F.col(LINE).alias("line"))
+    return text.where(is_surplus(text)).select(*reject_columns(F.col("_metadata.file_name"), len(text.columns) - 1))
 
 
 def read_table(
@@ -85,7 +92,7 @@ def read_table(
     found by name; a column of ``schema`` that a file lacks is null, extra columns are not read. A line with more cells
     than its header is no row; ``surplus_table_lines`` has those lines.
 
-    Files may differ in their columns: the first lines are read first, and files of one layout are one scan. A
+    Files may differ in their columns: their first lines, and no more, are read first, and files of one layout are one scan. A
     layout with no column of ``schema`` at all is refused.
     """
     frames = []
@@ -113,13 +120,29 @@ def _texts(spark: SparkSession, paths: str | Sequence[str], renames: Mapping[str
         yield names, with_line(spark.read, cells).option("header", True).csv(files)
 
 
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """(path, first line) of each file that is not empty.
+
+    A file is one task, which stops after its first line, so one buffer of each file is read however long it is. The driver
+    sees one line a file; it has to list the files anyway.
+    """
+    heads = spark.newSession()  # settings of its own: no file is cut, and no two files share a task
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        heads.conf.set(name, str(1 << 40))
+    found = [unquote(f) for f in heads.read.text(list(paths)).inputFiles()]
+    lines = []
+    for at in range(0, len(found), FILES_A_JOB):
+        firsts = [heads.read.text(f).limit(1).select(F.lit(f).alias("path"), "value") for f in found[at : at + FILES_A_JOB]]
+        lines += [(r["path"], r["value"]) for r in reduce(DataFrame.unionAll, firsts).collect()]
+    return lines
+
+
 def _layouts(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
-    """Header lines and the files that begin with them: one small row a file reaches the driver."""
-    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    # the first block of a file is read by one task, in order
-    firsts = lines.where("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("header"))
-    rows = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect()
-    return sorted((r["header"], r["files"]) for r in rows)
+    """Header lines and the files that begin with them."""
+    layouts: dict[str, list[str]] = {}
+    for path, header in first_lines(spark, paths):
+        layouts.setdefault(header, []).append(path)
+    return sorted((header, sorted(files)) for header, files in layouts.items())
 
 
 def read_zip_codes(spark: SparkSession, path: str) -> DataFrame:
@@ -141,6 +164,23 @@ def append_listings(df: DataFrame, path: str, shard: str = "shard") -> None:
     df.hint("rebalance", F.col(shard)).write.mode("append").partitionBy(shard).parquet(path)
 
 
+def append_batch(df: DataFrame, path: str, batch: int, shard: str | None = "shard") -> None:
+    """Add the rows of a numbered batch to a table kept by batch, and within it by shard.
+
+    Added again, a batch replaces itself and touches no other, so a run that failed half way can be repeated.
+    """
+    target = f"{path.rstrip('/')}/batch={int(batch)}"
+    if shard is None:
+        df.write.mode("overwrite").parquet(target)
+    else:
+        df.hint("rebalance", F.col(shard)).write.mode("overwrite").partitionBy(shard).parquet(target)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a table written by ``append_batch``."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and without a row index."""
     df.write.mode("overwrite").option("header", True).csv(path)

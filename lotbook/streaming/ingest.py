@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from lotbook.functions.cells import typed_columns
 from lotbook.operators.clean import drop_incomplete
 from lotbook.schemas import LISTINGS_RAW, NA_WORDS
-from lotbook.sources.files import is_surplus, rejects_of, with_line
+from lotbook.sources import store as stores
+from lotbook.sources.files import append_batch, is_surplus, reject_columns, rejects_of, with_line
 
 
 def listing_stream(spark: SparkSession, folder: str, schema: T.StructType = LISTINGS_RAW,
@@ -72,3 +73,44 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
     rows = listing_stream(spark, folder, schema, files_per_trigger=files_per_trigger, arrival=arrival)
     rows = clean_stream(rows, arrival, delay).drop("_arrived") if delay else clean_stream(rows)
     return write_stream(rows, out, checkpoint)
+
+
+REJECTS = T.StructType([
+    T.StructField("file", T.StringType()), T.StructField("cells", T.ArrayType(T.StringType())), T.StructField("line", T.StringType())
+])
+
+
+def ingest_to_store(spark: SparkSession, folder: str, store: stores.Store, checkpoint: str,
+                    na_words: Sequence[str] = NA_WORDS, files_per_trigger: int = 100,
+                    stop_before: int | None = None) -> StreamingQuery:
+    """Listing files → clean rows that the store does not have, and its rejects, both exactly once.
+
+    Files are read once for rows and rejects. A trigger is a batch of the store under the number that Spark gives it; a trigger
+    that was stopped between two writes is run again with the same files and number, and replaces what it left. Repeats are
+    found in the store, however late they come, so the stream itself keeps no state. ``stop_before`` fails that batch between
+    its two writes, as a rehearsal.
+    """
+    text = with_line(spark.readStream, store.schema).option("maxFilesPerTrigger", files_per_trigger).csv(folder)
+    cells = text.select("*", "_metadata.file_name")
+
+    def add(batch: DataFrame, number: int) -> None:
+        judged = batch.withColumn("_surplus", is_surplus(batch.drop("file_name"))).persist()
+        try:
+            lines = judged.where("_surplus").select(*reject_columns(F.col("file_name"), len(store.schema)))
+            append_batch(lines, f"{store.path}/rejects", number, None)
+            if number == stop_before:
+                raise RuntimeError(f"stopped before batch {number}")
+            rows = judged.where("not _surplus").select(*typed_columns(judged, store.schema, na_words))
+            stores.add_batch(drop_incomplete(rows), store, number)
+        finally:
+            judged.unpersist()
+
+    return (
+        cells.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def stored_rejects(spark: SparkSession, store: stores.Store) -> DataFrame:
+    """file, cells, line of all batches that count"""
+    return stores.read_store(spark, store, "rejects", REJECTS)
