@@ -20,9 +20,9 @@ def digest(key: str | Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
-def share_limit(share: float) -> str:
+def share_limit(share: float | Fraction) -> str:
     """The digest below which a ``share`` of all digests lies."""
-    limit = math.floor(Fraction(str(share)) * 16**DIGITS)
+    limit = math.floor((share if isinstance(share, Fraction) else Fraction(str(share))) * 16**DIGITS)
     return "g" if limit >= 16**DIGITS else f"{limit:0{DIGITS}x}"
 
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lotbook.functions.hashing import DIGITS, digest, share_limit
 from lotbook.operators.rows import with_row_id
+from lotbook.session import staged
 
-# Digests the driver may look at when the last digits of a cut-off are settled.
-DIGEST_LIST = 10_000
-DIGITS_PER_STEP = 3
+# How many standard deviations a bound on digests is set off from where it is expected; the chance that it
+# does not hold is below 1e-14 (Chernoff), and then it is set off further.
+MARGIN = 8
 
 # Keys that are looked at to tell about where a cut-off key lies.
 SAMPLE_ROWS = 200_000
@@ -28,53 +30,106 @@ def shuffle_rows(df: DataFrame, key: str, seed: int = 10) -> DataFrame:
     return df.withColumn("shuffle_key", digest(key, seed)).orderBy("shuffle_key")
 
 
+def _margin(n: int, times: int) -> int:
+    return math.ceil(times * MARGIN * math.sqrt(n) + (times * MARGIN) ** 2)
+
+
+def _limit(rows: int, total: int) -> str:
+    """The digest below which so many of all rows are expected."""
+    return share_limit(min(Fraction(rows, total), Fraction(1))) if total else "g"
+
+
 def digest_cutoff(df: DataFrame, n: int, key: str, seed: int) -> str:
     """The digest of the n-th row in digest order ('g', above all digests, if there are fewer rows).
 
-    Rows are counted by the first digits of their digest, then by the next digits within the one
-    group that holds the n-th row. The driver sees at most 4096 counts, then one short list.
+    Two scans at any size: one counts the rows (on parquet, from the footers), one reads the keys. Digests are uniform, so
+    the n-th lies within some root(n) places of where it is expected; only the digests in that bracket, a share of
+    the rows that shrinks as they grow, are written down and ordered. The counts decide, so the result is exact.
     """
-    digests = df.select(digest(key, seed).alias("h"))
-    prefix, left = "", n
+    return _digest_at(df.select(digest(key, seed).alias("h")), n, df.count())
+
+
+def _digest_at(digests: DataFrame, n: int, total: int) -> str:
+    """The n-th of ``total`` digests, the column ``h`` of uniform digests."""
+    if n > total:
+        return "g"
+    times = 1
     while True:
-        rows = digests.where(F.col("h").startswith(prefix)) if prefix else digests
-        part = F.substring("h", len(prefix) + 1, DIGITS_PER_STEP).alias("part")
-        counts = sorted((r["part"], r["n"]) for r in rows.groupBy(part).agg(F.count("*").alias("n")).collect())
-        for part, count in counts:
-            if left <= count:
-                break
-            left -= count
-        else:
-            return "g"
-        prefix += part
-        if count <= DIGEST_LIST or len(prefix) >= DIGITS:
+        lo, hi = _limit(max(n - _margin(n, times), 0), total), _limit(n + _margin(n, times), total)
+        marked = digests.where(F.col("h") < hi).select(F.when(F.col("h") >= lo, F.col("h")).alias("h"))
+        # equal digests (repeated keys) and those below the bracket become counts before anything moves
+        counted = staged(marked.groupBy("h").agg(F.count("*").alias("n")), "bracket")
+        totals = counted.agg(F.sum(F.when(F.col("h").isNull(), F.col("n"))).alias("below"), F.sum("n").alias("all")).first()
+        below, rows = totals["below"] or 0, totals["all"] or 0
+        if below < n <= rows:
             break
-    if len(prefix) >= DIGITS:
-        return prefix
-    last = rows.where(F.col("h").startswith(prefix)).orderBy("h").limit(left).agg(F.max("h").alias("h"))
-    return last.first()["h"]
+        times *= 4
+    place = n - below
+    inside = counted.where("h is not null")
+    if rows - below == inside.count():  # no digest twice: its place is its number
+        return with_row_id(inside.select("h"), "h", "_place").where(F.col("_place") == place - 1).first()["h"]
+    numbered = with_row_id(inside, "h", "_place")
+    return _at_weight(numbered, place)
+
+
+def _at_weight(numbered: DataFrame, place: int) -> str:
+    """The first digest up to which there are ``place`` rows: halves the numbered digests (h, n, _place) until one is left."""
+    lo, hi = 0, numbered.agg(F.max("_place")).first()[0]
+    while lo < hi:
+        middle = (lo + hi) // 2
+        if numbered.where(F.col("_place") <= middle).agg(F.sum("n")).first()[0] >= place:
+            hi = middle
+        else:
+            lo = middle + 1
+    return numbered.where(F.col("_place") == lo).first()["h"]
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 10) -> DataFrame:
     """Exactly ``n`` rows (or all, if fewer), each set equally likely; ``key`` must be unique.
 
-    The result is a plain filter on the digest: no sort, no shuffle, and no limit that would funnel
-    the sample through one task.
+    The rows are read twice, whatever their number: one scan counts them, one keeps those below a digest that a few more than
+    ``n`` rows are expected to have. These are written down, and the result is a filter on them: no sort and no limit that would
+    funnel the sample through one task.
     """
     if n <= 0:
         return df.limit(0)
-    return df.where(digest(key, seed) <= F.lit(digest_cutoff(df, n, key, seed)))
+    total = df.count()
+    if n >= total:
+        return df
+    hashed = df.withColumn("_digest", digest(key, seed))
+    times = 1
+    while True:
+        kept = staged(hashed.where(F.col("_digest") < _limit(n + _margin(n, times), total)), "sample")
+        found, last = kept.agg(F.count("*"), F.max("_digest")).first()
+        if found >= n:
+            break
+        times *= 4
+    return kept.where(F.col("_digest") <= F.lit(_digest_at_end(kept, n, found, last))).drop("_digest")
+
+
+def _digest_at_end(kept: DataFrame, n: int, found: int, last: str) -> str:
+    """The n-th digest among rows of which at most a few more than n are there: only the last ones are ordered."""
+    share = Fraction(int(last, 16) + 1, 16**DIGITS) * Fraction(max(n - _margin(n, 1), 0), found)
+    tail = kept.where(F.col("_digest") >= share_limit(share)).select(F.col("_digest").alias("h"))
+    above = found - n  # rows that have to go
+    tail = staged(tail, "tail")
+    rows = tail.count()
+    if rows <= above:
+        tail, rows = kept.select(F.col("_digest").alias("h")), found
+    return with_row_id(tail, "h", "_place").where(F.col("_place") == rows - above - 1).first()["h"]
 
 
 def split(df: DataFrame, test_size: float, key: str, seed: int = 10, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Train and test rows. By default each row decides by its digest alone, so the test share is
-    ``test_size`` up to chance; ``exact`` gives ceil(n * test_size) test rows."""
+    ``test_size`` up to chance; ``exact`` gives ceil(n * test_size) test rows, after two scans (rows, then keys)."""
     own = digest(key, seed)
     if not exact:
         is_test = own < F.lit(share_limit(test_size))
     else:
-        wanted = math.ceil(df.count() * test_size)
-        is_test = own <= F.lit(digest_cutoff(df, wanted, key, seed)) if wanted else F.lit(False)
+        total = df.count()
+        wanted = math.ceil(total * test_size)
+        cutoff = _digest_at(df.select(own.alias("h")), wanted, total) if wanted else None
+        is_test = F.lit(False) if cutoff is None else own <= F.lit(cutoff)
     return df.where(~is_test), df.where(is_test)
 
 

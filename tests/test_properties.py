@@ -195,12 +195,11 @@ def test_share_limit():
     assert share_limit(1) > "f" * 32
 
 
-@pytest.mark.parametrize("listed", [10_000, 3])
+@pytest.mark.parametrize("margin", [8, 0.01])
 @pytest.mark.parametrize("n", [1, 17, 999, 1000, 1001])
-def test_sample_n(spark, monkeypatch, listed, n):
-    """Also when the driver may look at three digests only, so that several rounds are needed."""
-    monkeypatch.setattr(G, "DIGEST_LIST", listed)
-    monkeypatch.setattr(G, "DIGITS_PER_STEP", 1)
+def test_sample_n(spark, monkeypatch, margin, n):
+    """Also with a margin so small that it has to be widened."""
+    monkeypatch.setattr(G, "MARGIN", margin)
     df = spark.range(1000).withColumn("key", F.col("id").cast("string"))
     digests = sorted((hashlib.md5(f"{i}:10".encode()).hexdigest(), i) for i in range(1000))
     got = sorted(r["id"] for r in G.sample_n(df, n, "key").collect())
