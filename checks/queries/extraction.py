@@ -84,11 +84,12 @@ def page_colors(spark, sf_dir):
 
 @query(
     "x6_color_by_position",
-    f"""{FRAGMENTS}, colors as (
-        select page_id, unnest(regexp_extract_all(script, '/","color":"(.*?)"\\}},\\{{"@context":"http://schema\\.org"', 1)) as color,
-               generate_subscripts(regexp_extract_all(script, '/","color":"(.*?)"\\}},\\{{"@context":"http://schema\\.org"', 1), 1) - 1 as pos
+    f"""{SCRIPTS}, found as (
+        select page_id, list_filter(string_split(script, '"type"'), lambda x: starts_with(x, ':"inventory"')) as parts,
+               regexp_extract_all(script, '/","color":"(.*?)"\\}},\\{{"@context":"http://schema\\.org"', 1) as colors
         from scripts)
-    select page_id, pos, fragment, color from fragments join colors using (page_id, pos)""",
+    select page_id, cast(i - 1 as int) as pos, parts[i] as fragment, colors[i] as color
+    from (select *, unnest(generate_series(1, least(len(parts), len(colors)))) as i from found)""",
 )
 def color_by_position(spark, sf_dir):
     return E.match_colors(_scripts(spark, sf_dir))

@@ -139,11 +139,26 @@ def t_test(spark, sf_dir):
     return rounded(result.drop("p"), "t", digits=6)
 
 
-@query("a7_t_test_p")
+# The density of Student's t, integrated from 0 to |t| by Simpson's rule in 4,000 steps.
+T_TEST_P = f"""{GROUPS}, pairs as (select * from (values ('Brand#4', 'Brand#1'), ('Brand#3', 'Brand#4'), ('Brand#3', 'Brand#1')) v(a, b)),
+    tests as (
+        select a, b, (x.m - y.m) / sqrt(((x.n - 1) * x.v + (y.n - 1) * y.v) / (x.n + y.n - 2) * (1.0 / x.n + 1.0 / y.n)) as t,
+               cast(x.n + y.n - 2 as double) as dof
+        from pairs join g x on x.make = a join g y on y.make = b),
+    points as (select *, unnest(generate_series(0, 4000)) as i from tests),
+    area as (
+        select a, b, t, dof, sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end
+            * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2) - ln(dof * pi()) / 2 - (dof + 1) / 2 * ln(1 + pow(abs(t) * i / 4000, 2) / dof)))
+            * abs(t) / 4000 / 3 as half
+        from points group by a, b, t, dof)
+    select a, b, round(t, 6) as t, dof, round(1 - 2 * half, 7) as p from area"""
+
+
+@query("a7_t_test_p", T_TEST_P)
 def t_test_p(spark, sf_dir):
-    """With the p-value, which has no SQL counterpart."""
     pairs = [("Brand#4", "Brand#1"), ("Brand#3", "Brand#4"), ("Brand#3", "Brand#1")]
-    return A.with_p_values(A.ttest_pairs(listings(spark, sf_dir), "price", "make", pairs))
+    tests = A.with_p_values(A.ttest_pairs(listings(spark, sf_dir), "price", "make", pairs))
+    return rounded(rounded(tests, "t", digits=6), "p", digits=7)
 
 
 @query("a8_t_test_all_pairs", f"{GROUPS} {T_TEST} x.make < y.make where x.make in ({IN_TOP}) and y.make in ({IN_TOP})")
@@ -324,3 +339,24 @@ def sort_by_weight(spark, sf_dir):
 )
 def top_cities(spark, sf_dir):
     return A.value_counts(listings(spark, sf_dir), "city", 5)
+
+
+def _normal_sample(segment: str, n: int) -> None:
+    """As many draws as asked for, from the mean and deviation of a segment; n is that of the two published charts."""
+    makes = ", ".join(f"'{m}'" for m in SEGMENTS[segment])
+
+    @query(
+        f"a12_{n}_draws_of_{segment}",
+        f"""{LISTINGS}, m as (select avg(price) as mu, stddev_samp(price) as sd from listings where make in ({makes})),
+        i as (select unnest(range({n})) as draw_id),
+        u as (select draw_id, (cast(('0x' || substr(md5(concat(draw_id, ':10')), 1, 8)) as bigint) + 0.5::double) / 4294967296 as u1,
+                     (cast(('0x' || substr(md5(concat(draw_id, ':10')), 9, 8)) as bigint) + 0.5::double) / 4294967296 as u2 from i)
+        select draw_id, round(mu + sd * (sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)), 4) as draw from u, m""",
+    )
+    def draws(spark, sf_dir):
+        rows = C.one_of(listings(spark, sf_dir), "make", SEGMENTS[segment])
+        return rounded(A.normal_sample(rows, "price", n), "draw")
+
+
+_normal_sample("common", 889)
+_normal_sample("lux", 786)

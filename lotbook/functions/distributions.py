@@ -1,4 +1,4 @@
-"""Normal density and pooled t as column expressions; p-value of Student's t as plain arithmetic."""
+"""Normal density, pooled t and the p-value of Student's t as column expressions; the p-value also as plain arithmetic."""
 
 from __future__ import annotations
 
@@ -58,3 +58,76 @@ def _regularised_beta(x: float, y: float, a: float, b: float, steps: int | None
 def pooled_t(n_a: Column, mean_a: Column, var_a: Column, n_b: Column, mean_b: Column, var_b: Column) -> Column:
     pooled = ((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2)
     return (mean_a - mean_b) / F.sqrt(pooled * (F.lit(1.0) / n_a + F.lit(1.0) / n_b))
+
+
+# --- the p-value as a column --------------------------------------------------------------------------
+
+SHIFT = 16  # steps up to where the series for the gamma function holds
+CLOSE = 1e-15  # change of the fraction by one more term at which it has converged
+TINY = 1e-300
+
+
+def _or_tiny(x: Column) -> Column:
+    return F.when(x == 0, TINY).otherwise(x)
+
+
+def _log_half_step_column(a: Column) -> Column:
+    """As ``_log_half_step``."""
+
+    def rest(w: Column) -> Column:
+        return 1 / (12 * w) - 1 / (360 * w * w * w) + 1 / (1260 * w * w * w * w * w)
+
+    z = a + SHIFT
+    ahead = z * F.log1p(0.5 / z) + 0.5 * F.ln(z) - 0.5 + rest(z + 0.5) - rest(z)
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(SHIFT - 1)), F.lit(0.0), lambda total, j: total + F.log1p(0.5 / (a + j)))
+    return ahead - steps
+
+
+def _fraction(x: Column, a: Column, b: Column) -> Column:
+    """The continued fraction of the incomplete beta function at x, as an aggregate over its terms.
+
+    Two terms a step. How many it takes grows with the root of the larger parameter; a fraction that has converged stays as it
+    is, and one that has not after all steps stops the query.
+    """
+    steps = F.lit(1_000) + (20 * F.sqrt(F.greatest(a, b))).cast("bigint")
+    first = 1 / _or_tiny(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("numer"), first.alias("denom"), first.alias("total"), F.lit(1.0).alias("change"))
+
+    def term(state: Column, coefficient: Column) -> Column:
+        denom = 1 / _or_tiny(1 + coefficient * state["denom"])
+        numer = _or_tiny(1 + coefficient / state["numer"])
+        return F.struct(numer.alias("numer"), denom.alias("denom"), (state["total"] * numer * denom).alias("total"),
+                        F.abs(numer * denom - 1).alias("change"))
+
+    def once(state: Column, coefficient: Column) -> Column:
+        """``term``, with the state worked out once although the new one names it often."""
+        return F.transform(F.array(state), lambda s: term(s, coefficient))[0]
+
+    def step(state: Column, m: Column) -> Column:
+        m = m.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.when(state["change"] < CLOSE, state).otherwise(once(once(state, even), odd))
+
+    done = F.aggregate(F.sequence(F.lit(1).cast("bigint"), steps), start, step)
+    failed = F.raise_error(F.concat(F.lit("the p-value has not converged for x = "), x.cast("string"))).cast("double")
+    return F.when(done["change"] < CLOSE, done["total"]).otherwise(failed)
+
+
+def two_sided_p_column(t: Column, dof: Column) -> Column:
+    """P(|T| >= |t|) for Student's t, as ``two_sided_p`` gives it; null where t or the degrees of freedom are, or are no numbers."""
+    t, dof = t.cast("double"), dof.cast("double")
+    x, y = dof / (dof + t * t), t * t / (dof + t * t)
+    a, half = dof / 2, F.lit(0.5)
+    log_x = F.when(y < 0.5, F.log1p(-y)).otherwise(F.ln(x))
+    log_y = F.when(x < 0.5, F.log1p(-x)).otherwise(F.ln(y))
+    front = F.exp(_log_half_step_column(a) - 0.5 * math.log(math.pi) + a * log_x + half * log_y)
+    # the fraction converges fast on one side of the mean of the beta distribution, so the other side is the complement
+    swapped = x > (a + 1) / (a + half + 2)
+    # one fraction, as both arms of a condition would be worked out
+    fraction = _fraction(F.when(swapped, y).otherwise(x), F.when(swapped, half).otherwise(a), F.when(swapped, a).otherwise(half))
+    share = front * fraction / F.when(swapped, half).otherwise(a)
+    infinite = F.abs(t) == float("inf")
+    known = t.isNotNull() & ~F.isnan(t) & ~infinite & (dof > 0) & ~F.isnan(dof)
+    p = F.when(t == 0, 1.0).when(x == 0, 0.0).when(y == 0, 1.0).when(swapped, 1 - share).otherwise(share)
+    return F.when(infinite & (dof > 0), 0.0).when(known, p)

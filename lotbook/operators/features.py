@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import (
     Bucketizer,
     MinMaxScaler,
     OneHotEncoder,
     StringIndexer,
+    TargetEncoder,
     VectorAssembler,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotbook.operators.clean import columns_of_type
 from lotbook.operators.quantiles import exact_quantiles
 from lotbook.operators.stats import min_max
+from lotbook.session import staged
 
 # Every text value becomes a label that the driver holds; more than this is no category but free text.
 MAX_VALUES = 200_000
@@ -29,6 +31,10 @@ MISSING = "nan"
 
 # Endings of intermediate columns, and the name Spark gives to the slot of missing values.
 INDEX, CODED, UNKNOWN = "__index", "__coded", "__unknown"
+MEAN = "__mean"
+
+# Target statistics: parts the train rows are dealt into, and how many rows of the overall mean each value starts with.
+FOLDS, SMOOTHING = 5, 10.0
 
 
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None, max_columns: int = MAX_DUMMIES) -> DataFrame:
@@ -107,11 +113,63 @@ def feature_stages(
     return stages
 
 
+def tree_features(train: DataFrame, label: str, ignore: Sequence[str] = (), max_bins: int = 64,
+                  fold: Column | None = None, folds: int = FOLDS) -> tuple[PipelineModel, DataFrame]:
+    """Feature stages for trees, fitted on ``train``, and ``train`` with its ``features``.
+
+    Text columns of fewer values than bins are categories. A tree would need a bin for every value of a wider one, in
+    every statistic it sends around, so those become a number: the mean label of the value, drawn towards the mean of all by
+    ``SMOOTHING`` rows. New rows get the means over all train rows (the overall one for unseen values); a train row gets means over the
+    other parts of the train rows, so that its own label is not among its features. ``fold`` says what part a row is in;
+    by default its content does.
+    """
+    stages = feature_stages(train, label, ignore, "index")
+    indexers = [s for s in stages if isinstance(s, StringIndexer)]
+    fitted: list[Transformer] = [s.fit(train) for s in indexers]
+    indexed = fitted[0].transform(train) if fitted else train
+    text = fitted[0].getInputCols() if fitted else []
+    wide = [c for c, labels in zip(text, fitted[0].labelsArray if fitted else []) if len(labels) + 1 > max_bins]
+    inputs = [c for c in stages[-1].getInputCols() if c.removesuffix(INDEX) not in wide or not c.endswith(INDEX)]
+    assembler = VectorAssembler(inputCols=[*inputs, *[f"{c}{MEAN}" for c in wide]], outputCol="features", handleInvalid="error")
+    if wide:
+        encoder = TargetEncoder(
+            inputCols=[f"{c}{INDEX}" for c in wide], outputCols=[f"{c}{MEAN}" for c in wide], labelCol=label,
+            targetType="continuous", smoothing=SMOOTHING, handleInvalid="keep",
+        )
+        fitted.append(encoder.fit(indexed))
+        fold = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in train.columns]), F.lit(folds)) if fold is None else fold
+        indexed = out_of_fold_means(indexed, wide, label, fold)
+    return PipelineModel([*fitted, assembler]), assembler.transform(indexed)
+
+
+def out_of_fold_means(indexed: DataFrame, columns: Sequence[str], label: str, fold: Column) -> DataFrame:
+    """Adds for each indexed column the mean label of its value over the rows of the other folds.
+
+    One pass gives sums for each column, value and fold, a table that does not grow with the rows. It is written, so that its size is
+    known where it is joined back.
+    """
+    marked = indexed.withColumn("_fold", fold)
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}{INDEX}").alias("value")) for c in columns])
+    long = marked.select(F.inline(values), "_fold", F.col(label).cast("double").alias("_y"))
+    parts = staged(long.groupBy("column", "value", "_fold").agg(F.sum("_y").alias("s"), F.count("_y").alias("n")), "target-sums")
+    overall = parts.where(F.col("column") == columns[0]).agg((F.sum("s") / F.sum("n")).alias("m")).first()["m"]
+    totals = parts.groupBy("column", "value").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    rows = F.col("all_n") - F.col("n") + SMOOTHING
+    means = parts.join(totals, ["column", "value"]).select(
+        "column", "value", "_fold", ((F.col("all_s") - F.col("s") + SMOOTHING * F.lit(overall)) / rows).alias("mean")
+    )
+    means = staged(means, "target-means")
+    for c in columns:
+        own = means.where(F.col("column") == c).select(F.col("value").alias(f"{c}{INDEX}"), "_fold", F.col("mean").alias(f"{c}{MEAN}"))
+        marked = marked.join(own, [f"{c}{INDEX}", "_fold"], "left")
+    return marked.drop("_fold")
+
+
 def feature_names(df: DataFrame, column: str = "features") -> list[str]:
     """Names of the slots of an assembled vector, as column or column_value."""
     attributes = df.schema[column].metadata["ml_attr"]["attrs"]
     slots = sorted((a["idx"], a["name"]) for kind in attributes.values() for a in kind)
-    names = [name.removesuffix(INDEX).replace(f"{CODED}_", "_", 1) for _, name in slots]
+    names = [name.removesuffix(INDEX).removesuffix(MEAN).replace(f"{CODED}_", "_", 1) for _, name in slots]
     return [n.removesuffix(UNKNOWN) + MISSING if n.endswith(f"_{UNKNOWN}") else n for n in names]
 
 

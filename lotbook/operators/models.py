@@ -7,17 +7,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.operators.features import feature_names, feature_stages, source_column
+from lotbook.operators.features import feature_names, feature_stages, source_column, tree_features
 from lotbook.operators.sampling import sort_by_weight, with_fold
 from lotbook.session import shared_dir, staged
 
@@ -117,17 +117,24 @@ def fit_boosting(train: DataFrame, label: str = "price", ignore: Sequence[str] =
 
 def _fit_trees(train: DataFrame, trees: Estimator, label: str, ignore: Sequence[str], encoding: str,
                max_bins: int) -> PipelineModel:
-    """Feature stages, then trees with a bin for every category that was found."""
-    shared_dir(train.sparkSession)  # boosting writes checkpoints
-    features = Pipeline(stages=feature_stages(train, label, ignore, encoding)).fit(train)
-    trees.setMaxBins(max(max_bins, _widest(features)))
-    return PipelineModel([*features.stages, trees.fit(features.transform(train))])
-
+    """Feature stages, then trees. The bins are as many as asked for, however wide the text columns are.
 
-def _widest(features: PipelineModel) -> int:
-    """Categories of the text column with the most values, missing ones included."""
-    indexers = [s for s in features.stages if isinstance(s, StringIndexerModel)]
-    return max((len(labels) + 1 for s in indexers for labels in s.labelsArray), default=2)
+    Rows remember the node they are in, instead of walking down the trees again for every level.
+    """
+    shared_dir(train.sparkSession)  # boosting and the remembered nodes write checkpoints
+    trees.setMaxBins(max_bins)
+    trees.setCacheNodeIds(True)
+    trees.setCheckpointInterval(10)
+    features, ready = _tree_input(train, label, ignore, encoding, max_bins)
+    return PipelineModel([*features.stages, trees.fit(ready)])
+
+
+def _tree_input(train: DataFrame, label: str, ignore: Sequence[str], encoding: str, max_bins: int,
+                fold: Column | None = None) -> tuple[PipelineModel, DataFrame]:
+    if encoding == "index":
+        return tree_features(train, label, ignore, max_bins, fold)
+    features = Pipeline(stages=feature_stages(train, label, ignore, encoding)).fit(train)
+    return features, features.transform(train)
 
 
 def fit_band_tree(train: DataFrame, bands: str = "band", ignore: Sequence[str] = ("price",), depth: int = 10,
@@ -149,46 +156,111 @@ def fit_band_net(train: DataFrame, n_bands: int, bands: str = "band", ignore: Se
     return PipelineModel([*features.stages, net.fit(ready)])
 
 
-def grid_search(train: DataFrame, key: str, label: str = "price", ignore: Sequence[str] = (),
-                grid: Mapping[str, Sequence] | None = None, model: Estimator | None = None, folds: int = 5,
-                encoding: str = "index", metric: str = "r2", parallelism: int = 2,
-                max_bins: int = 64, depth: int = 10) -> tuple[DataFrame, dict, PipelineModel]:
-    """Cross-validated score of every parameter set (mean and std over folds), the best set, and the model fitted with it
-    on all rows, feature stages included.
+@dataclass
+class Grid:
+    """Parameter sets by fold: ``scores`` has a row (set, fold, n_rows, score) for each; ``rows``: label, features, fold."""
+
+    features: PipelineModel
+    rows: DataFrame
+    model: Estimator
+    sets: list[dict]
+    names: list[str]
+    scores: list[tuple[int, int, int, float]]
+
+    def named(self, i: int) -> dict:
+        return {n: self.sets[i][self.model.getParam(n)] for n in self.names}
 
-    Folds follow from the row key, so they do not change with the layout of the data. By default a
-    random forest over all features is searched for its number of trees.
+
+def cross_validate(train: DataFrame, key: str, label: str = "price", ignore: Sequence[str] = (),
+                   grid: Mapping[str, Sequence] | None = None, model: Estimator | None = None, folds: int = 5,
+                   encoding: str = "index", metric: str = "r2", parallelism: int = 2,
+                   max_bins: int = 64, depth: int = 10) -> Grid:
+    """Fit every parameter set on the other folds, and score all sets of a fold together.
+
+    The rows of a fold get the predictions of all its models side by side, and one aggregate gives all their scores, so the
+    number of passes for scoring does not depend on the number of sets. Folds follow from the row key; target statistics of wide
+    text columns use the same folds.
     """
     shared_dir(train.sparkSession)
+    folded = with_fold(train, folds, key, name="_part")
     # encoders need no label, so they are fitted once, not for every fold and set
-    features = Pipeline(stages=feature_stages(train, label, [key, *ignore], encoding)).fit(train)
+    features, ready = _tree_input(folded, label, [key, "_part", *ignore], encoding, max_bins, F.col("_part"))
     if model is None:
         model = RandomForestRegressor(labelCol=label, featureSubsetStrategy="all", seed=SEED, maxDepth=_depth(depth))
     if model.hasParam("maxBins"):
-        model = model.copy({model.getParam("maxBins"): max(max_bins, _widest(features))})
+        model = model.copy({model.getParam("maxBins"): max_bins})
     grid = grid or {"numTrees": [200, 500]}
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(name), list(values))
     sets = builder.build()
-    folded = staged(with_fold(features.transform(train), folds, key).select(label, "features", "fold"), "folds")
-    search = CrossValidator(
-        estimator=model, estimatorParamMaps=sets,
-        evaluator=RegressionEvaluator(labelCol=label, metricName=metric),
-        numFolds=folds, foldCol="fold", parallelism=parallelism,
-    )
-    fitted = search.fit(folded)
-    scores = [
-        (*[str(s[model.getParam(n)]) for n in grid], float(mean), float(std))
-        for s, mean, std in zip(sets, fitted.avgMetrics, fitted.stdMetrics)
+    rows = staged(ready.select(label, "features", F.col("_part").alias("fold")), "folds")
+    scores = []
+    for fold in range(folds):
+        fitted: list = [None] * len(sets)
+        # taken up by threads of one pool, as many fits at a time as asked for
+        tasks = model.fitMultiple(rows.where(F.col("fold") != fold), sets)
+        with ThreadPool(min(parallelism, len(sets))) as pool:
+            for i, one in pool.imap_unordered(lambda _: next(tasks), range(len(sets))):
+                fitted[i] = one
+        scores += [(i, fold, n, s) for i, (n, s) in enumerate(_scores(fitted, rows.where(F.col("fold") == fold), label, metric))]
+    return Grid(features, rows, model, sets, list(grid), scores)
+
+
+def _scores(fitted: Sequence[Model], rows: DataFrame, label: str, metric: str) -> list[tuple[int, float]]:
+    """Rows and score of each model, from one aggregate over predictions that stand side by side."""
+    for i, model in enumerate(fitted):
+        model = model.copy({model.getParam("predictionCol"): f"_p{i}"})
+        for more in ("rawPredictionCol", "probabilityCol"):  # of class models; not needed
+            if model.hasParam(more):
+                model.set(model.getParam(more), "")
+        rows = model.transform(rows)
+    y = F.col(label).cast("double")
+    errors = [y - F.col(f"_p{i}") for i in range(len(fitted))]
+    sums = rows.agg(
+        F.count(y).alias("n"), F.var_pop(y).alias("v"),
+        *[F.avg(e * e).alias(f"mse{i}") for i, e in enumerate(errors)],
+        *[F.avg(F.abs(e)).alias(f"mae{i}") for i, e in enumerate(errors)],
+    ).first()
+    found = []
+    for i in range(len(fitted)):
+        mse, mae = sums[f"mse{i}"], sums[f"mae{i}"]
+        if mse is None:
+            raise ValueError("a fold without rows: fewer folds, or more rows")
+        r2 = 1 - mse / sums["v"] if sums["v"] else math.nan
+        found.append((sums["n"], {"mse": mse, "rmse": math.sqrt(mse), "mae": mae, "r2": r2}[metric]))
+    return found
+
+
+def grid_search(train: DataFrame, key: str, label: str = "price", ignore: Sequence[str] = (),
+                grid: Mapping[str, Sequence] | None = None, model: Estimator | None = None, folds: int = 5,
+                encoding: str = "index", metric: str = "r2", parallelism: int = 2,
+                max_bins: int = 64, depth: int = 10) -> tuple[DataFrame, dict, PipelineModel]:
+    """Cross-validated score of every parameter set (mean and std over folds), the best set, and the model fitted with it
+    on all rows, feature stages included.
+
+    By default a random forest over all features is searched for its number of trees.
+    """
+    found = cross_validate(train, key, label, ignore, grid, model, folds, encoding, metric, parallelism, max_bins, depth)
+    by_set = [[s for i, _, _, s in found.scores if i == n] for n in range(len(found.sets))]
+    means = [sum(scores) / len(scores) for scores in by_set]
+    rows = [
+        (*[str(v) for v in found.named(i).values()], mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)))
+        for i, (scores, mean) in enumerate(zip(by_set, means))
     ]
-    table = train.sparkSession.createDataFrame(
-        scores, ", ".join([*[f"`{n}` string" for n in grid], "mean double", "std double"])
-    )
+    table = train.sparkSession.createDataFrame(rows, ", ".join([*[f"`{n}` string" for n in found.names], "mean double", "std double"]))
     pick = max if metric == "r2" else min
-    best = pick(range(len(scores)), key=lambda i: scores[i][-2])
-    winner = PipelineModel([*features.stages, fitted.bestModel])
-    return table, {n: sets[best][model.getParam(n)] for n in grid}, winner
+    best = pick(range(len(means)), key=lambda i: means[i])
+    winner = PipelineModel([*found.features.stages, found.model.copy(found.sets[best]).fit(found.rows)])
+    return table, found.named(best), winner
+
+
+def fold_scores(train: DataFrame, key: str, **settings) -> DataFrame:
+    """The parameters of each set, fold, n_rows, score: what ``grid_search`` averages. ``settings`` as there."""
+    found = cross_validate(train, key, **settings)
+    rows = [(*[str(v) for v in found.named(i).values()], fold, n, float(score)) for i, fold, n, score in found.scores]
+    names = ", ".join([*[f"`{n}` string" for n in found.names], "fold int", "n_rows bigint", "score double"])
+    return train.sparkSession.createDataFrame(rows, names)
 
 
 def importances(model: PipelineModel, train: DataFrame, per_column: bool = False) -> DataFrame:

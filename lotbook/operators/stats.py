@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.functions.distributions import normal_pdf, pooled_t, two_sided_p
+from lotbook.functions.distributions import normal_pdf, pooled_t, two_sided_p_column
 from lotbook.functions.hashing import digest, standard_normal
 from lotbook.operators.clean import drop_incomplete
 from lotbook.operators.quantiles import quantiles_and_aggregates
@@ -110,11 +110,8 @@ def ttest_pairs(
 
 
 def with_p_values(tests: DataFrame) -> DataFrame:
-    """Adds the two-sided p-value. Spark has no t distribution, so the few result rows (one per named
-    pair) are completed on the driver."""
-    rows = [(r["a"], r["b"], r["t"], r["dof"]) for r in tests.collect()]
-    done = [(*row, two_sided_p(row[2], row[3]) if row[2] is not None else None) for row in rows]
-    return tests.sparkSession.createDataFrame(done, "a string, b string, t double, dof double, p double")
+    """Adds the two-sided p-value, as a column: the continued fraction of Student's t is an aggregate over its terms."""
+    return tests.withColumn("p", two_sided_p_column(F.col("t"), F.col("dof")))
 
 
 def ttest_ind(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
@@ -212,6 +209,19 @@ def normal_draws(df: DataFrame, value: str, key: str, seed: int = 10) -> DataFra
     return drawn.select(key, (F.col("_s.mean") + F.col("_s.std") * standard_normal(F.col("_h"))).alias("draw"))
 
 
+def normal_sample(df: DataFrame, value: str, n: int, seed: int = 10) -> DataFrame:
+    """draw_id (0 to n-1), draw: ``n`` draws from the normal distribution with the mean and std of all rows, however many rows
+    there are.
+
+    A draw follows from its number and the seed, so a retried task draws the same; the numbers are made where they are
+    used.
+    """
+    spread = df.agg(F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")).alias("_s")).scalar()
+    numbers = df.sparkSession.range(n).withColumnRenamed("id", "draw_id")
+    drawn = numbers.select("draw_id", digest("draw_id", seed).alias("_h")).withColumn("_s", spread)
+    return drawn.select("draw_id", (F.col("_s.mean") + F.col("_s.std") * standard_normal(F.col("_h"))).alias("draw"))
+
+
 def scatter_bins(df: DataFrame, group: str, value: str, n: int, groups: Sequence[str] | None = None) -> DataFrame:
     """group, bin, n_rows: how many points a scatter of value by group would have in each value bin."""
     if groups is not None:
