@@ -81,7 +81,7 @@ def main() -> None:
         "describe_by_make": lambda: run(A.describe(listings, ["price", "mileage"], by=["make"])),
         "median": lambda: run(exact_median(listings, "price")),
         "histogram": lambda: run(A.histogram(listings, "price", 500, "make", makes)),
-        "t_tests": lambda: A.with_p_values(A.ttest_pairs(listings, "price", "make", groups=makes)),
+        "t_tests": lambda: run(A.with_p_values(A.ttest_pairs(listings, "price", "make", groups=makes))),
         "sample": lambda: run(sample_n(listings, 100_000, KEY)),
         "split_exact": lambda: [run(part) for part in split(listings, 0.1, KEY, exact=True)],
         "row_id": lambda: run(with_row_id(listings, KEY)),

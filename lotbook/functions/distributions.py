@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,40 +95,49 @@ def _fraction(x: Column, a: Column, b: Column) -> Column:
     start = F.struct(F.lit(1.0).alias("numer"), first.alias("denom"), first.alias("total"), F.lit(1.0).alias("change"))
 
     def term(state: Column, coefficient: Column) -> Column:
-        denom = 1 / _or_tiny(1 + coefficient * state["denom"])
-        numer = _or_tiny(1 + coefficient / state["numer"])
-        return F.struct(numer.alias("numer"), denom.alias("denom"), (state["total"] * numer * denom).alias("total"),
-                        F.abs(numer * denom - 1).alias("change"))
-
-    def once(state: Column, coefficient: Column) -> Column:
-        """``term``, with the state worked out once although the new one names it often."""
-        return F.transform(F.array(state), lambda s: term(s, coefficient))[0]
+        parts = F.struct(_or_tiny(1 + coefficient / state["numer"]).alias("n"), (1 / _or_tiny(1 + coefficient * state["denom"])).alias("d"))
+        return _let(parts, lambda p: F.struct(
+            p["n"].alias("numer"), p["d"].alias("denom"), (state["total"] * p["n"] * p["d"]).alias("total"),
+            F.abs(p["n"] * p["d"] - 1).alias("change")))
 
     def step(state: Column, m: Column) -> Column:
         m = m.cast("double")
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return F.when(state["change"] < CLOSE, state).otherwise(once(once(state, even), odd))
+        return F.when(state["change"] < CLOSE, state).otherwise(_let(term(state, even), lambda s: term(s, odd)))
 
     done = F.aggregate(F.sequence(F.lit(1).cast("bigint"), steps), start, step)
     failed = F.raise_error(F.concat(F.lit("the p-value has not converged for x = "), x.cast("string"))).cast("double")
-    return F.when(done["change"] < CLOSE, done["total"]).otherwise(failed)
+    return _let(done, lambda d: F.when(d["change"] < CLOSE, d["total"]).otherwise(failed))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def two_sided_p_column(t: Column, dof: Column) -> Column:
     """P(|T| >= |t|) for Student's t, as ``two_sided_p`` gives it; null where t or the degrees of freedom are, or are no numbers."""
+
+    def parameters(v: Column) -> Column:
+        x, y, a, half = v["dof"] / (v["dof"] + v["t"] * v["t"]), v["t"] * v["t"] / (v["dof"] + v["t"] * v["t"]), v["dof"] / 2, F.lit(0.5)
+        # the fraction converges fast on one side of the mean of the beta distribution, so the other side is the complement
+        return F.struct(x.alias("x"), y.alias("y"), a.alias("a"), (x > (a + 1) / (a + half + 2)).alias("swapped"))
+
+    def share(v: Column) -> Column:
+        x, y, a, half = v["x"], v["y"], v["a"], F.lit(0.5)
+        log_x = F.when(y < 0.5, F.log1p(-y)).otherwise(F.ln(x))
+        log_y = F.when(x < 0.5, F.log1p(-x)).otherwise(F.ln(y))
+        front = F.exp(_log_half_step_column(a) - 0.5 * math.log(math.pi) + a * log_x + half * log_y)
+        swapped = v["swapped"]
+        # one fraction, as both arms of a condition would be worked out
+        sides = F.struct(F.when(swapped, y).otherwise(x).alias("x"), F.when(swapped, half).otherwise(a).alias("a"),
+                         F.when(swapped, a).otherwise(half).alias("b"))
+        part = front * _let(sides, lambda s: _fraction(s["x"], s["a"], s["b"]) / s["a"])
+        return F.when(x == 0, 0.0).when(y == 0, 1.0).when(swapped, 1 - part).otherwise(part)
+
     t, dof = t.cast("double"), dof.cast("double")
-    x, y = dof / (dof + t * t), t * t / (dof + t * t)
-    a, half = dof / 2, F.lit(0.5)
-    log_x = F.when(y < 0.5, F.log1p(-y)).otherwise(F.ln(x))
-    log_y = F.when(x < 0.5, F.log1p(-x)).otherwise(F.ln(y))
-    front = F.exp(_log_half_step_column(a) - 0.5 * math.log(math.pi) + a * log_x + half * log_y)
-    # the fraction converges fast on one side of the mean of the beta distribution, so the other side is the complement
-    swapped = x > (a + 1) / (a + half + 2)
-    # one fraction, as both arms of a condition would be worked out
-    fraction = _fraction(F.when(swapped, y).otherwise(x), F.when(swapped, half).otherwise(a), F.when(swapped, a).otherwise(half))
-    share = front * fraction / F.when(swapped, half).otherwise(a)
     infinite = F.abs(t) == float("inf")
     known = t.isNotNull() & ~F.isnan(t) & ~infinite & (dof > 0) & ~F.isnan(dof)
-    p = F.when(t == 0, 1.0).when(x == 0, 0.0).when(y == 0, 1.0).when(swapped, 1 - share).otherwise(share)
-    return F.when(infinite & (dof > 0), 0.0).when(known, p)
+    p = _let(_let(F.struct(t.alias("t"), dof.alias("dof")), parameters), share)
+    return F.when(infinite & (dof > 0), 0.0).when(known & (t == 0), 1.0).when(known, p)

@@ -112,21 +112,22 @@ def fit_boosting(train: DataFrame, label: str = "price", ignore: Sequence[str] =
         labelCol=label, maxIter=rounds, maxDepth=_depth(depth), stepSize=rate, lossType="squared", seed=seed,
         maxMemoryInMB=1024, checkpointInterval=10,
     )
-    return _fit_trees(train, boosting, label, ignore, encoding, max_bins)
+    return _fit_trees(train, boosting, label, ignore, encoding, max_bins, remember=False)
 
 
 def _fit_trees(train: DataFrame, trees: Estimator, label: str, ignore: Sequence[str], encoding: str,
-               max_bins: int) -> PipelineModel:
+               max_bins: int, remember: bool = True) -> PipelineModel:
     """Feature stages, then trees. The bins are as many as asked for, however wide the text columns are.
 
-    Rows remember the node they are in, instead of walking down the trees again for every level.
+    The features are written once, as every level of a tree reads them. ``remember``: rows keep the node they are in, instead of
+    walking down again for every level, which pays for deep trees only.
     """
     shared_dir(train.sparkSession)  # boosting and the remembered nodes write checkpoints
     trees.setMaxBins(max_bins)
-    trees.setCacheNodeIds(True)
+    trees.setCacheNodeIds(remember)
     trees.setCheckpointInterval(10)
     features, ready = _tree_input(train, label, ignore, encoding, max_bins)
-    return PipelineModel([*features.stages, trees.fit(ready)])
+    return PipelineModel([*features.stages, trees.fit(staged(ready.select(label, "features"), "tree-input"))])
 
 
 def _tree_input(train: DataFrame, label: str, ignore: Sequence[str], encoding: str, max_bins: int,

@@ -66,10 +66,10 @@ def _digest_at(digests: DataFrame, n: int, total: int) -> str:
         times *= 4
     place = n - below
     inside = counted.where("h is not null")
-    if rows - below == inside.count():  # no digest twice: its place is its number
-        return with_row_id(inside.select("h"), "h", "_place").where(F.col("_place") == place - 1).first()["h"]
-    numbered = with_row_id(inside, "h", "_place")
-    return _at_weight(numbered, place)
+    if rows - below > inside.count():  # a repeated key
+        return _at_weight(with_row_id(inside, "h", "_place"), place)
+    # as many rows as the bracket has, some root(n), in one task
+    return inside.orderBy("h").limit(place).agg(F.max("h")).first()[0]
 
 
 def _at_weight(numbered: DataFrame, place: int) -> str:
@@ -111,12 +111,13 @@ def _digest_at_end(kept: DataFrame, n: int, found: int, last: str) -> str:
     """The n-th digest among rows of which at most a few more than n are there: only the last ones are ordered."""
     share = Fraction(int(last, 16) + 1, 16**DIGITS) * Fraction(max(n - _margin(n, 1), 0), found)
     tail = kept.where(F.col("_digest") >= share_limit(share)).select(F.col("_digest").alias("h"))
-    above = found - n  # rows that have to go
-    tail = staged(tail, "tail")
-    rows = tail.count()
-    if rows <= above:
-        tail, rows = kept.select(F.col("_digest").alias("h")), found
-    return with_row_id(tail, "h", "_place").where(F.col("_place") == rows - above - 1).first()["h"]
+    ends = kept.select(F.col("_digest").alias("h"))
+    # one more than have to go: some root(n) rows, in one task; behind this bound unless chance has it otherwise
+    last_ones = ends.where(F.col("h") >= share_limit(share)).orderBy(F.desc("h")).limit(found - n + 1)
+    cut, rows = last_ones.agg(F.min("h"), F.count("*")).first()
+    if rows <= found - n:
+        cut = ends.orderBy(F.desc("h")).limit(found - n + 1).agg(F.min("h")).first()[0]
+    return cut
 
 
 def split(df: DataFrame, test_size: float, key: str, seed: int = 10, exact: bool = False) -> tuple[DataFrame, DataFrame]:
