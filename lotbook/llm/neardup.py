@@ -11,7 +11,7 @@ threshold are confirmed on the full sets, as text.
 Components need no list of all pairs. A round takes one class of each posting list as its head, compares the others
 with it, and merges what is linked; lists within one component are finished. The first head is the class whose pairs are the
 most frequent, the text that copies are likely to come from; later ones are the most frequent outside the largest
-component of the list. After ``ROUNDS`` rounds the classes outside it (stragglers) must still be compared with all others,
+component of the list. After ``ROUNDS`` rounds, or one that links next to nothing, the classes outside it (stragglers) must still be compared with all others,
 so that no link is lost. Where they are at most ``FEW`` this is done at once, a fixed number of pairs for each entry of the list.
 In other lists all are measured against one frequent text p: two sets a, b that share nothing outside p share at most
 min(|a & p|, |b & p|) shingles, so only those pairs are compared whose sizes allow a link under this bound, and those
@@ -44,6 +44,7 @@ COORDS, MATCHES = 64, 32
 OTHER = f"root <> root_a and {LIMIT[1]} * least(n, n_a) >= {LIMIT[0]} * greatest(n, n_a)"
 ONCE = "not straggler or class_a < class"  # two stragglers meet from either side
 ROUNDS = 3
+WORTH = 0.01  # share of its pairs that a round must link for another one to follow
 FEW = 8
 WORDS_KEPT = 200_000  # hashed words that a task remembers before it starts anew
 CHUNK = 4096  # shingles hashed at a time
@@ -182,27 +183,41 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """head, class, both (shingles shared with the head), rest: hashes of the others, as many as a link needs.
+    """head, class, both (shingles shared with the head), rest: hashes of the others, need: how many of them a link takes at least.
 
-    A linked set shares at least 3/4 of n shingles with this one, so ``need`` of them or more outside the head; in
-    one order of all shingles, two such sets share one among their first len - need + 1.
+    A linked set shares at least 3/4 of n shingles with this one, so ``need`` of them or more outside the head.
     """
     import xxhash
 
     head, known = None, set()
     for batch in batches:
-        both, rest = [], []
+        both, rest, needs = [], [], []
         for p, text_p, text in zip(batch.column("head").to_pylist(), batch.column("text_head"), batch.column("text")):
             if p != head:
                 head, known = p, shingles(text_p.as_py())
             mine = shingles(text.as_py())
             other = mine - known
             both.append(len(mine) - len(other))
-            need = max(1, -(-LIMIT[0] * len(mine) // LIMIT[1]) - both[-1])
-            order = sorted(xxhash.xxh3_64_intdigest(s) - 2**63 for s in other)
-            rest.append(order[: max(0, len(order) - need + 1)])
-        columns = [batch.column("head"), batch.column("class"), pa.array(both, type=pa.int64()), pa.array(rest, type=pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["head", "class", "both", "rest"])
+            needs.append(max(1, -(-LIMIT[0] * len(mine) // LIMIT[1]) - both[-1]))
+            rest.append([xxhash.xxh3_64_intdigest(s) - 2**63 for s in other] if len(other) >= needs[-1] else [])
+        columns = [batch.column("head"), batch.column("class"), pa.array(both, type=pa.int64()), pa.array(needs, type=pa.int64()),
+                   pa.array(rest, type=pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["head", "class", "both", "need", "rest"])
+
+
+def _prefixes(measured: DataFrame) -> DataFrame:
+    """head, class, at, s: the rarest len - need + 1 shingles outside the head of each class, rarest first.
+
+    In one order of all shingles, two linked sets share one of these. Where a passage is common among the classes of a head, its
+    shingles come last, so that it brings together few of them.
+    """
+    every = measured.select("head", "class", F.explode("rest").alias("s"))
+    times = every.groupBy("head", "s").agg(F.count("*").alias("times"))
+    order = F.sort_array(F.collect_list(F.struct("times", "s")))
+    ordered = every.join(times, ["head", "s"]).groupBy("head", "class").agg(order.alias("order"))
+    needed = ordered.join(measured.select("head", "class", "need"), ["head", "class"])
+    first = F.slice("order", F.lit(1), F.greatest(F.size("order") - F.col("need").cast("int") + 1, F.lit(0)))
+    return needed.select("head", "class", F.posexplode(first).alias("at", "o")).select("head", "class", "at", "o.s")
 
 
 def _remaining(marked: DataFrame, texts: DataFrame) -> DataFrame:
@@ -225,13 +240,17 @@ def _remaining(marked: DataFrame, texts: DataFrame) -> DataFrame:
     spokes = staged(spokes, "spokes")
     words = texts.select("class", "text")
     wide = spokes.select("head", "class").join(words, "class").join(words.select(F.col("class").alias("head"), F.col("text").alias("text_head")), "head")
-    found = wide.mapInArrow(_measured, "head bigint, class bigint, both bigint, rest array<bigint>")
+    found = wide.mapInArrow(_measured, "head bigint, class bigint, both bigint, need bigint, rest array<bigint>")
     found = staged(found.join(spokes, ["head", "class"]), "measured")
     mine = [F.col(c).alias(f"{c}_a") for c in ("class", "root", "n", "both")]
     asked = found.where("straggler")
-    shared = asked.select("head", *mine, F.explode("rest").alias("s")).join(found.select("head", "class", "root", "n", "both", "straggler", F.explode("rest").alias("s")), ["head", "s"])
-    # the overlap is at most the smaller one within the head and the smaller one outside
-    shared = shared.where((F.least("both", "both_a") + F.least(F.col("n") - F.col("both"), F.col("n_a") - F.col("both_a"))) * sum(LIMIT)
+    firsts = found.select("head", "class", "root", "n", "both", "straggler").join(_prefixes(found), ["head", "class"])
+    firsts = staged(firsts, "prefixes")
+    left = firsts.where("straggler").select("head", *mine, F.col("at").alias("at_a"), "s")
+    shared = left.join(firsts, ["head", "s"])
+    # the overlap is at most the smaller one within the head and, where this is the first shingle that both have, the smaller
+    # number of those outside from here on; what is no first one may go, as the first one stays
+    shared = shared.where((F.least("both", "both_a") + F.least(F.expr("n - both - at"), F.expr("n_a - both_a - at_a"))) * sum(LIMIT)
                           >= (F.col("n") + F.col("n_a")) * LIMIT[0])
     # 100 * both >= 75 * (n_a + n_b - both), for the largest overlap that is possible within the head
     most = (F.col("both") * sum(LIMIT) / LIMIT[0] - F.col("n"))
@@ -251,6 +270,7 @@ def _rank() -> Column:
 def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
     """class, root: classes that have links, with the name of their component; None without any list."""
     roots = edges = tested = None
+    last = False
     for turn in range(ROUNDS + 1):
         marked = posts.withColumn("root", F.col("class")) if roots is None else (
             posts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
@@ -258,7 +278,8 @@ def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
         marked = staged(marked.join(mixed, "pair").select("pair", "class", "root", "weight", "n"), "marked")
         if marked.isEmpty():
             break
-        if turn == ROUNDS:
+        last = last or turn == ROUNDS
+        if last:
             pairs = _remaining(marked, texts)
         else:
             free = marked
@@ -270,10 +291,18 @@ def linked_classes(posts: DataFrame, texts: DataFrame) -> DataFrame | None:
             pairs = marked.join(heads, "pair").where(OTHER).select("a", F.col("class").alias("b")).distinct()
         pairs = pairs.select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).dropDuplicates(["low", "high"])
         pairs = staged(pairs if tested is None else pairs.join(tested, ["low", "high"], "left_anti"), "pairs")
-        tested = pairs.select("low", "high") if tested is None else tested.unionAll(pairs.select("low", "high"))
-        found = staged(_links(pairs.select("a", "b"), texts), "links")
-        edges = found if edges is None else edges.unionAll(found)
-        roots = components(edges).select(F.col("node").alias("class"), "root")
+        compared = pairs.count()
+        if compared:
+            tested = pairs.select("low", "high") if tested is None else tested.unionAll(pairs.select("low", "high"))
+            found = staged(_links(pairs.select("a", "b"), texts), "links")
+            linked = found.count()
+            if linked:
+                edges = found if edges is None else edges.unionAll(found)
+                roots = components(edges).select(F.col("node").alias("class"), "root")
+        if last:
+            break
+        # once heads are linked with next to nothing, more of them would only be compared in vain
+        last = not compared or linked < WORTH * compared
     return roots
 
 
