@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,77 @@ def test_class_model_is_a_distribution(documents):
         assert total <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("spread", [1, 2])
+def test_probabilities_add_up_to_one(documents, spread):
+    """Over the end, all learnt words and the estimated unseen ones; no unseen word gets more than one seen once."""
+    rng = random.Random(spread)
+    words = ["aa", "bb", "cc.", "dd", *[f"r{'x' * (i % 14)}{i}{'.!a5'[i % 4]}" for i in range(60)]]
+    docs = documents([(i, " ".join(rng.choices(words, weights=[40] * 4 + [spread] * 60, k=30)), "s") for i in range(40)])
+    model = brown.train(docs, F.lit(False))
+    edge = brown.CLASSES + brown.SURFACE
+    surfaces = [edge - 1 - s for s in range(brown.SURFACE)]
+    once = {s: model.emission[c] + math.log10(1 - brown.DISCOUNT) for s, c in enumerate(surfaces)}
+    types = Counter(brown.surface(w) for w in model.known if w not in model.units)
+    assert model.units and types and all(model.unknown[s] <= once[s] + 1e-12 for s in types)
+    for before in range(edge + 1):
+        total = 10 ** model.transition[before, edge]
+        for word, n in model.known.items():
+            unit = model.units.get(word)
+            c = int(model.classes[unit]) if unit is not None else edge - 1 - brown.surface(word)
+            total += 10 ** (model.transition[before, c] + model.emission[c]) * (n if unit is not None else n - brown.DISCOUNT)
+        total += sum(10 ** (model.transition[before, c] + model.unknown[s]) * model.unseen[s] for s, c in enumerate(surfaces))
+        assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_exchange_against_a_walk_over_words():
+    """The class that a word moves to is the one that raises the likelihood of the class bigrams most, word by word."""
+    rng = np.random.default_rng(7)
+    words, count = 12, 5  # three classes that words move between, one fixed unit, the edge
+    classes = np.concatenate([rng.integers(0, 3, words), [3, 4]])
+    table = rng.integers(0, 9, (words + 2, words + 2)) * (rng.random((words + 2, words + 2)) < 0.6)
+    pairs = np.zeros((count, count))
+    np.add.at(pairs, (classes[:, None], classes[None, :]), table)
+    first, second = np.nonzero(table)
+    batch = pa.RecordBatch.from_pydict({"first": first, "second": second, "n": table[first, second]})
+    moving = np.arange(words + 2) < words
+    (contexts,) = brown._contexts(iter([batch]), classes, moving, count)
+    found = brown._gains(contexts.to_pandas(), classes, pairs, 3).set_index("word")["best"]
+    log = lambda x: math.log(max(x, 0) + 0.5)
+    for w in found.index:
+        gains = []
+        for c in range(3):
+            gain = 0.0
+            out = pairs.sum(1) - (table[w].sum() if c == classes[w] else 0) * (np.arange(count) == c)
+            into = pairs.sum(0) - (table[:, w].sum() if c == classes[w] else 0) * (np.arange(count) == c)
+            for k in range(count):
+                right, left = table[w][classes == k].sum(), table[:, w][classes == k].sum()
+                gain += right * (log(pairs[c, k] - (right if c == classes[w] else 0)) - log(out[c]))
+                gain += left * (log(pairs[k, c] - (left if c == classes[w] else 0)) - log(into[c]))
+            gains.append(gain)
+        assert gains[found[w]] == pytest.approx(max(gains))
+
+
+def test_junk_scores_below_text(spark, sf_dir):
+    """Random letters and shuffled words score below the real texts that were held out; known words alone beat the base."""
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = brown.train(docs, brown.held_out())
+    real = [(r["doc_id"], r["text"]) for r in docs.where(brown.held_out()).collect() if r["text"]]
+    junk = [(10**6 + i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(100))) for i in range(20)]
+    mixed = [(2 * 10**6 + i, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in real]
+    learnt = set(map(bytes, model.known))
+    known = [(3 * 10**6 + i, " ".join(w for w in t.split() if model.known.get(w.encode().lower()))) for i, t in real]
+    assert learnt
+    rows = spark.createDataFrame(real + junk + mixed + known, "doc_id bigint, text string")
+    sums = {}
+    for r in brown.score(rows, model, F.lit(False)).select("row.doc_id", "n_tokens", "base_score", "score").collect():
+        n, base, score = sums.get(r["doc_id"] // 10**6, (0, 0, 0))
+        sums[r["doc_id"] // 10**6] = (n + r["n_tokens"], base + r["base_score"], score + r["score"])
+    per_token = [sums[k][2] / sums[k][0] for k in range(4)]
+    assert per_token[1] < per_token[2] < per_token[0] < per_token[3]
+    assert per_token[3] - sums[3][1] / sums[3][0] > 0.1
+
+
 def brute_repeats(words):
     spans = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     hit = {j for i in range(len(words) - 4) if spans[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
