@@ -335,7 +335,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``: one document of each component stays, the one with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("node").distinct()
-    rows = docs.select(row_key("doc_id", "text").alias("node"), carried(docs))
-    return rows.join(kept, "node").dropDuplicates(["node"]).select("row.*")
+    """The columns of ``docs``: one document of each component stays, the one with the smallest doc_id. Of equal rows one
+    stays too, but rows without words, which are linked with nothing, all do."""
+    kept = near_duplicates(docs).where("kept").select("node", (F.col("n_shingles") == 0).alias("_blank")).distinct()
+    rows = docs.select(row_key("doc_id", "text").alias("node"), carried(docs)).join(kept, "node")
+    own = F.when(F.col("_blank"), F.monotonically_increasing_id())  # told apart, whatever the numbers are
+    return rows.withColumn("_own", own).dropDuplicates(["node", "_own"]).select("row.*")

@@ -404,3 +404,37 @@ def test_pipeline(spark, sf_dir, real):
     rows = QUERIES["pipeline"](spark, sf_dir).collect()
     assert rows and {r["doc_id"] for r in rows} <= set(real)
     assert all(r["offset"] + r["length"] <= 2048 for r in rows)
+
+
+def _keyed(rows):
+    return sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in rows), key=repr)
+
+
+def test_stages_on_odd_input(spark, sf_dir, odd, empty):
+    """Nulls, blanks, ties, repeated rows, a long text, clashing columns: what each stage makes of them."""
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, empty, sf_dir).count() == 0, name
+    columns = odd.columns
+    rows = {name: stages[name](spark, odd, sf_dir) for name in ("quality_rules", "line_dedup", "near_dedup", "mix_sources")}
+    for name, df in rows.items():
+        assert df.columns == columns, name
+    # fewer than ten words, or one word over and over: only the row without a number can pass the base rules
+    assert {r["doc_id"] for r in rows["quality_rules"].collect()} <= {None}
+    # the line of 5 comes first, so 6 has none left and goes; equal rows are both first; documents that never had words stay
+    assert _keyed(rows["line_dedup"].collect()) == _keyed(r for r in odd.collect() if r["doc_id"] != 6)
+    # one row of 5, 5, 6; blank rows are linked with nothing
+    near = [(1, ""), (2, ""), (3, " \n\t "), (None, "no nu"), (5, "same "), (7, "word "), (8, "x"), (8, "y")]
+    assert _keyed(rows["near_dedup"].collect()) == sorted(near, key=repr)
+    # blank rows count nothing in a mix, so they may stay; no row is taken more than twice
+    before, taken = (Counter(_keyed(r)) for r in (odd.collect(), rows["mix_sources"].collect()))
+    assert taken and all(n <= 2 * before[k] for k, n in taken.items())
+    packed = stages["best_fit_packing"](spark, odd, sf_dir).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in odd.collect())
+    assert {r["length"] for r in packed if r["doc_id"] in (1, 2, 3)} == {1}
+
+
+def test_blank_rows_all_stay(documents):
+    rows = [(5, "", "s"), (5, "", "s"), (6, None, "s"), (6, None, "s"), (7, "a b c", "s"), (7, "a b c", "s")]
+    left = neardup.drop_near_duplicates(documents(rows)).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in left) == [5, 5, 6, 6, 7]
