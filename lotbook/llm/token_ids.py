@@ -24,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 LONGEST = 64
-STRETCH = 16 << 20  # bytes of text that are cut together
+STRETCH = 8 << 20  # bytes of text that are cut together
 FIRST_ODD = 0x250
 APART = b"\xff" * 4  # no id
 
@@ -79,10 +79,12 @@ class TokenIds:
 
     def of_all(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text; null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
+        pool = pa.default_memory_pool()
         while at < len(texts):
+            pool.release_unused()  # what one stretch took is not kept for the next
             stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRETCH, side="right"))
             if stop > at:
                 yield from self._of_rows(texts.slice(at, stop - at))
@@ -103,10 +105,10 @@ class TokenIds:
         data = memoryview(found.buffers()[2] or b"")
         return [data[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
-    def _of_words(self, words: pa.LargeStringArray) -> pa.Array:
+    def _of_words(self, words: pa.StringArray) -> pa.Array:
         """The ids of different words."""
         odd: dict[int, str] = {}
-        ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
         if ODD.search(words.buffers()[2][ends[0] : ends[-1]].to_pybytes().decode()) is not None:
             odd = {i: w for i, w in enumerate(words.to_pylist()) if ODD.search(w) is not None}
             clean = np.ones(len(words), bool)
@@ -167,7 +169,7 @@ def _stretches(text: str) -> Iterator[pa.Array]:
     while at < len(text):
         end = text.find(" ", at + STRETCH)
         end = len(text) if end < 0 else end
-        yield pa.array([text[at:end]], pa.large_string())
+        yield pa.array([text[at:end]], pa.string())
         at = end
 
 
