@@ -60,11 +60,15 @@ def main() -> None:
     dirty.write.csv(csv)
     makes = ["Brand#1", "Brand#2", "Brand#3", "Brand#4"]
     quality: dict[str, float] = {}
+    fit_times: dict[str, float] = {}
 
     def fitted(name, fit):
         def timed() -> None:
             train, test = split(signal, 0.2, KEY)
-            row = evaluate(M.predict(fit(train), test)).first()
+            start = time.perf_counter()
+            model = fit(train)
+            fit_times[name] = round(time.perf_counter() - start, 3)
+            row = evaluate(M.predict(model, test)).first()
             quality[name] = round(row["rmse_ratio"], 4)
 
         return timed
@@ -90,7 +94,11 @@ def main() -> None:
         "boosting": fitted("boosting", lambda train: M.fit_boosting(train, ignore=[KEY], rounds=20, rate=0.2)),
         "forest": fitted("forest", lambda train: M.fit_forest(train, ignore=[KEY], trees=20)),
     }
-    run(listings.groupBy("make").agg(F.count("*")))  # start of the engine is not a query
+    # the start of the engine, and of its models, is not a query
+    run(listings.groupBy("make").agg(F.count("*")))
+    few = signal.limit(2000)
+    evaluate(M.predict(M.fit_boosting(few, ignore=[KEY], rounds=2, depth=2), few)).first()
+    M.fit_linear(few.select(KEY, "price", "mileage"), ignore=[KEY])
     times = {}
     for name, query in queries.items():
         start = time.perf_counter()
@@ -99,7 +107,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "total time of the headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1], "rows": listings.count(),
-        "rmse_ratio": quality, "rmse_ratio_published_on_other_data": 0.435,
+        "of_these_fitting": fit_times, "rmse_ratio": quality, "rmse_ratio_published_on_other_data": 0.435,
     }))
 
 
