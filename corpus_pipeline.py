@@ -3,6 +3,13 @@
 Each stage reads all that the one before it kept and returns the columns of ``documents``; the last returns pieces.
 A document whose lines are all dropped has nothing left and goes. ``n_chars``, where there is one, is that of the text
 that is left.
+
+Nulls and odd input: quality rules reject rows of fewer than ten words, so null, empty and blank texts end there. A later
+stage on its own keeps them: they have no lines to drop, are linked with nothing (equal rows of them all stay), count nothing in a mix,
+and are packed as an end mark each. Equal rows with words are one group of near duplicates, of which one stays; rows
+of one number that differ are documents of their own. A null number is kept like any other, and a null source is a source.
+Texts of any length are processed whole. Extra columns, whatever their names, ride along up to the packing, which has columns of its
+own. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
