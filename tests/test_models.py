@@ -4,6 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
 from lotbook.operators import features as X
@@ -127,6 +130,41 @@ def test_bands_tree_and_net(parts):
         assert scored.select(F.avg((F.col("band") == F.col("prediction")).cast("double"))).first()[0] > 0.7
 
 
+def test_net_agrees_with_sparks_trainer_on_dense_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i % 7}", "all", float(rng.integers(0, 50)), int(rng.integers(1990, 2000))) for i in range(600)]
+    rows = [(*r, float((int(r[0][1:]) * 5 + r[2] + rng.uniform()) // 30)) for r in rows]
+    train = spark.createDataFrame(rows, "make string, state string, mileage double, year int, band double").repartition(3)
+    model = M.fit_band_net(train, 3, ignore=[], hidden=(6, 4), rounds=12)
+    dense = PipelineModel(model.stages[:-1]).transform(train)
+    width = len(model.stages[-2].originalMax)
+    plain = MultilayerPerceptronClassifier(labelCol="band", layers=[width, 6, 4, 3], maxIter=12, blockSize=1, seed=M.SEED).fit(dense)
+    # the same objective, start and search, so the same weights but for the order of sums
+    assert model.stages[-1].weights.toArray() == pytest.approx(plain.weights.toArray(), rel=1e-5, abs=1e-7)
+    start = MultilayerPerceptronClassifier(labelCol="band", layers=[width, 6, 4, 3], maxIter=0, seed=M.SEED).fit(dense)
+    assert np.abs(plain.weights.toArray() - start.weights.toArray()).max() > 0.5
+
+
+def test_net_of_numbers_and_of_text_alone(spark):
+    rows = [(f"k{i % 3}", float(i % 3), float(i % 3)) for i in range(90)]
+    train = spark.createDataFrame(rows, "make string, mileage double, band double")
+    for column in ("make", "mileage"):
+        scored = M.predict(M.fit_band_net(train.select(column, "band"), 3, ignore=[], hidden=(5,), rounds=60), train)
+        assert scored.where("band <> prediction").isEmpty()
+
+
+def test_net_keeps_no_dense_rows(spark):
+    """A row of a few columns takes a few bytes, however many slots it has."""
+    from lotbook.operators import network
+
+    rows = spark.range(4000, numPartitions=2).selectExpr("cast(id as double) as slot", "cast(id % 50 as double) as x", "cast(id % 2 as double) as band")
+    stored = network.blocks(rows, ["slot"], ["x"], "band", 2).collect()
+    assert sum(r["n"] for r in stored) == 4000
+    assert sum(len(r["slots"]) + len(r["numbers"]) + len(r["label"]) for r in stored) == 4000 * 16
+    with pytest.raises(PythonException, match="whole numbers from 0 to 0"):
+        network.blocks(rows, ["slot"], ["x"], "band", 1).collect()
+
+
 def test_evaluate_by_hand(spark):
     y, p = np.array([1.0, 2.0, 4.0, 9.0]), np.array([1.5, 2.0, 3.0, 8.0])
     df = spark.createDataFrame(list(zip(y.tolist(), p.tolist())), "price double, prediction double")
