@@ -85,7 +85,9 @@ def listing_lines(matched: DataFrame) -> DataFrame:
         PAGE_ID, "pos", "color", *[X.field(F.col("fragment"), p).alias(name) for name, p in X.FIELD_PATTERNS.items()]
     )
     cells = [F.col(name) for name in FIELDS]
-    return found.select(PAGE_ID, "pos", X.line(cells, F.col("color")).alias("line"), X.presence(cells).alias("present"))
+    made = F.struct(X.line(cells, F.col("color")).alias("line"), X.presence(cells).alias("present"))
+    # a filter on the line stays behind the generator, so no pattern runs again for each of its conditions
+    return found.select(PAGE_ID, "pos", F.inline(F.array(made)))
 
 
 def arity_filter(lines: DataFrame, column: str = "line", n_commas: int = N_COMMAS) -> DataFrame:

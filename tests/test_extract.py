@@ -2,7 +2,16 @@
 
 import pytest
 
-from lotbook.operators.extract import extract_listings, extract_with_rejects
+from checks.views import pages_from
+from lotbook.operators.extract import (
+    arity_filter,
+    distinct_lines,
+    extract_listings,
+    extract_with_rejects,
+    listing_lines,
+    match_colors,
+    with_script,
+)
 
 FULL = {
     "make": "Ford", "model": "Focus", "year": "2015", "body_style": "Hatchback", "city": "Albany",
@@ -142,3 +151,25 @@ def test_extraction_neither_shuffles_nor_leaves_the_jvm(spark):
     df = spark.createDataFrame([(1, page([fragment()]))], "page_id bigint, html string")
     plan = extract_listings(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "EvalPython" not in plan
+
+
+def test_filters_on_lines_run_no_pattern_again(spark):
+    """Eight fields, colours and scripts: ten patterns, however many conditions read a line."""
+    pages = spark.createDataFrame([(1, "")], "page_id bigint, html string")
+    lines = arity_filter(listing_lines(match_colors(with_script(pages))))
+    for df in (lines, distinct_lines(lines)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 10
+
+
+def test_pages_from_rows_exchange_them_once(spark):
+    """Pages of about a hundred listings each, in order of the listings; a null page gives none, and no row is lost."""
+    rows = spark.range(331).selectExpr(
+        "if(id < 330, if(id < 250, 1, id), null) as page_id", "concat(cast(id as string), '-x') as listing_id", "1 as copy", "1.5D as price",
+        "'m' as make", "'n' as model", "2000 as year", "'b' as body_style", "'c' as city", "'s' as state", "2.0D as mileage",
+        "concat('k', cast(id as string)) as color")
+    pages = pages_from(rows)
+    assert pages._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert pages.where("page_id = 1").count() == 3 and pages.where("page_id > 1").count() == 80
+    found = extract_listings(pages).collect()
+    assert sorted(r["color"] for r in found) == sorted(f"k{i}" for i in range(330))
+    assert all(r["page_id"] == (1 if int(r["color"][1:]) < 250 else int(r["color"][1:])) for r in found)
