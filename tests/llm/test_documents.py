@@ -438,3 +438,19 @@ def test_blank_rows_all_stay(documents):
     rows = [(5, "", "s"), (5, "", "s"), (6, None, "s"), (6, None, "s"), (7, "a b c", "s"), (7, "a b c", "s")]
     left = neardup.drop_near_duplicates(documents(rows)).select("doc_id").collect()
     assert sorted(r["doc_id"] for r in left) == [5, 5, 6, 6, 7]
+
+
+def test_frequent_words_come_as_text_from_one_part_at_least():
+    """A word with its share of all tokens is named in some part, rare ones in none; the counts are whole."""
+    import pyarrow as pa
+
+    from lotbook.llm import brown
+
+    rare = [f"r{i}" for i in range(200_000)]
+    texts = ["the " * 3 + " ".join(rare[i : i + 1000]) for i in range(0, len(rare), 1000)] + ["the cat"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([False] * len(texts))], names=["_text", "held_out"])
+    parts = [r for part in brown._counted(iter([batch])) for r in part.to_pylist()]
+    total = sum(r["total"] for r in parts)
+    assert total == sum(len(t.split()) for t in texts)
+    named = {r["word"] for r in parts if r["word"]}
+    assert b"the" in named and not any(w.startswith(b"r") for w in named)
