@@ -63,8 +63,10 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.where("text is not null").select("doc_id", row_key("doc_id", "text").alias("_key"), F.split("text", "\n", -1).alias("_lines"))
     lines = keyed.select("doc_id", "_key", F.posexplode("_lines").alias("_place", "_line"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("_key").alias("key"), F.col("_place").alias("place"))
-    lines = lines.select(order.alias("ord"), plain("_line").alias("line")).where("line <> ''")
-    return lines.select("ord", "line", (_count("line", " ") + 1).alias("n")).where(F.col("n") >= MIN_WORDS)
+    # conditions stay behind a generator, so a line is looked at once
+    lines = lines.select(order.alias("ord"), F.explode(F.array(plain("_line"))).alias("line"))
+    lines = lines.where("line <> ''").select("ord", "line", F.explode(F.array(_count("line", " ") + 1)).alias("n"))
+    return lines.where(F.col("n") >= MIN_WORDS)
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
