@@ -2,8 +2,8 @@
 
 Spark's own trainer keeps a dense row of all slots for every listing and multiplies all of them in every pass. Here a row is
 one slot number for each text column and its numbers, so a pass costs as much as a row has columns, not slots. Objective, start,
-search and stopping rules are those of Spark's trainer (mean cross-entropy, its initial weights, ten corrections, strong Wolfe steps);
-the result is a model of Spark's. A pass is one Spark job that sums losses and gradients; the driver holds weights and gradients only.
+search and stopping rules are those of Spark's trainer (cross-entropy, averaged in blocks of rows and over these, its initial weights, ten
+corrections, strong Wolfe steps); the result is a model of Spark's. A pass is one Spark job that sums losses and gradients; the driver holds weights and gradients only.
 """
 
 from __future__ import annotations
@@ -19,29 +19,38 @@ CORRECTIONS, SEARCHES, ZOOMS = 10, 10, 10
 SUFFICIENT, CURVATURE = 1e-4, 0.9
 TOLERANCE, REMEMBERED = 1e-6, 20
 CHUNK = 2048  # rows that a task works on at a time
-LOSS, ROWS = -1, -2  # numbers of these sums among those of the gradient
+LOSS, BLOCKS = -1, -2  # numbers of these sums among those of the gradient
 
 
-def blocks(rows: DataFrame, slots: Sequence[str], numbers: Sequence[str], label: str, classes: int) -> DataFrame:
-    """n, slots, numbers, label: rows in blocks of one Arrow batch. ``slots``: columns of slot numbers of text values.
+def blocks(rows: DataFrame, slots: Sequence[str], numbers: Sequence[str], label: str, classes: int, block: int) -> DataFrame:
+    """n, slots, numbers, label: whole blocks of ``block`` rows, about an Arrow batch of them at a time; the last one of a
+    partition may be shorter. ``slots``: columns of slot numbers of text values.
 
     A label that is no whole number below ``classes`` is an error.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = np.zeros((len(slots) + len(numbers) + 1, 0))
+
+        def out(values: np.ndarray) -> pa.RecordBatch:
+            parts = values[: len(slots)].astype(np.int32), values[len(slots) : -1], values[-1].astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([values.shape[1]], type=pa.int32()), *[pa.array([p.tobytes()], type=pa.binary()) for p in parts]],
+                names=["n", "slots", "numbers", "label"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            values = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)], dtype=np.float64)
             if not np.isin(values[-1], np.arange(classes)).all():
                 raise ValueError(f"labels must be whole numbers from 0 to {classes - 1}")
-            at = np.array([v.astype(np.int32) for v in values[: len(slots)]], dtype=np.int32)
-            x = np.array(values[len(slots) : -1], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.num_rows], type=pa.int32()), *[pa.array([a.tobytes()], type=pa.binary()) for a in (at, x, values[-1].astype(np.int32))]],
-                names=["n", "slots", "numbers", "label"])
-
-    wide = rows.select(*[F.col(f"`{c}`").cast("int") for c in slots], *[F.col(f"`{c}`").cast("double") for c in numbers], F.col(f"`{label}`").cast("double"))
+            values = np.concatenate([left, values], axis=1)
+            whole = values.shape[1] // block * block
+            left = values[:, whole:]
+            if whole:
+                yield out(values[:, :whole])
+        if left.shape[1]:
+            yield out(left)
+
+    wide = rows.select(*[F.col(f"`{c}`").cast("double") for c in (*slots, *numbers, label)])
     return wide.mapInArrow(packed, "n int, slots binary, numbers binary, label binary")
 
 
@@ -55,8 +64,8 @@ def layers_of(weights: np.ndarray, sizes: Sequence[int]) -> list[tuple[np.ndarra
 
 
 def loss_and_gradient(weights: np.ndarray, sizes: Sequence[int], at: np.ndarray, x: np.ndarray, y: np.ndarray,
-                      scale: np.ndarray, shift: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sums over some rows. Features are ``scale * slot + shift``; the numbers of ``x`` hold the first slots."""
+                      weight: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted sums over some rows. Features are ``scale * slot + shift``; the numbers of ``x`` hold the first slots."""
     layers = layers_of(weights, sizes)
     first, bias = layers[0]
     scaled = first * scale[:, None]
@@ -71,9 +80,10 @@ def loss_and_gradient(weights: np.ndarray, sizes: Sequence[int], at: np.ndarray,
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     each = np.arange(len(y))
-    loss = -np.log(np.maximum(z[each, y], 1e-300)).sum()
+    loss = -(weight * np.log(np.maximum(z[each, y], 1e-300))).sum()
     delta = z
     delta[each, y] -= 1
+    delta *= weight[:, None]
     parts: list[np.ndarray] = []
     for (matrix, _), out in zip(reversed(layers[1:]), reversed(outputs)):
         parts[:0] = [(out.T @ delta).ravel(), delta.sum(axis=0)]
@@ -89,8 +99,8 @@ def loss_and_gradient(weights: np.ndarray, sizes: Sequence[int], at: np.ndarray,
     return loss, np.concatenate([(sums * scale[:, None] + np.outer(shift, total)).ravel(), total, *parts])
 
 
-def objective(rows: DataFrame, sizes: Sequence[int], scale: np.ndarray, shift: np.ndarray) -> Callable:
-    """weights -> mean loss and its gradient over all ``blocks``, by one job."""
+def objective(rows: DataFrame, sizes: Sequence[int], scale: np.ndarray, shift: np.ndarray, block: int) -> Callable:
+    """weights -> loss and its gradient, the mean of the means of all ``blocks``, by one job."""
 
     def at(weights: np.ndarray) -> tuple[float, np.ndarray]:
         shared = rows.sparkSession.sparkContext.broadcast(weights)
@@ -102,13 +112,16 @@ def objective(rows: DataFrame, sizes: Sequence[int], scale: np.ndarray, shift: n
                 for n, slots, numbers, label in zip(*[batch.column(c).to_pylist() for c in ("n", "slots", "numbers", "label")]):
                     code = np.frombuffer(slots, np.int32).reshape(-1, n)
                     x, y = np.frombuffer(numbers, np.float64).reshape(-1, n), np.frombuffer(label, np.int32)
+                    whole = n // block * block
+                    share = np.full(n, 1 / block)
+                    share[whole:] = 1 / max(n - whole, 1)
                     for i in range(0, n, CHUNK):
                         cut = slice(i, i + CHUNK)
-                        more = loss_and_gradient(w, sizes, code[:, cut], x[:, cut], y[cut], scale, shift)
+                        more = loss_and_gradient(w, sizes, code[:, cut], x[:, cut], y[cut], share[cut], scale, shift)
                         loss, gradient = loss + more[0], gradient + more[1]
-                    count += n
+                    count += -(-n // block)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[LOSS, ROWS, np.arange(len(w))].astype(np.int32)), pa.array(np.r_[loss, count, gradient])], names=["i", "v"])
+                [pa.array(np.r_[LOSS, BLOCKS, np.arange(len(w))].astype(np.int32)), pa.array(np.r_[loss, count, gradient])], names=["i", "v"])
 
         sums = rows.mapInArrow(summed, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         shared.unpersist()

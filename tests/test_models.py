@@ -138,7 +138,7 @@ def test_net_agrees_with_sparks_trainer_on_dense_rows(spark):
     model = M.fit_band_net(train, 3, ignore=[], hidden=(6, 4), rounds=12)
     dense = PipelineModel(model.stages[:-1]).transform(train)
     width = len(model.stages[-2].originalMax)
-    plain = MultilayerPerceptronClassifier(labelCol="band", layers=[width, 6, 4, 3], maxIter=12, blockSize=1, seed=M.SEED).fit(dense)
+    plain = MultilayerPerceptronClassifier(labelCol="band", layers=[width, 6, 4, 3], maxIter=12, blockSize=100, seed=M.SEED).fit(dense)
     # the same objective, start and search, so the same weights but for the order of sums
     assert model.stages[-1].weights.toArray() == pytest.approx(plain.weights.toArray(), rel=1e-5, abs=1e-7)
     start = MultilayerPerceptronClassifier(labelCol="band", layers=[width, 6, 4, 3], maxIter=0, seed=M.SEED).fit(dense)
@@ -158,11 +158,11 @@ def test_net_keeps_no_dense_rows(spark):
     from lotbook.operators import network
 
     rows = spark.range(4000, numPartitions=2).selectExpr("cast(id as double) as slot", "cast(id % 50 as double) as x", "cast(id % 2 as double) as band")
-    stored = network.blocks(rows, ["slot"], ["x"], "band", 2).collect()
+    stored = network.blocks(rows, ["slot"], ["x"], "band", 2, 100).collect()
     assert sum(r["n"] for r in stored) == 4000
     assert sum(len(r["slots"]) + len(r["numbers"]) + len(r["label"]) for r in stored) == 4000 * 16
     with pytest.raises(PythonException, match="whole numbers from 0 to 0"):
-        network.blocks(rows, ["slot"], ["x"], "band", 1).collect()
+        network.blocks(rows, ["slot"], ["x"], "band", 1, 100).collect()
 
 
 def test_evaluate_by_hand(spark):
