@@ -46,7 +46,7 @@ ONCE = "not straggler or class_a < class"  # two stragglers meet from either sid
 ROUNDS = 3
 WORTH = 0.01  # share of its pairs that a round must link for another one to follow
 FEW = 8
-WORDS_KEPT = 200_000  # hashed words that a task remembers before it starts anew
+WORDS_KEPT = 50_000  # hashed words that a task remembers before it starts anew
 CHUNK = 4096  # shingles hashed at a time
 
 
@@ -119,6 +119,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column("node"), batch.column("doc_id"), pa.array(counts, type=pa.int64()),
                    pa.array(low, type=pa.int64()), pa.array(high, type=pa.int64()), pa.array(signatures, type=pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "n_shingles", "low", "high", "signature"])
+    cache.clear()
+    pa.default_memory_pool().release_unused()  # a worker is used again, also for other stages
 
 
 def sketch(docs: DataFrame) -> DataFrame:

@@ -454,3 +454,23 @@ def test_frequent_words_come_as_text_from_one_part_at_least():
     assert total == sum(len(t.split()) for t in texts)
     named = {r["word"] for r in parts if r["word"]}
     assert b"the" in named and not any(w.startswith(b"r") for w in named)
+
+
+def test_conditions_on_lines_do_not_repeat_their_making(spark):
+    """The words of a line are made and counted once, however many conditions read them."""
+    docs = spark.createDataFrame([(1, "a b c  d e f\n\n a b\tc d e f\na b")], "doc_id bigint, text string")
+    lines = linedup.numbered_lines(docs)
+    assert [(r["line"], r["n"]) for r in lines.collect()] == [("a b c d e f", 6)] * 2
+    assert lines._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == 5
+
+
+def test_sketch_remembers_a_fixed_number_of_words(monkeypatch):
+    """Signatures do not depend on how many hashed words a task remembers."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i * j % 97}" for j in range(60)) for i in range(1, 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(29)), pa.array(range(29)), pa.array(texts)], names=["node", "doc_id", "text"])
+    (whole,) = neardup._sketch(iter([batch]))
+    monkeypatch.setattr(neardup, "WORDS_KEPT", 7)
+    (small,) = neardup._sketch(iter([batch]))
+    assert whole.equals(small)
