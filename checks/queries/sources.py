@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from lotbook.operators.models import fit_linear, load_model, predict, save_model
 from lotbook.operators.rows import with_row_id
 from lotbook.operators.sampling import split
 from lotbook.schemas import LISTINGS_RAW
-from lotbook.session import scratch_path
+from lotbook.session import scratch_path, staged
 from lotbook.sources.files import (
     append_batch,
     append_listings,
@@ -38,6 +40,13 @@ from lotbook.sources.worklist import crawl_worklist, shard_number
 from lotbook.streaming.ingest import ingest_stream, ingest_to_store, stored_rejects
 
 COLUMNS = ", ".join(LISTING_COLUMNS)
+ROWS_A_LOT = 3_000_000
+
+
+def lots(spark, sf_dir) -> int:
+    """How many times the files, those of a trigger and the buckets of a small table: one for every three million line items
+    (counted in the footers), so that a task that writes a file or sorts a bucket has the same work at any size."""
+    return max(1, math.ceil(table(spark, sf_dir, "lineitem").count() / ROWS_A_LOT))
 
 
 @query("s1_headerless_csv_shards", f"with {oracle_views('listings_dirty')} select {COLUMNS} from listings_dirty")
@@ -157,10 +166,11 @@ def saved_model(spark, sf_dir):
     select distinct {COLUMNS} from listings_dirty where price is not null and color is not null""",
 )
 def stream_ingest(spark, sf_dir):
-    """Four files, two per trigger."""
+    """Four files of each lot, half of them per trigger."""
     source, out, marks = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-marks"))
-    listings_dirty(spark, sf_dir).repartition(4).write.csv(source)
-    ingest_stream(spark, source, out, marks, files_per_trigger=2).awaitTermination()
+    n = lots(spark, sf_dir)
+    listings_dirty(spark, sf_dir).repartition(4 * n).write.csv(source)
+    ingest_stream(spark, source, out, marks, files_per_trigger=2 * n).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -199,9 +209,11 @@ def append_twice(spark, sf_dir):
         except select {COLUMNS} from listings_dirty where mileage <= 35""",
 )
 def new_against_stored(spark, sf_dir):
-    """What a batch adds to a store that has most of its rows; the batch before is added twice."""
-    rows = listings_dirty(spark, sf_dir).select(*LISTING_COLUMNS)
-    store = open_store(spark, scratch_path(spark, "store"), LISTINGS_RAW, buckets=8)
+    """What a batch adds to a store that has most of its rows; the batch before is added twice.
+
+    The listings are written once, as three batches are taken from them."""
+    rows = staged(listings_dirty(spark, sf_dir).select(*LISTING_COLUMNS), "dirty")
+    store = open_store(spark, scratch_path(spark, "store"), LISTINGS_RAW, buckets=8 * lots(spark, sf_dir))
     for _ in range(2):
         add_batch(rows.where("mileage <= 35"), store, 1)
     return new_rows(rows.where("mileage > 20"), store, 2).select(*LISTING_COLUMNS)
@@ -213,8 +225,8 @@ def new_against_stored(spark, sf_dir):
 )
 def stored_after_batches(spark, sf_dir):
     """Three batches that overlap leave each row once."""
-    rows = listings_dirty(spark, sf_dir).select(*LISTING_COLUMNS)
-    store = open_store(spark, scratch_path(spark, "store"), LISTINGS_RAW, buckets=8)
+    rows = staged(listings_dirty(spark, sf_dir).select(*LISTING_COLUMNS), "dirty")
+    store = open_store(spark, scratch_path(spark, "store"), LISTINGS_RAW, buckets=8 * lots(spark, sf_dir))
     for batch, part in enumerate(("mileage <= 20", "mileage between 10 and 40", "mileage > 30")):
         add_batch(rows.where(part), store, batch)
     return read_store(spark, store)
@@ -233,10 +245,11 @@ def restarted_ingest(spark, sf_dir):
     source, marks, path = (scratch_path(spark, n) for n in ("arriving", "marks", "store"))
     rows = listings_dirty(spark, sf_dir).select(*LISTING_COLUMNS)
     long = rows.where("mileage = 7 and price is not null and color is not null").withColumn("more", F.lit("x"))
-    rows.repartition(3).write.csv(source)
-    long.coalesce(1).write.mode("append").csv(source)
-    store = open_store(spark, path, LISTINGS_RAW, buckets=8)
-    run = lambda **more: ingest_to_store(spark, source, store, marks, files_per_trigger=2, **more)
+    n = lots(spark, sf_dir)
+    rows.repartition(3 * n).write.csv(source)
+    long.repartition(n).write.mode("append").csv(source)  # behind an exchange, so that the joins before it stay parallel
+    store = open_store(spark, path, LISTINGS_RAW, buckets=8 * n)
+    run = lambda **more: ingest_to_store(spark, source, store, marks, files_per_trigger=2 * n, **more)
     try:
         run(stop_before=0).awaitTermination()
     except StreamingQueryException as stopped:
