@@ -85,13 +85,14 @@ def new_rows(rows: DataFrame, store: Store, batch: int) -> DataFrame:
     """The distinct rows that no earlier batch has, each with its digest.
 
     Copies within the batch meet in the map-side aggregate first. What is left is shuffled into the buckets of the
-    digests; these are read in place, whatever their size, so they are never broadcast.
+    digests, without them: 32 bytes that no codec shrinks cost more to move than to work out again. What is stored is read in
+    place, whatever its size, so it is never broadcast.
     """
     spark = rows.sparkSession
-    names = store.schema.fieldNames()
-    distinct = drop_repeats(rows.select(*names)).withColumn(KEY, row_digest(store.schema))
+    names, digest = store.schema.fieldNames(), row_digest(store.schema)
+    distinct = drop_repeats(rows.select(*names)).repartition(store.buckets, digest).withColumn(KEY, digest)
     stored = spark.table(store.keys).where(F.col(BATCH) < batch).select(KEY).hint("merge")
-    return distinct.repartition(store.buckets, KEY).join(stored, KEY, "left_anti")
+    return distinct.join(stored, KEY, "left_anti")
 
 
 def add_batch(rows: DataFrame, store: Store, batch: int) -> None:
