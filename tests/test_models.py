@@ -111,6 +111,27 @@ def test_forest_importances_by_column(parts):
     assert slots.count() > len(columns)
 
 
+def test_tree_input_is_dealt_to_more_tasks_as_it_grows(parts, monkeypatch):
+    """No task keeps more rows than two files have; the same model where the candidate splits do not depend on the tasks."""
+    most, rows, models = [], parts[0].select("price", "make", "mileage").limit(3000), []
+    real = M.staged
+
+    def watched(df, label, *more):
+        found = real(df.coalesce(1), label, *more)
+        most.append(found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return found
+
+    monkeypatch.setattr(M, "staged", watched)
+    for bound in (500_000, 100):
+        monkeypatch.setattr(M, "TREE_ROWS", bound)
+        models.append(M.fit_boosting(rows, rounds=2, depth=3))
+    assert most[0] == 3000 and most[1] <= 200
+    one, two = ([r["prediction"] for r in M.predict(m, rows).orderBy("price", "make", "mileage").collect()] for m in models)
+    assert one == pytest.approx(two)
+    assert M.fold_scores(parts[0], KEY, grid={"numTrees": [1]}, folds=2, depth=2).count() == 2
+    assert most[2] <= 200
+
+
 def test_grid_search(parts):
     table, best, winner = M.grid_search(parts[0], KEY, grid={"numTrees": [1, 3]}, folds=2, depth=3)
     rows = table.collect()
