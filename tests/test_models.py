@@ -250,3 +250,11 @@ def test_p_values_at_any_size():
         assert two_sided_p(t, 100_000) == pytest.approx(two_sided_p(t, 100_001), rel=1e-3)
     with pytest.raises(ArithmeticError):
         _regularised_beta(0.5, 0.5, 500.0, 0.5, steps=2)
+
+
+def test_the_compared_models_are_those_of_the_training_run(spark, sf_dir):
+    """Boosting, linear and forest, and the importances of the trees."""
+    from __spark_entry__ import queries
+
+    rows = queries()["e4_compared_models"](spark, sf_dir).collect()
+    assert {(r["model"], r["complete"]) for r in rows} == {("boosting", True), ("linear", True), ("forest", True)}
