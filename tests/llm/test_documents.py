@@ -474,3 +474,41 @@ def test_sketch_remembers_a_fixed_number_of_words(monkeypatch):
     monkeypatch.setattr(neardup, "WORDS_KEPT", 7)
     (small,) = neardup._sketch(iter([batch]))
     assert whole.equals(small)
+
+
+def test_every_word_seen_often_enough_has_a_learnt_class(documents, monkeypatch):
+    """Also words that are no heads; the score is that of the path through all classes, and the probabilities add up to one."""
+    monkeypatch.setattr(brown, "BROADCAST", 2.0**-5)
+    rng = random.Random(5)
+    kinds = [["der", "die", "das"], [f"noun{'x' * (i % 5)}{i}" for i in range(30)], [f"verb{i}." for i in range(20)]]
+    texts = [" ".join(rng.choice(kinds[j % 3]) for j in range(30)) + (" odd%d" % i if i % 3 else "") for i in range(60)]
+    docs = documents([(i, t, "s") for i, t in enumerate([*texts, "", "noun1 odd1 never seen der"])])
+    held = F.col("doc_id") >= 60
+    model = brown.train(docs, held)
+    counts = Counter(w.encode() for t in texts for w in t.split())
+    (keys,) = [dict(zip(counts, brown._key(list(counts)).tolist()))]
+    tail = {r["key"]: r for r in model.counts.collect()}
+    edge = brown.CLASSES + brown.SURFACE
+    assert set(model.units) and len(model.units) < 10 and set(tail) == {keys[w] for w in counts if w not in model.known}
+    often = [w for w, n in counts.items() if n >= brown.LEAST and w not in model.known]
+    assert len(often) > 30
+    classes, logs = {None: edge}, {}
+    for w, n in counts.items():
+        if w in model.units:
+            c = int(model.classes[model.units[w]])
+        else:
+            c = tail[keys[w]]["cls"] if keys[w] in tail else edge - 1 - brown.surface(w)
+        assert (c < brown.CLASSES) == (n >= brown.LEAST)
+        classes[w], logs[w] = c, math.log10(n - (0 if c < brown.CLASSES else brown.DISCOUNT)) + model.emission[c]
+    for before in range(edge + 1):
+        total = 10 ** model.transition[before, edge] + sum(10 ** (model.transition[before, classes[w]] + logs[w]) for w in counts)
+        total += sum(10 ** (model.transition[before, edge - 1 - s] + model.unknown[s]) * model.unseen[s] for s in range(brown.SURFACE))
+        assert total == pytest.approx(1, abs=1e-9)
+    monkeypatch.setattr(brown, "TOKENS", 50)
+    rows = {r["doc_id"]: r for r in brown.score(docs, model, held).select("row.doc_id", "n_tokens", "n_known", "score").collect()}
+    for r in docs.collect():
+        words = [w.encode().lower() for w in r["text"].split()]
+        path = [edge, *[classes.get(w, edge - 1 - brown.surface(w)) for w in words], edge]
+        score = sum(model.transition[a, b] for a, b in zip(path, path[1:])) + sum(logs.get(w, model.unknown[brown.surface(w)]) for w in words)
+        assert rows[r["doc_id"]]["score"] == pytest.approx(score)
+        assert rows[r["doc_id"]]["n_known"] == sum(w in counts for w in words) + 1
