@@ -1,7 +1,8 @@
 """Dense networks with sigmoid layers, fitted by L-BFGS on rows that stay as small as they are stored.
 
 Spark's own trainer keeps a dense row of all slots for every listing and multiplies all of them in every pass. Here a row is
-one slot number for each text column and its numbers, so a pass costs as much as a row has columns, not slots. Objective, start,
+one number for each group of text columns (the place of its values in all combinations of these, ``GROUP`` at most) and its numbers, so a pass
+looks up and adds as many rows of weights as there are groups, not slots. Objective, start,
 search and stopping rules are those of Spark's trainer (cross-entropy, averaged in blocks of rows and over these, its initial weights, ten
 corrections, strong Wolfe steps); the result is a model of Spark's. A pass is one Spark job that sums losses and gradients; the driver holds weights and gradients only.
 """
@@ -18,13 +19,14 @@ from pyspark.sql import functions as F
 CORRECTIONS, SEARCHES, ZOOMS = 10, 10, 10
 SUFFICIENT, CURVATURE = 1e-4, 0.9
 TOLERANCE, REMEMBERED = 1e-6, 20
-CHUNK = 2048  # rows that a task works on at a time
+CHUNK = 4096  # rows that a task works on at a time
+GROUP = 1 << 14  # combinations of values that a group of text columns has at most, unless one column has more
 LOSS, BLOCKS = -1, -2  # numbers of these sums among those of the gradient
 
 
 def blocks(rows: DataFrame, slots: Sequence[str], numbers: Sequence[str], label: str, classes: int, block: int) -> DataFrame:
     """n, slots, numbers, label: whole blocks of ``block`` rows, about an Arrow batch of them at a time; the last one of a
-    partition may be shorter. ``slots``: columns of slot numbers of text values.
+    partition may be shorter. ``slots``: columns of numbers of text values, or of combinations of them.
 
     A label that is no whole number below ``classes`` is an error.
     """
@@ -63,65 +65,108 @@ def layers_of(weights: np.ndarray, sizes: Sequence[int]) -> list[tuple[np.ndarra
     return found
 
 
-def loss_and_gradient(weights: np.ndarray, sizes: Sequence[int], at: np.ndarray, x: np.ndarray, y: np.ndarray,
-                      weight: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> tuple[float, np.ndarray]:
-    """Weighted sums over some rows. Features are ``scale * slot + shift``; the numbers of ``x`` hold the first slots."""
-    layers = layers_of(weights, sizes)
-    first, bias = layers[0]
-    scaled = first * scale[:, None]
-    z = x.T @ scaled[: len(x)] + (bias + shift @ first)
-    for slot in at:
-        z += scaled[slot]
-    outputs = []
-    for matrix, bias in layers[1:]:
-        outputs.append(1 / (1 + np.exp(-z)))
-        z = outputs[-1] @ matrix + bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    each = np.arange(len(y))
-    loss = -(weight * np.log(np.maximum(z[each, y], 1e-300))).sum()
-    delta = z
-    delta[each, y] -= 1
-    delta *= weight[:, None]
-    parts: list[np.ndarray] = []
-    for (matrix, _), out in zip(reversed(layers[1:]), reversed(outputs)):
-        parts[:0] = [(out.T @ delta).ravel(), delta.sum(axis=0)]
-        delta = (delta @ matrix.T) * (out * (1 - out))
-    sums, total = np.zeros_like(first), delta.sum(axis=0)
-    sums[: len(x)] = x @ delta
-    by_output = np.ascontiguousarray(delta.T)
-    for slot in at:
-        low, high = int(slot.min()), int(slot.max()) + 1
-        near = slot - low
-        for o, d in enumerate(by_output):
-            sums[low:high, o] += np.bincount(near, d, high - low)
-    return loss, np.concatenate([(sums * scale[:, None] + np.outer(shift, total)).ravel(), total, *parts])
-
-
-def objective(rows: DataFrame, sizes: Sequence[int], scale: np.ndarray, shift: np.ndarray, block: int) -> Callable:
-    """weights -> loss and its gradient, the mean of the means of all ``blocks``, by one job."""
+def grouped(sizes: Sequence[int], most: int = GROUP) -> list[list[int]]:
+    """Columns with so many values each, put together as long as a group has no more than ``most`` combinations; the widest first."""
+    groups: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        fitting = (g for g in groups if np.prod([float(sizes[j]) for j in g]) * sizes[i] <= most)
+        into = next(fitting, None)
+        if into is None:
+            groups.append(into := [])
+        into.append(i)
+    return groups
+
+
+class Pass:
+    """Weighted sums of loss and gradient over rows. Features are ``scale * slot + shift``; the numbers of a row hold the first slots.
+
+    ``groups``: (first slot, number of values) of the text columns of each group. The number of a row in it runs fastest over the last one.
+    """
+
+    def __init__(self, weights: np.ndarray, sizes: Sequence[int], groups: Sequence[Sequence[tuple[int, int]]], scale: np.ndarray, shift: np.ndarray):
+        self.groups, self.scale, self.shift = groups, scale, shift
+        (first, bias), *self.layers = layers_of(weights, sizes)
+        self.scaled, self.bias = first * scale[:, None], bias + shift @ first
+        self.tables, self.joint = [], []
+        for group in groups:
+            table = np.zeros((1, first.shape[1]))
+            for start, n in group:
+                table = (table[:, None] + self.scaled[None, start : start + n]).reshape(-1, first.shape[1])
+            self.tables.append(table)
+            self.joint.append(np.zeros((first.shape[1], len(table))))
+        self.loss, self.total = 0.0, np.zeros(first.shape[1])
+        self.sums = np.zeros_like(first)
+        self.rest = [np.zeros(m.size + b.size) for m, b in self.layers]
+
+    def add(self, at: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """``at``: the numbers of the rows in each group."""
+        z = x.T @ self.scaled[: len(x)]
+        z += self.bias
+        for table, code in zip(self.tables, at):
+            z += table.take(code, axis=0)
+        outputs = []
+        for matrix, bias in self.layers:
+            np.negative(z, out=z)
+            np.exp(z, out=z)
+            z += 1
+            outputs.append(np.reciprocal(z, out=z))
+            z = outputs[-1] @ matrix
+            z += bias
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        each = np.arange(len(y))
+        self.loss -= (weight * np.log(np.maximum(z[each, y], 1e-300))).sum()
+        delta = z
+        delta[each, y] -= 1
+        delta *= weight[:, None]
+        for (matrix, _), out, into in zip(reversed(self.layers), reversed(outputs), reversed(self.rest)):
+            into += np.concatenate([(out.T @ delta).ravel(), delta.sum(axis=0)])
+            delta = delta @ matrix.T
+            delta *= out
+            np.subtract(1, out, out=out)
+            delta *= out
+        self.sums[: len(x)] += x @ delta
+        by_output = np.ascontiguousarray(delta.T)
+        self.total += by_output.sum(axis=1)
+        for into, code in zip(self.joint, at):
+            for sums, d in zip(into, by_output):
+                sums += np.bincount(code, d, len(sums))
+
+    def gradient(self) -> np.ndarray:
+        sums = self.sums.copy()
+        for group, joint in zip(self.groups, self.joint):
+            cube = joint.reshape(len(joint), *[n for _, n in group])
+            for axis, (start, n) in enumerate(group, 1):
+                sums[start : start + n] += cube.sum(axis=tuple(i for i in range(1, cube.ndim) if i != axis)).T
+        return np.concatenate([(sums * self.scale[:, None] + np.outer(self.shift, self.total)).ravel(), self.total, *self.rest])
+
+
+def objective(rows: DataFrame, sizes: Sequence[int], groups: Sequence[Sequence[tuple[int, int]]], scale: np.ndarray, shift: np.ndarray,
+              block: int) -> Callable:
+    """weights -> loss and its gradient, the mean of the means of all ``blocks``, by one job. ``groups`` as in ``Pass``."""
 
     def at(weights: np.ndarray) -> tuple[float, np.ndarray]:
         shared = rows.sparkSession.sparkContext.broadcast(weights)
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w = shared.value
-            loss, count, gradient = 0.0, 0, np.zeros(len(w))
+            sums, count = Pass(shared.value, sizes, groups, scale, shift), 0
             for batch in batches:
-                for n, slots, numbers, label in zip(*[batch.column(c).to_pylist() for c in ("n", "slots", "numbers", "label")]):
-                    code = np.frombuffer(slots, np.int32).reshape(-1, n)
+                for cells in zip(*[batch.column(c) for c in ("n", "slots", "numbers", "label")]):
+                    n = cells[0].as_py()
+                    slots, numbers, label = (c.as_buffer() for c in cells[1:])
+                    code = np.frombuffer(slots, np.int32).reshape(-1, n).astype(np.intp)
                     x, y = np.frombuffer(numbers, np.float64).reshape(-1, n), np.frombuffer(label, np.int32)
                     whole = n // block * block
                     share = np.full(n, 1 / block)
                     share[whole:] = 1 / max(n - whole, 1)
                     for i in range(0, n, CHUNK):
                         cut = slice(i, i + CHUNK)
-                        more = loss_and_gradient(w, sizes, code[:, cut], x[:, cut], y[cut], share[cut], scale, shift)
-                        loss, gradient = loss + more[0], gradient + more[1]
+                        sums.add(code[:, cut], x[:, cut], y[cut], share[cut])
                     count += -(-n // block)
+            gradient = sums.gradient()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[LOSS, BLOCKS, np.arange(len(w))].astype(np.int32)), pa.array(np.r_[loss, count, gradient])], names=["i", "v"])
+                [pa.array(np.r_[LOSS, BLOCKS, np.arange(len(gradient))].astype(np.int32)), pa.array(np.r_[sums.loss, count, gradient])], names=["i", "v"])
 
         sums = rows.mapInArrow(summed, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         shared.unpersist()

@@ -258,3 +258,41 @@ def test_the_compared_models_are_those_of_the_training_run(spark, sf_dir):
 
     rows = queries()["e4_compared_models"](spark, sf_dir).collect()
     assert {(r["model"], r["complete"]) for r in rows} == {("boosting", True), ("linear", True), ("forest", True)}
+
+
+def test_text_columns_of_a_net_are_looked_up_in_groups():
+    """Loss and gradient over combinations of values are those of the dense rows of all slots."""
+    from lotbook.operators import network
+
+    rng = np.random.default_rng(3)
+    counts, n = [3, 130, 4, 200], 50
+    together = network.grouped(counts, 600)
+    assert together == [[3, 0], [1, 2]] and network.grouped([5000], 600) == [[0]]
+    digits = np.array([rng.integers(0, c, n) for c in counts])
+    starts = 1 + np.cumsum([0, *counts])[:-1]
+    code = np.array([digits[a] * counts[b] + digits[b] for a, b in together])
+    x, y, weight = rng.normal(size=(1, n)), rng.integers(0, 3, n), rng.random(n)
+    sizes = [1 + sum(counts), 6, 4, 3]
+    scale, shift = rng.random(sizes[0]), rng.random(sizes[0])
+    dense = np.zeros((n, sizes[0]))
+    dense[:, 0] = x[0]
+    for start, d in zip(starts, digits):
+        dense[np.arange(n), start + d] = 1
+    dense = dense * scale + shift
+    weights = rng.normal(size=sum((a + 1) * b for a, b in zip(sizes, sizes[1:])))
+
+    def loss(w):
+        z = dense
+        for i, (matrix, bias) in enumerate(network.layers_of(w, sizes)):
+            z = (z if i == 0 else 1 / (1 + np.exp(-z))) @ matrix + bias
+        return -(weight * (z[np.arange(n), y] - np.log(np.exp(z).sum(axis=1)))).sum()
+
+    one = network.Pass(weights, sizes, [[(int(starts[i]), counts[i]) for i in g] for g in together], scale, shift)
+    for cut in (slice(0, 20), slice(20, n)):
+        one.add(code[:, cut], x[:, cut], y[cut], weight[cut])
+    assert one.loss == pytest.approx(loss(weights))
+    gradient = one.gradient()
+    for i in [*rng.integers(0, sizes[0] * 6, 20), *range(sizes[0] * 6, len(weights))]:
+        step = np.zeros(len(weights))
+        step[i] = 1e-5
+        assert gradient[i] == pytest.approx((loss(weights + step) - loss(weights - step)) / 2e-5, abs=1e-5)
