@@ -173,3 +173,18 @@ def test_pages_from_rows_exchange_them_once(spark):
     found = extract_listings(pages).collect()
     assert sorted(r["color"] for r in found) == sorted(f"k{i}" for i in range(330))
     assert all(r["page_id"] == (1 if int(r["color"][1:]) < 250 else int(r["color"][1:])) for r in found)
+
+
+def test_fields_between_fixed_texts_need_no_regular_expression(spark):
+    """They are what the pattern finds: on each line from the first text before to the last one behind, a value of one character at least."""
+    from lotbook.functions import text as X
+
+    a, z = '"make":"', '","makeId"'
+    texts = ["", "\n", a + "x" + z, a + z, a + z + a + "b" + z, f"{a}a\n{z}x{a}q{z}\n{a}é漢{z}", z + a, a + a + "x" + z, f"{a}\r{a}w{z} {z}", None, a[:-1] + z, f"{z}{a}ok{z}{a}"]
+    rows = spark.createDataFrame([(t,) for t in texts], "f string")
+    pattern = X.FIELD_PATTERNS["make"]
+    by_pattern = F.array_join(F.regexp_extract_all("f", F.lit("(?d)" + pattern), F.lit(1)), ", ")
+    found = rows.select(by_pattern.alias("a"), X.field(F.col("f"), pattern).alias("b")).collect()
+    assert [r["a"] for r in found] == [r["b"] for r in found] and {"x", "q, é漢", None} <= {r["b"] for r in found}
+    assert "regexp" not in rows.select(*[X.field(F.col("f"), p) for p in X.FIELD_PATTERNS.values()])._jdf.queryExecution().toString()
+    assert "regexp" in rows.select(X.field(F.col("f"), X.UNUSED_FIELD_PATTERNS["color"]))._jdf.queryExecution().toString()
