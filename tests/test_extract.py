@@ -1,6 +1,7 @@
 """Hand-written pages: what is kept, what is left out, and why."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.views import pages_from
 from lotbook.operators.extract import (
@@ -184,7 +185,7 @@ def test_fields_between_fixed_texts_need_no_regular_expression(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "f string")
     pattern = X.FIELD_PATTERNS["make"]
     by_pattern = F.array_join(F.regexp_extract_all("f", F.lit("(?d)" + pattern), F.lit(1)), ", ")
-    found = rows.select(by_pattern.alias("a"), X.field(F.col("f"), pattern).alias("b")).collect()
+    found = rows.select(by_pattern.alias("a"), X.cut_field(F.col("f"), pattern).alias("b")).collect()
     assert [r["a"] for r in found] == [r["b"] for r in found] and {"x", "q, é漢", None} <= {r["b"] for r in found}
-    assert "regexp" not in rows.select(*[X.field(F.col("f"), p) for p in X.FIELD_PATTERNS.values()])._jdf.queryExecution().toString()
-    assert "regexp" in rows.select(X.field(F.col("f"), X.UNUSED_FIELD_PATTERNS["color"]))._jdf.queryExecution().toString()
+    assert "regexp" not in rows.select(*[X.cut_field(F.col("f"), p) for p in X.FIELD_PATTERNS.values()])._jdf.queryExecution().toString()
+    assert "regexp" in rows.select(X.cut_field(F.col("f"), X.UNUSED_FIELD_PATTERNS["color"]))._jdf.queryExecution().toString()
