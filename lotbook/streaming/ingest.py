@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +86,7 @@ def ingest_to_store(spark: SparkSession, folder: str, store: stores.Store, check
                     stop_before: int | None = None) -> StreamingQuery:
     """Listing files → clean rows that the store does not have, and its rejects, both exactly once.
 
-    Files are read once for rows and rejects. A trigger is a batch of the store under the number that Spark gives it; a trigger
+    Files are read once for rows and rejects, as far as a trigger fits into the memory for it. A trigger is a batch of the store under the number that Spark gives it; a trigger
     that was stopped between two writes is run again with the same files and number, and replaces what it left. Repeats are
     found in the store, however late they come, so the stream itself keeps no state. ``stop_before`` fails that batch between
     its two writes, as a rehearsal.
@@ -94,7 +95,8 @@ def ingest_to_store(spark: SparkSession, folder: str, store: stores.Store, check
     cells = text.select("*", "_metadata.file_name")
 
     def add(batch: DataFrame, number: int) -> None:
-        judged = batch.withColumn("_surplus", is_surplus(batch.drop("file_name"))).persist()
+        # what does not fit is read again; on disk it would be larger than the files it was read from
+        judged = batch.withColumn("_surplus", is_surplus(batch.drop("file_name"))).persist(StorageLevel.MEMORY_ONLY)
         try:
             lines = judged.where("_surplus").select(*reject_columns(F.col("file_name"), len(store.schema)))
             append_batch(lines, f"{store.path}/rejects", number, None)

@@ -120,3 +120,15 @@ def test_rows_are_predicted_as_they_come(spark, tmp_path, signal):
     assert len(found) == len(wanted) + 3
     assert found["odd1"] is None and found["odd3"] is None and found["odd2"] is not None
     assert rows_of(predict_arriving(fitted, rows, ["listing_id"])) == wanted
+
+
+def test_a_trigger_is_kept_in_memory_only(spark, sf_dir, monkeypatch):
+    """What does not fit is read again; on disk it would be larger than its files."""
+    from checks.queries import sources as Q
+    from pyspark import StorageLevel
+
+    levels, kind = [], type(spark.range(1))
+    real = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda self, level=StorageLevel.MEMORY_AND_DISK_DESER: levels.append(level) or real(self, level))
+    Q.restarted_ingest(spark, sf_dir)
+    assert len(levels) == 3 and all(level.useMemory and not level.useDisk for level in levels)
