@@ -119,3 +119,17 @@ def test_thresholds_by_hand():
     assert T.thresholds(np.array([3.0, 1, 1, 2]), 5).tolist() == [1.5, 2.5]
     assert T.thresholds(np.array([7.0, 7]), 5).tolist() == []
     assert T.thresholds(np.arange(8.0), 3).tolist() == [1.5, 3.5, 5.5]
+
+
+def test_boosted_rows_take_no_memory_between_rounds(spark, signal, monkeypatch):
+    """The rows of a round with their scores lie on disk; the model is that of the trainer either way."""
+    from lotbook.operators import models as M
+    from pyspark import StorageLevel
+
+    levels, kind = [], type(signal)
+    real = kind.persist
+    monkeypatch.setattr(M, "SPARK_ROWS", 100)
+    monkeypatch.setattr(kind, "persist", lambda self, level=StorageLevel.MEMORY_AND_DISK_DESER: levels.append(level) or real(self, level))
+    model = M.fit_boosting(signal, ignore=["listing_id"], rounds=3, depth=2)
+    assert len(model.stages[-1].trees) == 3
+    assert len(levels) == 2 and all(level.useDisk and not level.useMemory for level in levels)
